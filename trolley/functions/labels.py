@@ -22,7 +22,7 @@ def normalize_item(c: Column | str) -> Column:
 
 def item_label(items: Column | str) -> Column:
     """Set label ``"a, b"``: items sorted, joined with ``", "``."""
-    return F.array_join(F.array_sort(_col(items)), ITEM_SEPARATOR)
+    return F.array_join(F.sort_array(_col(items)), ITEM_SEPARATOR)
 
 
 def rule_label(antecedent: Column | str, consequent: Column | str) -> Column:

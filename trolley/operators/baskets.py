@@ -132,7 +132,7 @@ def clean(
     if drop_blank:
         items = F.filter(items, lambda x: x != F.lit(""))
     others = [c for c in baskets.columns if c != items_col]
-    return baskets.select(*others, F.array_sort(items).alias(items_col)).where(F.size(items_col) >= min_size)
+    return baskets.select(*others, F.sort_array(items).alias(items_col)).where(F.size(items_col) >= min_size)
 
 
 def from_lines(
@@ -156,7 +156,7 @@ def from_lines(
         rows = rows.where(F.col("item") != F.lit(""))
     return (
         rows.groupBy("basket_id")
-        .agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .agg(F.sort_array(F.collect_set("item")).alias("items"))
         .where(F.size("items") >= min_size)
     )
 

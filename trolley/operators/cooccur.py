@@ -27,7 +27,7 @@ def _top_array(counts: DataFrame, n: int):
     top = counts.orderBy(*popularity_order()).limit(n)
     return top.agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), F.col("item").alias("item")))),
+            F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), F.col("item").alias("item")))),
             lambda s: s.getField("item"),
         ).alias("top")
     ).scalar()

@@ -108,9 +108,9 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
     model = fp.fit(data)
 
     raw_sets = model.freqItemsets.persist(StorageLevel.MEMORY_AND_DISK)
-    itemsets = raw_sets.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq"))
+    itemsets = raw_sets.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("freq"))
     rules = model.associationRules.select(
-        F.array_sort("antecedent").alias("antecedent"),
+        F.sort_array("antecedent").alias("antecedent"),
         F.col("consequent"),
         F.col("confidence"),
         F.col("lift"),

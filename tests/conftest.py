@@ -1,0 +1,43 @@
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from trolley.session import ensure_checkpoint_dir  # noqa: E402
+
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MID = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    s = (
+        SparkSession.builder.master("local[4]")
+        .appName("trolley-tests")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    s.sparkContext.setLogLevel("ERROR")
+    # Only where the session names no checkpoint folder.
+    ensure_checkpoint_dir(s, str(tmp_path_factory.mktemp("ckpt")))
+    yield s
+    s.stop()
+
+
+BASKET_SCHEMA = "basket_id long, items array<string>"
+
+
+@pytest.fixture
+def make_baskets(spark):
+    def make(rows):
+        return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], BASKET_SCHEMA)
+
+    return make

@@ -113,3 +113,17 @@ def test_median_is_exact(spark):
     st = R.rule_statistics(rules).first()
     assert st["lift_median"] == 3.0
     assert st["lift_mean"] == 4.0 and st["lift_min"] == 1.0 and st["lift_max"] == 9.0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 1001])
+def test_exact_median_matches_spark_percentile(spark, n):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from trolley.functions.quantile import exact_median
+
+    rnd = random.Random(n)
+    vals = [float(rnd.randint(0, 50)) for _ in range(n)]  # many ties
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert exact_median(df, "x").first()[0] == df.select(F.median("x")).first()[0]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.functions.labels import item_label, items_contain, rule_label
+from trolley.functions.quantile import exact_median
 
 TOP_RULES = 20
 TOP_RULES_CHART = 10
@@ -149,7 +150,8 @@ def support_confidence_points(rules: DataFrame) -> DataFrame:
 
 def rule_statistics(rules: DataFrame) -> DataFrame:
     """One row: mean/median/min/max of lift; mean/min/max of confidence and support."""
-    aggs = [F.avg("lift").alias("lift_mean"), F.median("lift").alias("lift_median")]
+    median = exact_median(rules, "lift").scalar()
+    aggs = [F.avg("lift").alias("lift_mean"), median.alias("lift_median")]
     for m in ("lift", "confidence", "support"):
         if m != "lift":
             aggs.append(F.avg(m).alias(f"{m}_mean"))

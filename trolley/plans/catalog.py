@@ -73,13 +73,23 @@ def basket_size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.basket_size_distribution(study(spark, sf_dir).baskets)
 
 
-def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fi = study(spark, sf_dir).mined.itemsets
-    return fi.select(item_label("items").alias("items"), F.size("items").cast("long").alias("size"), "freq")
+def _itemsets(spec: BasketSpec) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fi = study(spark, sf_dir, spec).mined.itemsets
+        return fi.select(item_label("items").alias("items"), F.size("items").cast("long").alias("size"), "freq")
 
+    return q
 
-def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.rules_export_frame(study(spark, sf_dir).mined.rules)
+
+def _rules(spec: BasketSpec) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sinks.rules_export_frame(study(spark, sf_dir, spec).mined.rules)
+
+    return q
+
+
+frequent_itemsets = _itemsets(DEFAULT_SPEC)
+association_rules = _rules(DEFAULT_SPEC)
 
 
 def mine_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,4 +200,10 @@ def QUERIES() -> dict[str, Query]:
         "rule_graph_edges": rule_graph_edges,
         "export_rules": export_rules,
         "export_itemsets": export_itemsets,
+        # Same operators on other baskets: long itemsets (part types) and
+        # baskets that hold every item (user event types).
+        "frequent_itemsets_part_types": _itemsets(TYPE_SPEC),
+        "association_rules_part_types": _rules(TYPE_SPEC),
+        "frequent_itemsets_events": _itemsets(EVENT_SPEC),
+        "association_rules_events": _rules(EVENT_SPEC),
     }

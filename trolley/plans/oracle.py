@@ -8,20 +8,37 @@ histograms by the same placement rule written in SQL. Views ``lineitem``,
 
 from __future__ import annotations
 
-from trolley.plans.catalog import SEARCH_NEEDLE, SWEEP_SETTINGS
+from trolley.plans.catalog import EVENT_SPEC, SEARCH_NEEDLE, SWEEP_SETTINGS, TYPE_SPEC
 
 SUPPORT = 0.005
 CONFIDENCE = 0.1
 
-BASKETS = """
-li as (
+ORDER_BRANDS = """
   select distinct l_orderkey as b, lower(trim(p_brand)) as i
   from lineitem join part on l_partkey = p_partkey
-  where p_brand is not null),
+  where p_brand is not null"""
+
+ORDER_TYPES = """
+  select distinct l_orderkey as b, lower(trim(p_type)) as i
+  from lineitem join part on l_partkey = p_partkey
+  where p_type is not null"""
+
+USER_EVENTS = """
+  select distinct user_id as b, lower(trim(event_type)) as i
+  from events
+  where event_type is not null"""
+
+
+def _baskets(lines: str) -> str:
+    return f"""
+li as ({lines}),
 ok as (select b from li group by b having count(*) > 1),
 x as (select li.b, li.i from li join ok using (b)),
 n as (select count(*)::double as n from ok)"""
 
+
+BASKETS = _baskets(ORDER_BRANDS)
+
 SUBSETS = """
 sub(b, items, last) as (
   select b, [i], i from x
@@ -29,10 +46,11 @@ sub(b, items, last) as (
   select sub.b, list_append(sub.items, x.i), x.i
   from sub join x on x.b = sub.b and x.i > sub.last)"""
 
-MINED = f"""
+def _mined_cte(support: float, confidence: float) -> str:
+    return f"""
 fi as (
   select items, count(*) as freq from sub group by items
-  having count(*) >= (select ceil({SUPPORT}::double * n) from n)),
+  having count(*) >= (select ceil({support}::double * n) from n)),
 c as (select items as u, freq as fu, unnest(items) as cons from fi where len(items) > 1),
 r as (select list_filter(u, lambda z: z <> cons) as a, [cons] as k, fu from c),
 rules as (
@@ -41,12 +59,15 @@ rules as (
          (r.fu / fa.freq::double) / (fk.freq / n.n) as lift,
          r.fu / n.n as support
   from r join fi fa on fa.items = r.a join fi fk on fk.items = r.k cross join n
-  where r.fu / fa.freq::double >= {CONFIDENCE}::double),
+  where r.fu / fa.freq::double >= {confidence}::double),
 rl as (
   select array_to_string(a, ', ') as antecedent, array_to_string(k, ', ') as consequent,
          confidence, lift, support
   from rules)"""
 
+
+MINED = _mined_cte(SUPPORT, CONFIDENCE)
+
 ITEMS = """
 ic as (select i as item, count(*) as cnt from x group by i)"""
 
@@ -69,6 +90,14 @@ def _mined(*extra: str) -> str:
     return _with(BASKETS, SUBSETS, MINED, *extra, recursive=True)
 
 
+def _other(lines: str, support: float, confidence: float) -> str:
+    return _with(_baskets(lines), SUBSETS, _mined_cte(support, confidence), recursive=True)
+
+
+ITEMSETS_SELECT = "select array_to_string(items, ', ') as items, len(items)::bigint as size, freq::bigint as freq from fi"
+RULES_SELECT = "select antecedent, consequent, confidence, lift, support from rl"
+
+
 def _ordered_rules(limit: int) -> str:
     return f"""
 tr as (
@@ -278,4 +307,8 @@ select antecedent as src, consequent as dst, lift as weight, confidence, support
 from e""",
         "export_rules": _mined() + "select antecedent, consequent, confidence, lift, support from rl",
         "export_itemsets": _mined() + "select array_to_string(items, ', ') as items, freq::bigint as freq from fi",
+        "frequent_itemsets_part_types": _other(ORDER_TYPES, TYPE_SPEC.min_support, TYPE_SPEC.min_confidence) + ITEMSETS_SELECT,
+        "association_rules_part_types": _other(ORDER_TYPES, TYPE_SPEC.min_support, TYPE_SPEC.min_confidence) + RULES_SELECT,
+        "frequent_itemsets_events": _other(USER_EVENTS, EVENT_SPEC.min_support, EVENT_SPEC.min_confidence) + ITEMSETS_SELECT,
+        "association_rules_events": _other(USER_EVENTS, EVENT_SPEC.min_support, EVENT_SPEC.min_confidence) + RULES_SELECT,
     }

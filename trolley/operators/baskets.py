@@ -170,26 +170,24 @@ def to_wide(
 ) -> DataFrame:
     """Lay long rows out as the wide layout (``Item(s)``, ``Item 1`` …).
 
-    The width is the largest basket, read from the data and checked against
-    ``max_width`` before anything is pivoted: the wide layout only exists for
-    baskets of bounded length, and the check keeps every per-basket group
-    (position window and pivot) bounded by it.
+    The width is the largest basket, read from the data (one aggregate) and
+    checked against ``max_width`` first: the wide layout only exists for
+    baskets of bounded length, and the check bounds every per-basket window
+    partition below. Rows are numbered within their basket and spread over
+    the item columns by one aggregation that reuses the window's partitioning.
     """
-    sizes = lines.groupBy(basket_col).count()
-    width = sizes.agg(F.max("count")).first()[0] or 0
+    width = lines.groupBy(basket_col).count().agg(F.max("count")).first()[0] or 0
     if width > max_width:
         raise ValueError(f"largest basket has {width} rows, above max_width={max_width}")
     by_basket = Window.partitionBy(basket_col)
     positioned = lines.select(
         basket_col,
         F.row_number().over(by_basket.orderBy(*order_cols)).alias("pos"),
-        F.count(F.lit(1)).over(by_basket).alias(COUNT_COLUMN),
+        F.count(F.lit(1)).over(by_basket).alias("n"),
         F.col(item_col).alias("cell"),
     )
-    wide = (
-        positioned.groupBy(basket_col, COUNT_COLUMN)
-        .pivot("pos", list(range(1, width + 1)))
-        .agg(F.first("cell"))
+    # Grouping on the window's partition key reuses its partitioning and order.
+    return positioned.groupBy(basket_col).agg(
+        F.first("n").alias(COUNT_COLUMN),
+        *[F.first(F.when(F.col("pos") == p, F.col("cell")), ignorenulls=True).alias(f"Item {p}") for p in range(1, width + 1)],
     )
-    renamed = [F.col(f"`{p}`").alias(f"Item {p}") for p in range(1, width + 1)]
-    return wide.select(F.col(basket_col), F.col(f"`{COUNT_COLUMN}`"), *renamed)

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads one batch file and has no stream source, watermark,
+window or state, so there is no streaming operator to rebuild. Every operator
+here is a batch DataFrame transformation; a caller who wants incremental
+refresh can run them from ``foreachBatch``.
+"""

@@ -97,12 +97,18 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
     folder): the rules table is an RDD-backed scan that pruning and pushdown
     cannot reach into, and recomputing it would re-run the mining.
     """
-    data = baskets.select(F.col(items_col).alias("items"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    n = data.where(F.col("items").isNotNull()).count()
+    # FP-growth persists its own copy of an uncached input; a cached input
+    # (the usual case: a study's baskets) is read as it is.
+    owned = None
+    level = baskets.storageLevel
+    if level.useMemory or level.useDisk:
+        data = baskets
+    else:
+        data = owned = baskets.select(items_col).persist(StorageLevel.MEMORY_AND_DISK)
+    n = data.where(F.col(items_col).isNotNull()).count()
     log.info("mining %d baskets, min count %d", n, params.min_count(n))
 
-    fp = FPGrowth(itemsCol="items", minSupport=params.min_support, minConfidence=params.min_confidence)
+    fp = FPGrowth(itemsCol=items_col, minSupport=params.min_support, minConfidence=params.min_confidence)
     if params.num_partitions:
         fp = fp.setNumPartitions(params.num_partitions)
     model = fp.fit(data)
@@ -119,7 +125,8 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
     itemsets = materialize(itemsets, reliable=checkpoint)
     rules = materialize(rules, reliable=checkpoint)
     raw_sets.unpersist(blocking=False)
-    data.unpersist(blocking=False)
+    if owned is not None:
+        owned.unpersist(blocking=False)
     return MiningResult(itemsets, rules, n, params)
 
 

@@ -39,34 +39,43 @@ def _pair_counts(baskets: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     if not 2 <= n <= MAX_TOP_N:
         raise ValueError(f"top_n must be in [2, {MAX_TOP_N}]")
     top = _top_array(counts, n)
+    # Project the scalar once per side so that it is not repeated in every bit test.
+    holding = baskets.select("items", top.alias("top"))
     mask = F.lit(0).cast("long")
     for i in range(n):
-        bit = F.when(F.array_contains("items", F.try_element_at(top, F.lit(i + 1))), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        mask = mask.bitwiseOR(bit)
-    masks = baskets.select(mask.alias("mask"))
+        held = F.array_contains("items", F.try_element_at("top", F.lit(i + 1)))
+        mask = mask.bitwiseOR(F.when(held, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    masks = holding.select(mask.alias("mask"), F.size("top").alias("k"))
 
     def both(i: int, j: int):
         return F.shiftright("mask", i).bitwiseAND(F.shiftright("mask", j)).bitwiseAND(F.lit(1))
 
     sums = masks.agg(
-        *[F.sum(both(i, j)).cast("long").alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1, n)]
+        F.max("k").alias("k"),
+        *[F.sum(both(i, j)).cast("long").alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1, n)],
     )
-    cells = []
-    for i in range(n):
-        for j in range(n):
-            if i == j:
-                v = F.lit(0).cast("long")
-            else:
-                v = F.coalesce(F.col(f"c_{min(i, j)}_{max(i, j)}"), F.lit(0).cast("long"))
-            cells.append(F.struct(F.lit(i).alias("pos_1"), F.lit(j).alias("pos_2"), v.alias("n")))
-    laid = sums.select(F.inline(F.array(*cells)))
-    return laid.select(
+    # Lay the n × n cells out from the upper-triangle sums: cell (i, j) reads
+    # sum number tri(min, max); the diagonal is 0.
+    upper = F.array(*[F.col(f"c_{i}_{j}") for i in range(n) for j in range(i + 1, n)])
+    cell = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell")
+    laid = sums.select("k", upper.alias("upper"), cell)
+    i, j = F.floor(F.col("cell") / n).cast("int"), (F.col("cell") % n).cast("int")
+    lo, hi = F.least(i, j), F.greatest(i, j)
+    tri = lo * (2 * n - lo - 1) / 2 + (hi - lo - 1)
+    value = F.when(i == j, F.lit(0).cast("long")).otherwise(
+        F.coalesce(F.element_at("upper", tri.cast("int") + 1), F.lit(0).cast("long"))
+    )
+    laid = laid.select("k", i.alias("pos_1"), j.alias("pos_2"), value.alias("n"))
+    # Positions past the number of items (k) are dropped before the names
+    # are looked up, so the filter needs no item list.
+    laid = laid.where((F.col("pos_1") < F.col("k")) & (F.col("pos_2") < F.col("k")))
+    return laid.select("pos_1", "pos_2", "n", top.alias("top")).select(
         "pos_1",
         "pos_2",
-        F.try_element_at(top, F.col("pos_1") + 1).alias("item_1"),
-        F.try_element_at(top, F.col("pos_2") + 1).alias("item_2"),
+        F.element_at("top", F.col("pos_1") + 1).alias("item_1"),
+        F.element_at("top", F.col("pos_2") + 1).alias("item_2"),
         "n",
-    ).where(F.col("item_1").isNotNull() & F.col("item_2").isNotNull())
+    )
 
 
 def cooccurrence_matrix(baskets: DataFrame, counts: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:

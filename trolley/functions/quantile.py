@@ -22,8 +22,18 @@ from pyspark.sql import functions as F
 _ROW_BITS = 33
 
 
-def exact_median(values: DataFrame, col: str, num_partitions: int | None = None) -> DataFrame:
-    """One row, one column ``median`` (null when there are no values)."""
+def exact_median(
+    values: DataFrame,
+    col: str,
+    num_partitions: int | None = None,
+    handles: list | None = None,
+) -> DataFrame:
+    """One row, one column ``median`` (null when there are no values).
+
+    The ranked copy of the column is persisted so that both of its uses (the
+    per-partition counts and the rank lookup) see the same partitioning; it
+    is appended to ``handles`` for the caller to release.
+    """
     spark = values.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = values.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
@@ -33,6 +43,8 @@ def exact_median(values: DataFrame, col: str, num_partitions: int | None = None)
         F.spark_partition_id().alias("pid"),
         F.monotonically_increasing_id().alias("mid"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
+    if handles is not None:
+        handles.append(tagged)
 
     sizes = tagged.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"))
     # One row per partition: the window and the broadcast are bounded by `parts`.

@@ -148,9 +148,11 @@ def support_confidence_points(rules: DataFrame) -> DataFrame:
     return labelled(rules).withColumn("bubble_size", F.col("lift") * F.lit(BUBBLE_SCALE))
 
 
-def rule_statistics(rules: DataFrame) -> DataFrame:
-    """One row: mean/median/min/max of lift; mean/min/max of confidence and support."""
-    median = exact_median(rules, "lift").scalar()
+def rule_statistics(rules: DataFrame, handles: list | None = None) -> DataFrame:
+    """One row: mean/median/min/max of lift; mean/min/max of confidence and support.
+
+    Cached intermediates are appended to ``handles`` for the caller to release."""
+    median = exact_median(rules, "lift", handles=handles).scalar()
     aggs = [F.avg("lift").alias("lift_mean"), median.alias("lift_median")]
     for m in ("lift", "confidence", "support"):
         if m != "lift":

@@ -130,7 +130,7 @@ def support_confidence_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = rules.rule_statistics(study(spark, sf_dir).mined.rules)
+    st = study(spark, sf_dir).memo("rule_statistics", lambda s: rules.rule_statistics(s.mined.rules, s.handles))
     rounded = {"lift_mean", "lift_median", "confidence_mean", "support_mean"}
     return st.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in st.columns])
 

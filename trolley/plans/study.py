@@ -45,6 +45,8 @@ class Study:
         self._baskets: DataFrame | None = None
         self._counts: DataFrame | None = None
         self._mined: MiningResult | None = None
+        self._memo: dict[str, DataFrame] = {}
+        self.handles: list[DataFrame] = []
         self._lock = threading.Lock()
 
     def lines(self) -> DataFrame:
@@ -78,13 +80,25 @@ class Study:
                 self._mined = mine(base, self.spec.params())
             return self._mined
 
+    def memo(self, key: str, build) -> DataFrame:
+        """A derived frame built once per study (``build(study)``)."""
+        with self._lock:
+            found = self._memo.get(key)
+        if found is None:
+            built = build(self)
+            with self._lock:
+                found = self._memo.setdefault(key, built)
+        return found
+
     def release(self) -> None:
-        for df in (self._baskets, self._counts):
+        for df in (self._baskets, self._counts, *self.handles):
             if df is not None:
                 df.unpersist(blocking=False)
         if self._mined is not None:
             self._mined.unpersist()
         self._baskets = self._counts = self._mined = None
+        self._memo.clear()
+        self.handles.clear()
 
 
 _STUDIES: dict[tuple, Study] = {}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from trolley.operators.baskets import clean, fold_wide, from_lines
+from trolley.operators.baskets import bad_count_rows, clean, fold_wide, from_lines
 from trolley.sources.wide_csv import read_wide_csv
 
 HEADER = "Item(s),Item 1,Item 2,Item 3\n"
@@ -99,6 +99,8 @@ def test_bad_rows_raise(spark, tmp_path, body):
 def test_bad_count_can_be_dropped(spark, tmp_path):
     got = folded_rows(fold_csv(spark, tmp_path, ",a,b,\nx,a,b,\n2,c,d,\n", on_bad_count="drop"))
     assert got == [("c", "d")]
+    p = tmp_path / "t.csv"
+    assert bad_count_rows(read_wide_csv(spark, str(p))).count() == 2
 
 
 def test_checks_survive_pruning(spark, tmp_path):

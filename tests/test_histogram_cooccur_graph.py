@@ -120,3 +120,11 @@ def test_graph_normalisation(spark):
     )
     got = {e["src"]: (e["norm_confidence"], e["colour_bucket"]) for e in graph.rule_graph_edges(rules, 2).collect()}
     assert got == {"a": (0.0, 0), "c": (1.0, 10)}
+
+
+def test_histograms_sum_to_rule_count(small):
+    rules = small.mined.rules
+    total = rules.count()
+    for measure in ("lift", "confidence", "support"):
+        rows = histogram.histogram(rules, measure).collect()
+        assert len(rows) == 20 and sum(r["count"] for r in rows) == total

@@ -120,6 +120,12 @@ def fold_wide(
     return out.where(F.size("items") > 0)
 
 
+def bad_count_rows(wide: DataFrame, count_col: str = COUNT_COLUMN) -> DataFrame:
+    """Rows whose count cell is missing or not a number: what
+    ``fold_wide(on_bad_count="drop")`` leaves out, for reporting."""
+    return wide.where(item_count(F.col(f"`{count_col}`")).isNull())
+
+
 def clean(
     baskets: DataFrame,
     items_col: str = "items",

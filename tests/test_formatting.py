@@ -1,0 +1,25 @@
+"""Fixed-point text matches Python's formatting (ties to even on the exact value)."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import functions as F
+
+from trolley.functions.formatting import fixed, percent
+
+
+def test_fixed_and_percent_match_python(spark):
+    rnd = random.Random(5)
+    vals = [1.25, 2.675, 0.125, 1.15, 0.35, 9.95, 1234.55, 0.0, 12345678.25, 0.9999999999999999]
+    vals += [rnd.random() * 10 for _ in range(300)] + [rnd.randint(0, 2000) / 40 for _ in range(100)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    rows = df.select(
+        "x",
+        fixed(F.col("x"), 1).alias("f1"),
+        fixed(F.col("x"), 2).alias("f2"),
+        fixed(F.col("x"), 3).alias("f3"),
+        percent(F.col("x"), 1).alias("p1"),
+    ).collect()
+    for r in rows:
+        assert (r.f1, r.f2, r.f3, r.p1) == (f"{r.x:.1f}", f"{r.x:.2f}", f"{r.x:.3f}", f"{r.x:.1%}"), r.x

@@ -72,8 +72,8 @@ def _pair_counts(baskets: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     return laid.select("pos_1", "pos_2", "n", top.alias("top")).select(
         "pos_1",
         "pos_2",
-        F.element_at("top", F.col("pos_1") + 1).alias("item_1"),
-        F.element_at("top", F.col("pos_2") + 1).alias("item_2"),
+        F.try_element_at("top", F.col("pos_1") + 1).alias("item_1"),
+        F.try_element_at("top", F.col("pos_2") + 1).alias("item_2"),
         "n",
     )
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.functions.formatting import fixed
 from trolley.functions.labels import item_label
 from trolley.operators.rules import rule_order
 
@@ -63,12 +64,12 @@ def rule_graph_edges(rules: DataFrame, top_rules: int = DEFAULT_TOP_RULES) -> Da
     norm = F.when(hi - lo > 0, (F.col("confidence") - lo) / (hi - lo)).otherwise(F.lit(0.5))
     src, dst = item_label("antecedent"), item_label("consequent")
     hover = F.format_string(
-        "%s → %s<br>Lift: %.2f<br>Confidence: %.2f<br>Support: %.3f",
+        "%s → %s<br>Lift: %s<br>Confidence: %s<br>Support: %s",
         src,
         dst,
-        F.col("lift"),
-        F.col("confidence"),
-        F.col("support"),
+        fixed(F.col("lift"), 2),
+        fixed(F.col("confidence"), 2),
+        fixed(F.col("support"), 3),
     )
     return top.select(
         src.alias("src"),

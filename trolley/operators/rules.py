@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trolley.functions.formatting import fixed, percent
 from trolley.functions.labels import item_label, items_contain, rule_label
 from trolley.functions.quantile import exact_median
 
@@ -97,10 +98,6 @@ def search(rules: DataFrame, needle: str) -> DataFrame:
     return explore(rules, min_lift=0.0, min_support=0.0, search=needle)
 
 
-def _pct(c: Column) -> Column:
-    return F.concat(F.format_string("%.1f", c * F.lit(100.0)), F.lit("%"))
-
-
 def rule_insight(
     rules: DataFrame,
     rule: str | None = None,
@@ -123,14 +120,14 @@ def rule_insight(
             F.format_string(
                 "Customers who buy **%s** are **%sx** more likely to also buy **%s** compared to random chance.",
                 a,
-                F.format_string("%.1f", F.col("lift")),
+                fixed(F.col("lift"), 1),
                 c,
             ),
         )
         .when(F.col("lift") == 1, F.format_string("Items **%s** and **%s** are independent of each other.", a, c))
         .otherwise(F.format_string("Customers who buy **%s** are less likely to buy **%s**.", a, c))
     )
-    text = F.format_string("Confidence means: %s of customers who bought %s also bought %s", _pct(F.col("confidence")), a, c)
+    text = F.format_string("Confidence means: %s of customers who bought %s also bought %s", percent(F.col("confidence"), 1), a, c)
     return picked.select(
         rule_label("antecedent", "consequent").alias("rule"),
         a.alias("antecedent"),

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Separators used in the display labels.
-ITEM_SEPARATOR = ", "
-RULE_ARROW = " → "
-PAIR_SEPARATOR = " & "
+from trolley.fixed import ITEM_SEPARATOR, PAIR_SEPARATOR, RULE_ARROW
 
 
 def _col(c: Column | str) -> Column:

@@ -20,39 +20,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trolley.fixed import COUNT_COLUMN, ITEM_COLUMN_PATTERN, MIN_BASKET_SIZE, NA_WORDS
 from trolley.functions.labels import normalize_item
 
-# The words pandas' CSV reader treats as missing by default
-# (case-sensitive; matched on the raw cell before any trimming).
-NA_WORDS = (
-    "",
-    "#N/A",
-    "#N/A N/A",
-    "#NA",
-    "-1.#IND",
-    "-1.#QNAN",
-    "-NaN",
-    "-nan",
-    "1.#IND",
-    "1.#QNAN",
-    "<NA>",
-    "N/A",
-    "NA",
-    "NULL",
-    "NaN",
-    "None",
-    "n/a",
-    "nan",
-    "null",
-)
-
-# Column names of the wide layout.
-COUNT_COLUMN = "Item(s)"
-ITEM_COLUMN_PATTERN = r"Item (\d+)"
 EXTRA_COLUMN = "_extra"
 
-MIN_BASKET_SIZE = 2
-
 
 def missing_to_null(c: Column) -> Column:
     """Null out a cell that is one of the missing-value words."""

@@ -14,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.fixed import DEFAULT_TOP_N, TOP_PAIRS
 from trolley.functions.labels import pair_label
 from trolley.operators.items import popularity_order
 
-DEFAULT_TOP_N = 10
-TOP_PAIRS = 10
 MAX_TOP_N = 62  # one bigint mask
 
 

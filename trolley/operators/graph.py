@@ -17,19 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.fixed import COLOUR_STEPS, EDGE_HOVER, ITEM_NODE_SIZE, ITEMSET_NODE_SIZE, NODE_ITEM, NODE_ITEMSET
+from trolley.fixed import DEFAULT_GRAPH_RULES as DEFAULT_TOP_RULES
+from trolley.fixed import EDGE_WIDTH_SCALE as WIDTH_SCALE
 from trolley.functions.formatting import fixed
 from trolley.functions.labels import item_label
 from trolley.operators.rules import rule_order
 
-DEFAULT_TOP_RULES = 20
-# Node types, node sizes, colour steps and scales of the drawing.
-ITEM = "item"
-ITEMSET = "itemset"
-ITEM_SIZE = 25
-ITEMSET_SIZE = 35
-COLOUR_STEPS = 11
-WIDTH_SCALE = 2.5
-
 
 def _top(rules: DataFrame, r: int) -> DataFrame:
     return rules.orderBy(*rule_order()).limit(r)
@@ -39,14 +33,14 @@ def rule_graph_nodes(rules: DataFrame, top_rules: int = DEFAULT_TOP_RULES) -> Da
     """``(node, type, size)`` for the graph of the top-R rules."""
     top = _top(rules, top_rules)
     sides = top.select(F.explode(F.array(F.col("antecedent"), F.col("consequent"))).alias("side"))
-    items = sides.select(F.explode("side").alias("node"), F.lit(ITEM).alias("type"))
-    sets = sides.where(F.size("side") > 1).select(item_label("side").alias("node"), F.lit(ITEMSET).alias("type"))
+    items = sides.select(F.explode("side").alias("node"), F.lit(NODE_ITEM).alias("type"))
+    sets = sides.where(F.size("side") > 1).select(item_label("side").alias("node"), F.lit(NODE_ITEMSET).alias("type"))
     # "item" < "itemset": min keeps the first type a label was given.
     nodes = items.unionByName(sets).groupBy("node").agg(F.min("type").alias("type"))
     return nodes.select(
         "node",
         "type",
-        F.when(F.col("type") == ITEM, F.lit(ITEM_SIZE)).otherwise(F.lit(ITEMSET_SIZE)).alias("size"),
+        F.when(F.col("type") == NODE_ITEM, F.lit(ITEM_NODE_SIZE)).otherwise(F.lit(ITEMSET_NODE_SIZE)).alias("size"),
     )
 
 
@@ -64,7 +58,7 @@ def rule_graph_edges(rules: DataFrame, top_rules: int = DEFAULT_TOP_RULES) -> Da
     norm = F.when(hi - lo > 0, (F.col("confidence") - lo) / (hi - lo)).otherwise(F.lit(0.5))
     src, dst = item_label("antecedent"), item_label("consequent")
     hover = F.format_string(
-        "%s → %s<br>Lift: %s<br>Confidence: %s<br>Support: %s",
+        EDGE_HOVER,
         src,
         dst,
         fixed(F.col("lift"), 2),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BINS = 20
+from trolley.fixed import HISTOGRAM_BINS as DEFAULT_BINS
 
 
 def _bounds(values: DataFrame, col: str) -> Column:

@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOP_ITEMS = 20
-TOP_SHARE = 10
-# Fixed value: label of the folded tail in the share table.
-OTHERS = "Others"
+from trolley.fixed import OTHERS, TOP_ITEMS, TOP_SHARE
 
 
 def exploded(baskets: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.fixed import DEFAULT_MIN_CONFIDENCE, DEFAULT_MIN_SUPPORT
 from trolley.session import materialize
 
 log = logging.getLogger(__name__)
@@ -38,8 +39,8 @@ log = logging.getLogger(__name__)
 class MiningParams:
     """Thresholds; any value in (0, 1] is accepted."""
 
-    min_support: float = 0.02
-    min_confidence: float = 0.3
+    min_support: float = DEFAULT_MIN_SUPPORT
+    min_confidence: float = DEFAULT_MIN_CONFIDENCE
     num_partitions: int | None = None
 
     def __post_init__(self) -> None:

@@ -11,14 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trolley.fixed import (
+    BUBBLE_SCALE,
+    CONFIDENCE_TEXT,
+    DEFAULT_MIN_LIFT,
+    INSIGHT_ABOVE,
+    INSIGHT_BELOW,
+    INSIGHT_EQUAL,
+    TOP_ITEMSETS,
+    TOP_RULES,
+    TOP_RULES_CHART,
+)
 from trolley.functions.formatting import fixed, percent
 from trolley.functions.labels import item_label, items_contain, rule_label
 from trolley.functions.quantile import exact_median
 
-TOP_RULES = 20
-TOP_RULES_CHART = 10
-DEFAULT_MIN_LIFT = 1.0
-BUBBLE_SCALE = 50.0
 
 
 def rule_order() -> list[Column]:
@@ -49,7 +56,7 @@ def top_rules_labelled(rules: DataFrame, k: int = TOP_RULES_CHART) -> DataFrame:
     )
 
 
-def top_itemsets(itemsets: DataFrame, k: int = TOP_RULES) -> DataFrame:
+def top_itemsets(itemsets: DataFrame, k: int = TOP_ITEMSETS) -> DataFrame:
     """``(items, freq)``: the k most frequent itemsets (ties by label)."""
     return (
         itemsets.select(item_label("items").alias("items"), "freq")
@@ -118,16 +125,16 @@ def rule_insight(
         F.when(
             F.col("lift") > 1,
             F.format_string(
-                "Customers who buy **%s** are **%sx** more likely to also buy **%s** compared to random chance.",
+                INSIGHT_ABOVE,
                 a,
                 fixed(F.col("lift"), 1),
                 c,
             ),
         )
-        .when(F.col("lift") == 1, F.format_string("Items **%s** and **%s** are independent of each other.", a, c))
-        .otherwise(F.format_string("Customers who buy **%s** are less likely to buy **%s**.", a, c))
+        .when(F.col("lift") == 1, F.format_string(INSIGHT_EQUAL, a, c))
+        .otherwise(F.format_string(INSIGHT_BELOW, a, c))
     )
-    text = F.format_string("Confidence means: %s of customers who bought %s also bought %s", percent(F.col("confidence"), 1), a, c)
+    text = F.format_string(CONFIDENCE_TEXT, percent(F.col("confidence"), 1), a, c)
     return picked.select(
         rule_label("antecedent", "consequent").alias("rule"),
         a.alias("antecedent"),

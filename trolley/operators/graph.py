@@ -54,8 +54,10 @@ def rule_graph_edges(rules: DataFrame, top_rules: int = DEFAULT_TOP_RULES) -> Da
             F.coalesce(F.max("confidence"), F.lit(1.0)).alias("hi"),
         ).alias("span")
     ).scalar()
-    lo, hi = span.getField("lo"), span.getField("hi")
+    spanned = top.select("antecedent", "consequent", "lift", "confidence", "support", span.alias("span"))
+    lo, hi = F.col("span.lo"), F.col("span.hi")
     norm = F.when(hi - lo > 0, (F.col("confidence") - lo) / (hi - lo)).otherwise(F.lit(0.5))
+    normed = spanned.select("antecedent", "consequent", "lift", "confidence", "support", norm.alias("norm"))
     src, dst = item_label("antecedent"), item_label("consequent")
     hover = F.format_string(
         EDGE_HOVER,
@@ -65,14 +67,14 @@ def rule_graph_edges(rules: DataFrame, top_rules: int = DEFAULT_TOP_RULES) -> Da
         fixed(F.col("confidence"), 2),
         fixed(F.col("support"), 3),
     )
-    return top.select(
+    return normed.select(
         src.alias("src"),
         dst.alias("dst"),
         F.col("lift").alias("weight"),
         "confidence",
         "support",
-        norm.alias("norm_confidence"),
-        F.floor(norm * F.lit(COLOUR_STEPS - 1)).cast("int").alias("colour_bucket"),
+        F.col("norm").alias("norm_confidence"),
+        F.floor(F.col("norm") * F.lit(COLOUR_STEPS - 1)).cast("int").alias("colour_bucket"),
         (F.col("lift") * F.lit(WIDTH_SCALE)).alias("width"),
         hover.alias("hover"),
     )

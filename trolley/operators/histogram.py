@@ -7,8 +7,10 @@ are equal the range is ``[v - 0.5, v + 0.5]``. Edges are ``lo + i × step`` with
 below that bin's lower edge and up one when it reaches the next edge (except
 in the last bin) — the same rounding-safe placement numpy applies.
 
-The range comes in as one scalar subquery; counting is a grouped aggregation
-with at most ``bins`` groups; empty bins are kept.
+The range comes in as one scalar subquery, projected once; counting is a
+grouped aggregation with at most ``bins`` groups (partial counts map-side, so
+a bin holding most values is combined before the shuffle); the grid of bins
+is built from one aggregate row and left-joined, so empty bins are kept.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ from pyspark.sql import functions as F
 from trolley.fixed import HISTOGRAM_BINS as DEFAULT_BINS
 
 
-def _bounds(values: DataFrame, col: str) -> Column:
-    """Scalar struct ``(lo, hi)`` of the histogram range (null when no rows)."""
-    return values.agg(
-        F.struct(
-            F.when(F.max(col) > F.min(col), F.min(col)).otherwise(F.min(col) - F.lit(0.5)).alias("lo"),
-            F.when(F.max(col) > F.min(col), F.max(col)).otherwise(F.max(col) + F.lit(0.5)).alias("hi"),
-        ).alias("b")
-    ).scalar()
+def _range(col: str) -> Column:
+    """Aggregate struct ``(lo, hi)`` of the histogram range (null when no rows)."""
+    c = F.col(col)
+    return F.struct(
+        F.when(F.max(c) > F.min(c), F.min(c)).otherwise(F.min(c) - F.lit(0.5)).alias("lo"),
+        F.when(F.max(c) > F.min(c), F.max(c)).otherwise(F.max(c) + F.lit(0.5)).alias("hi"),
+    )
 
 
 def _edge(lo: Column, hi: Column, i: Column, bins: int) -> Column:
@@ -39,24 +40,19 @@ def histogram(values: DataFrame, col: str, bins: int = DEFAULT_BINS) -> DataFram
     empty when there are no values."""
     if bins < 1:
         raise ValueError("bins must be positive")
-    b = _bounds(values, col)
-    lo, hi = b.getField("lo"), b.getField("hi")
-    v = F.col(col)
-    first = F.least(
-        F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int"),
-        F.lit(bins - 1),
-    )
-    down = F.when(v < _edge(lo, hi, first, bins), first - 1).otherwise(first)
-    placed = F.when((v >= _edge(lo, hi, down + 1, bins)) & (down != F.lit(bins - 1)), down + 1).otherwise(down)
-    counts = (
-        values.where(v.isNotNull())
-        .select(placed.alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    grid = values.agg(F.count(v).alias("n")).where(F.col("n") > 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
+    # The range enters once as a column; each later step reads columns, so
+    # neither the subquery nor the arithmetic is repeated in the plan.
+    span = values.agg(_range(col).alias("b")).scalar()
+    ranged = values.where(F.col(col).isNotNull()).select(F.col(col).alias("v"), span.alias("b"))
+    lo, hi, v = F.col("b.lo"), F.col("b.hi"), F.col("v")
+    first = F.least(F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int"), F.lit(bins - 1))
+    step1 = ranged.select("v", "b", first.alias("first"))
+    down = F.when(v < _edge(lo, hi, F.col("first"), bins), F.col("first") - 1).otherwise(F.col("first"))
+    step2 = step1.select("v", "b", down.alias("down"))
+    d = F.col("down")
+    placed = F.when((v >= _edge(lo, hi, d + 1, bins)) & (d != F.lit(bins - 1)), d + 1).otherwise(d)
+    counts = step2.select(placed.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    grid = values.agg(F.count(F.col(col)).alias("n"), _range(col).alias("b")).where(F.col("n") > 0).select("b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, "bin", "left").select(
         "bin",
         _edge(lo, hi, F.col("bin"), bins).alias("bin_lo"),

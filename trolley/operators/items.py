@@ -55,12 +55,12 @@ def item_statistics(counts: DataFrame, k: int = TOP_ITEMS) -> DataFrame:
         F.sum("count").cast("long").alias("total_occurrences"),
         F.count(F.lit(1)).alias("unique_items"),
     )
-    return totals.select(
+    return totals.select("total_occurrences", "unique_items", ends.alias("ends")).select(
         "total_occurrences",
         "unique_items",
         F.try_divide(F.col("total_occurrences").cast("double"), F.col("unique_items")).alias("avg_occurrence"),
         *[
-            ends.getField(f).alias(f)
+            F.col("ends").getField(f).alias(f)
             for f in ("most_frequent_item", "most_frequent_count", "least_frequent_top_item", "least_frequent_top_count")
         ],
     )

@@ -143,3 +143,53 @@ def test_sweep_counts(small_study):
     assert got[(0.005, 0.1)] == (867, 2142)
     n = small_study.mined.n_baskets
     assert got[(0.02, 0.3)][0] == sum(1 for f in itemsets_of(small_study.mined).values() if f >= math.ceil(0.02 * n))
+
+
+def _brute_force(baskets, support, confidence):
+    """Every subset of every basket, counted; rules from the frequent ones."""
+    from itertools import combinations
+
+    n = len(baskets)
+    counts = {}
+    for b in baskets:
+        items = sorted(b)
+        for k in range(1, len(items) + 1):
+            for sub in combinations(items, k):
+                counts[sub] = counts.get(sub, 0) + 1
+    k_min = math.ceil(support * n)
+    freq = {s: f for s, f in counts.items() if f >= k_min}
+    rules = {}
+    for u, fu in freq.items():
+        if len(u) < 2:
+            continue
+        for c in u:
+            a = tuple(x for x in u if x != c)
+            conf = fu / freq[a]
+            if conf >= confidence:
+                rules[(a, (c,))] = (conf, conf / (freq[(c,)] / n), fu / n)
+    return freq, rules
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_random_baskets_match_brute_force(make_baskets, seed):
+    import random
+
+    rnd = random.Random(seed)
+    universe = [f"i{k}" for k in range(9)]
+    baskets = [sorted(rnd.sample(universe, rnd.randint(1, 6))) for _ in range(120)]
+    support, confidence = rnd.choice([0.05, 0.1, 0.15]), rnd.choice([0.2, 0.5])
+    freq, rules = _brute_force(baskets, support, confidence)
+    res = mine(make_baskets(baskets), MiningParams(support, confidence))
+    assert itemsets_of(res) == freq
+    got = rules_of(res)
+    assert set(got) == set(rules)
+    for k, v in rules.items():
+        assert got[k] == pytest.approx(v, rel=1e-12)
+
+
+def test_mined_tables_are_cut_from_their_lineage(small_study):
+    res = small_study.mined
+    for df in (res.itemsets, res.rules):
+        lineage = df.rdd.toDebugString().decode()
+        assert "ReliableCheckpointRDD" in lineage or "InMemory" in lineage
+        assert "FPGrowth" not in lineage

@@ -17,7 +17,9 @@ from trolley.operators import baskets as B
 from trolley.operators import cooccur, graph, histogram, items, rules
 from trolley.operators.mining import sweep
 from trolley.plans.study import DEFAULT_SPEC, BasketSpec, study
+from trolley.session import shared_path
 from trolley.sources import sinks, tables
+from trolley.sources.wide_csv import read_wide_csv
 
 # Parameters of the registered queries.
 SWEEP_SETTINGS = [(0.005, 0.1), (0.01, 0.2), (0.02, 0.3), (0.05, 0.5)]
@@ -41,6 +43,21 @@ def fold_wide_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_csv_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide-CSV path end to end: order lines written as a wide CSV (one
+    row per order: ``basket``, ``Item(s)``, ``Item 1`` …) into a fresh folder
+    under the shared checkpoint folder, read back with the wide-CSV reader,
+    folded and cleaned: ``(basket_id, basket_size, items)``."""
+    lines = tables.order_lines(spark, sf_dir, "p_brand")
+    folder = shared_path(spark, "wide-csv")
+    sinks.write_csv(B.to_wide(lines, "basket", "item", ["line", "item"]), folder)
+    back = read_wide_csv(spark, folder)
+    cleaned = B.clean(B.fold_wide(back, id_col="basket"))
+    return cleaned.select(
+        "basket_id", F.size("items").cast("long").alias("basket_size"), item_label("items").alias("items")
+    )
+
+
 def clean_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = study(spark, sf_dir).baskets
     return b.select("basket_id", F.size("items").cast("long").alias("basket_size"), item_label("items").alias("items"))
@@ -172,6 +189,7 @@ def export_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def QUERIES() -> dict[str, Query]:
     return {
         "fold_wide_baskets": fold_wide_baskets,
+        "wide_csv_baskets": wide_csv_baskets,
         "clean_baskets": clean_baskets,
         "overview": overview,
         "item_counts": item_counts,

@@ -163,6 +163,11 @@ def _needle_match(side: str, needle: str) -> str:
     return f"len(list_filter({side}, lambda z: contains(z, '{needle}'))) > 0"
 
 
+CLEAN_BASKETS = _with(BASKETS) + """
+select b as basket_id, count(*)::bigint as basket_size, array_to_string(list_sort(list(i)), ', ') as items
+from x group by b"""
+
+
 def ORACLES() -> dict[str, str]:
     needle = SEARCH_NEEDLE.lower()
     rules_select = "select antecedent, consequent, support, confidence, lift from "
@@ -172,10 +177,8 @@ select l_orderkey as basket_id, count(*)::bigint as n_items,
        string_agg(p_brand, ', ' order by l_linenumber, p_brand) as items
 from lineitem join part on l_partkey = p_partkey
 group by l_orderkey""",
-        "clean_baskets": _with(BASKETS)
-        + """
-select b as basket_id, count(*)::bigint as basket_size, array_to_string(list_sort(list(i)), ', ') as items
-from x group by b""",
+        "clean_baskets": CLEAN_BASKETS,
+        "wide_csv_baskets": CLEAN_BASKETS,
         "overview": _mined(ITEMS)
         + """
 select (select count(*) from ok)::bigint as transactions,

@@ -7,6 +7,8 @@ settings itself.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's checkpoint folder (shared storage).
+
+    Raises when the session names none: a machine-local temporary folder is
+    not visible to other executors.
+    """
+    base = checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("no checkpoint folder: set spark.checkpoint.dir to a shared path")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:
     """Compute ``df`` once and keep it for reuse.
 

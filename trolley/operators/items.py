@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 from trolley.fixed import OTHERS, TOP_ITEMS, TOP_SHARE
 
 
-def exploded(baskets: DataFrame) -> DataFrame:
-    """``(basket_id, item)``, one row per item of each basket."""
-    return baskets.select("basket_id", F.explode("items").alias("item"))
-
-
 def item_counts(baskets: DataFrame) -> DataFrame:
     """``(item, count)``: number of baskets holding the item."""
     return baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("count"))

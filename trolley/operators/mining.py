@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import logging
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
@@ -65,10 +65,9 @@ class MiningResult:
     rules: DataFrame
     n_baskets: int
     params: MiningParams
-    _handles: list = field(default_factory=list, repr=False)
 
     def unpersist(self) -> None:
-        for df in (self.itemsets, self.rules, *self._handles):
+        for df in (self.itemsets, self.rules):
             df.unpersist(blocking=False)
 
     def filtered(self, min_support: float, min_confidence: float) -> "MiningResult":
@@ -93,7 +92,7 @@ class MiningResult:
 def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", checkpoint: bool = True) -> MiningResult:
     """Mine ``baskets`` (rows of unique-item arrays) for itemsets and rules.
 
-    The input is persisted for the passes FP-growth makes over it. Both
+    An uncached input is persisted for the passes FP-growth makes over it. Both
     outputs are materialised (checkpointed when the cluster names a checkpoint
     folder): the rules table is an RDD-backed scan that pruning and pushdown
     cannot reach into, and recomputing it would re-run the mining.

@@ -242,10 +242,10 @@ select count(*) filter (where lift >= 1.0::double and support >= (select min(sup
        count(*)::bigint as total
 from rl""",
         "search_rules": _mined()
-        + rules_select
-        + f"rules_l where {_needle_match('a', needle)} or {_needle_match('k', needle)}".replace(
-            "rules_l", "(select *, array_to_string(a, ', ') as antecedent, array_to_string(k, ', ') as consequent from rules)"
-        ),
+        + f"""
+select array_to_string(a, ', ') as antecedent, array_to_string(k, ', ') as consequent, support, confidence, lift
+from rules
+where {_needle_match('a', needle)} or {_needle_match('k', needle)}""",
         "rule_insight": _mined(
             """
 pick as (

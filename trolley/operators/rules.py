@@ -27,7 +27,6 @@ from trolley.functions.labels import item_label, items_contain, rule_label
 from trolley.functions.quantile import exact_median
 
 
-
 def rule_order() -> list[Column]:
     """Lift descending, then the labels (mirror rules tie in theory but not in bits)."""
     return [F.col("lift").desc_nulls_last(), item_label("antecedent").asc(), item_label("consequent").asc()]

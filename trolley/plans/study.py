@@ -48,6 +48,18 @@ class Study:
         self._memo: dict[str, DataFrame] = {}
         self.handles: list[DataFrame] = []
         self._lock = threading.Lock()
+        self._given: DataFrame | None = None
+        self._params = spec.params()
+
+    @classmethod
+    def of_baskets(cls, baskets: DataFrame, params: MiningParams) -> "Study":
+        """A study over clean ``(basket_id, items)`` baskets from anywhere,
+        e.g. a folded and cleaned wide CSV (``wide_csv_study``)."""
+        spec = BasketSpec(source="frame", item="", min_support=params.min_support, min_confidence=params.min_confidence)
+        s = cls(baskets.sparkSession, "", spec)
+        s._given = baskets
+        s._params = params
+        return s
 
     def lines(self) -> DataFrame:
         if self.spec.source == "orders":
@@ -60,7 +72,7 @@ class Study:
     def baskets(self) -> DataFrame:
         with self._lock:
             if self._baskets is None:
-                b = B.from_lines(self.lines(), "basket", "item")
+                b = self._given if self._given is not None else B.from_lines(self.lines(), "basket", "item")
                 self._baskets = b.persist(StorageLevel.MEMORY_AND_DISK)
             return self._baskets
 
@@ -77,7 +89,7 @@ class Study:
         base = self.baskets
         with self._lock:
             if self._mined is None:
-                self._mined = mine(base, self.spec.params())
+                self._mined = mine(base, self._params)
             return self._mined
 
     def memo(self, key: str, build) -> DataFrame:
@@ -101,6 +113,15 @@ class Study:
         self.handles.clear()
 
 
+def wide_csv_study(spark: SparkSession, path: str, params: MiningParams | None = None, drop_blank: bool = False) -> Study:
+    """The dashboard's own input: a wide transaction CSV, read, folded and
+    cleaned, as a study (mined at ``params``, default 0.02 / 0.3)."""
+    from trolley.sources.wide_csv import read_wide_csv
+
+    baskets = B.clean(B.fold_wide(read_wide_csv(spark, path)), drop_blank=drop_blank)
+    return Study.of_baskets(baskets, params or MiningParams())
+
+
 _STUDIES: dict[tuple, Study] = {}
 _GUARD = threading.Lock()
 

@@ -60,7 +60,11 @@ def main() -> None:
         times[name] = time.perf_counter() - t
 
     total = time.perf_counter() - t_all
-    sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    sf_name = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        sf: float | str = float(sf_name)
+    except ValueError:
+        sf = sf_name
     print(
         json.dumps(
             {

@@ -15,59 +15,9 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from trolley.plans import catalog  # noqa: E402
+from trolley.plans.inspect import KINDS, operator_counts  # noqa: E402
 from trolley.session import local_session  # noqa: E402
 
-KINDS = ["shuffle", "broadcast", "smj", "bhj", "nested_loop", "window", "sort", "top_k", "subquery", "scan"]
-
-
-def _seq(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
-
-
-def walk(node, counts: dict, seen_subqueries: set) -> None:
-    """Count the operators of one executed plan, not descending into cached
-    relations (their work was done once, when the study was built)."""
-    name = node.nodeName()
-    cls = node.getClass().getSimpleName()
-    if cls == "AdaptiveSparkPlanExec":
-        return walk(node.executedPlan(), counts, seen_subqueries)
-    if cls in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec", "ResultQueryStageExec"):
-        if cls == "TableCacheQueryStageExec":
-            return
-        return walk(node.plan(), counts, seen_subqueries)
-    if cls == "ReusedExchangeExec" or cls == "ReusedSubqueryExec":
-        return
-    if cls == "ShuffleExchangeExec":
-        counts["shuffle"] += 1
-    elif cls == "BroadcastExchangeExec":
-        counts["broadcast"] += 1
-    elif cls == "SortMergeJoinExec":
-        counts["smj"] += 1
-    elif cls == "BroadcastHashJoinExec":
-        counts["bhj"] += 1
-    elif cls in ("BroadcastNestedLoopJoinExec", "CartesianProductExec"):
-        counts["nested_loop"] += 1
-    elif cls == "WindowExec":
-        counts["window"] += 1
-    elif cls == "SortExec":
-        counts["sort"] += 1
-    elif cls == "TakeOrderedAndProjectExec":
-        counts["top_k"] += 1
-    elif cls in ("FileSourceScanExec",):
-        counts["scan"] += 1
-    elif cls == "InMemoryTableScanExec":
-        return
-    for sub in _seq(node.subqueries()):
-        key = sub.toString()
-        if key in seen_subqueries:
-            continue
-        seen_subqueries.add(key)
-        counts["subquery"] += 1
-        walk(sub, counts, seen_subqueries)
-    for child in _seq(node.children()):
-        walk(child, counts, seen_subqueries)
-    del name
-
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
@@ -78,8 +28,7 @@ def main() -> None:
     for name, fn in catalog.QUERIES().items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
-        counts = dict.fromkeys(KINDS, 0)
-        walk(df._jdf.queryExecution().executedPlan(), counts, set())
+        counts = operator_counts(df)
         print(f"| {name} | " + " | ".join(str(counts[k]) for k in KINDS) + " |")
     spark.stop()
 

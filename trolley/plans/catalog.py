@@ -26,6 +26,7 @@ SWEEP_SETTINGS = [(0.005, 0.1), (0.01, 0.2), (0.02, 0.3), (0.05, 0.5)]
 SEARCH_NEEDLE = "Brand#3"
 EVENT_SPEC = BasketSpec(source="events", item="event_type", min_support=0.02, min_confidence=0.3)
 TYPE_SPEC = BasketSpec(source="orders", item="p_type", min_support=0.005, min_confidence=0.1)
+NAME_SPEC = BasketSpec(source="orders", item="p_name", min_support=0.005, min_confidence=0.1)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,10 +219,12 @@ def QUERIES() -> dict[str, Query]:
         "rule_graph_edges": rule_graph_edges,
         "export_rules": export_rules,
         "export_itemsets": export_itemsets,
-        # Same operators on other baskets: long itemsets (part types) and
-        # baskets that hold every item (user event types).
+        # Same operators on other baskets: long itemsets (part types), many
+        # items (part names) and baskets that hold every item (user events).
         "frequent_itemsets_part_types": _itemsets(TYPE_SPEC),
         "association_rules_part_types": _rules(TYPE_SPEC),
+        "frequent_itemsets_part_names": _itemsets(NAME_SPEC),
+        "association_rules_part_names": _rules(NAME_SPEC),
         "frequent_itemsets_events": _itemsets(EVENT_SPEC),
         "association_rules_events": _rules(EVENT_SPEC),
     }

@@ -8,7 +8,7 @@ histograms by the same placement rule written in SQL. Views ``lineitem``,
 
 from __future__ import annotations
 
-from trolley.plans.catalog import EVENT_SPEC, SEARCH_NEEDLE, SWEEP_SETTINGS, TYPE_SPEC
+from trolley.plans.catalog import EVENT_SPEC, NAME_SPEC, SEARCH_NEEDLE, SWEEP_SETTINGS, TYPE_SPEC
 
 SUPPORT = 0.005
 CONFIDENCE = 0.1
@@ -23,6 +23,11 @@ ORDER_TYPES = """
   from lineitem join part on l_partkey = p_partkey
   where p_type is not null"""
 
+ORDER_NAMES = """
+  select distinct l_orderkey as b, lower(trim(p_name)) as i
+  from lineitem join part on l_partkey = p_partkey
+  where p_name is not null"""
+
 USER_EVENTS = """
   select distinct user_id as b, lower(trim(event_type)) as i
   from events
@@ -312,6 +317,8 @@ from e""",
         "export_itemsets": _mined() + "select array_to_string(items, ', ') as items, freq::bigint as freq from fi",
         "frequent_itemsets_part_types": _other(ORDER_TYPES, TYPE_SPEC.min_support, TYPE_SPEC.min_confidence) + ITEMSETS_SELECT,
         "association_rules_part_types": _other(ORDER_TYPES, TYPE_SPEC.min_support, TYPE_SPEC.min_confidence) + RULES_SELECT,
+        "frequent_itemsets_part_names": _other(ORDER_NAMES, NAME_SPEC.min_support, NAME_SPEC.min_confidence) + ITEMSETS_SELECT,
+        "association_rules_part_names": _other(ORDER_NAMES, NAME_SPEC.min_support, NAME_SPEC.min_confidence) + RULES_SELECT,
         "frequent_itemsets_events": _other(USER_EVENTS, EVENT_SPEC.min_support, EVENT_SPEC.min_confidence) + ITEMSETS_SELECT,
         "association_rules_events": _other(USER_EVENTS, EVENT_SPEC.min_support, EVENT_SPEC.min_confidence) + RULES_SELECT,
     }

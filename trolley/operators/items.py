@@ -2,13 +2,13 @@
 
 Counts are hash aggregations with map-side partial aggregation, so a hot item
 or basket is combined before the shuffle. Top-k is ``orderBy().limit()``
-(``TakeOrderedAndProject``: each task keeps k rows); window functions only
-ever run over such k-row frames. Ties are broken by the item name.
+(``TakeOrderedAndProject``: each task keeps k rows); ranks within such a
+k-row frame come from its sorted array. Ties are broken by the item name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.fixed import OTHERS, TOP_ITEMS, TOP_SHARE
@@ -24,13 +24,18 @@ def popularity_order():
 
 
 def top_items(counts: DataFrame, k: int = TOP_ITEMS) -> DataFrame:
-    """``(rank, item, count)`` for the k most frequent items (ties by name)."""
+    """``(rank, item, count)`` for the k most frequent items (ties by name).
+
+    The k rows of the top-k are gathered into one sorted array (bounded by
+    k) and numbered by position, rather than ranked by an unpartitioned window.
+    """
     top = counts.orderBy(*popularity_order()).limit(k)
-    # k rows at most: a single-partition window is bounded by k.
-    return top.select(
-        F.row_number().over(Window.orderBy(*popularity_order())).alias("rank"),
-        "item",
-        "count",
+    row = F.struct((-F.col("count")).alias("order"), F.col("item").alias("item"), F.col("count").alias("count"))
+    gathered = top.agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return gathered.select(F.posexplode("rows").alias("pos", "row")).select(
+        (F.col("pos") + 1).alias("rank"),
+        F.col("row.item").alias("item"),
+        F.col("row.count").alias("count"),
     )
 
 

@@ -98,7 +98,9 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
     cannot reach into, and recomputing it would re-run the mining.
     """
     # FP-growth persists its own copy of an uncached input; a cached input
-    # (the usual case: a study's baskets) is read as it is.
+    # (the usual case: a study's baskets) is read from the cache on each of
+    # its passes. (Spark's RDD-level miner still logs "Input data is not
+    # cached" then: it sees the RDD it derives, not the cached DataFrame.)
     owned = None
     level = baskets.storageLevel
     if level.useMemory or level.useDisk:

@@ -9,9 +9,10 @@ histograms by the same placement rule written in SQL. Views ``lineitem``,
 from __future__ import annotations
 
 from trolley.plans.catalog import EVENT_SPEC, NAME_SPEC, SEARCH_NEEDLE, SWEEP_SETTINGS, TYPE_SPEC
+from trolley.plans.study import DEFAULT_SPEC
 
-SUPPORT = 0.005
-CONFIDENCE = 0.1
+SUPPORT = DEFAULT_SPEC.min_support
+CONFIDENCE = DEFAULT_SPEC.min_confidence
 
 ORDER_BRANDS = """
   select distinct l_orderkey as b, lower(trim(p_brand)) as i
@@ -51,6 +52,7 @@ sub(b, items, last) as (
   select sub.b, list_append(sub.items, x.i), x.i
   from sub join x on x.b = sub.b and x.i > sub.last)"""
 
+
 def _mined_cte(support: float, confidence: float) -> str:
     return f"""
 fi as (

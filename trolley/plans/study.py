@@ -1,8 +1,8 @@
 """One basket study: lines → clean baskets → item counts → mined tables.
 
 A study is built lazily and kept per (application, folder, spec): the clean
-baskets and item counts are persisted once, the mined tables are
-checkpointed once, and every dashboard query reads them. Changing a
+baskets and the mined tables are checkpointed once (and kept cached), the
+item counts are cached, and every dashboard query reads them. Changing a
 threshold means a new spec (the reference re-mines per setting as well);
 ``MiningResult.filtered`` derives stricter settings without re-mining.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trolley.operators import baskets as B
 from trolley.operators import items as I
 from trolley.operators.mining import MiningParams, MiningResult, mine
+from trolley.session import materialize
 from trolley.sources import tables
 
 
@@ -73,7 +74,10 @@ class Study:
         with self._lock:
             if self._baskets is None:
                 b = self._given if self._given is not None else B.from_lines(self.lines(), "basket", "item")
-                self._baskets = b.persist(StorageLevel.MEMORY_AND_DISK)
+                # Every view reads the baskets: write them once to the shared
+                # checkpoint folder (when named) so that a lost executor costs a
+                # re-read of those files, not a re-scan and re-shuffle of the lines.
+                self._baskets = materialize(b)
             return self._baskets
 
     @property

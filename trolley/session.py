@@ -7,6 +7,7 @@ settings itself.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -42,12 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint folder (shared storage).
 
-    Raises when the session names none: a machine-local temporary folder is
-    not visible to other executors.
+    Without one, a local-mode session (one machine: driver and executors
+    share its disk) gets a fresh temporary folder; any other session raises,
+    since a machine-local folder is not visible to other executors.
     """
     base = checkpoint_dir(spark)
     if not base:
-        raise RuntimeError("no checkpoint folder: set spark.checkpoint.dir to a shared path")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("no checkpoint folder: set spark.checkpoint.dir to a shared path")
+        base = tempfile.mkdtemp(prefix="trolley-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -48,15 +48,20 @@ def wide_csv_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide-CSV path end to end: order lines written as a wide CSV (one
     row per order: ``basket``, ``Item(s)``, ``Item 1`` …) into a fresh folder
     under the shared checkpoint folder, read back with the wide-CSV reader,
-    folded and cleaned: ``(basket_id, basket_size, items)``."""
-    lines = tables.order_lines(spark, sf_dir, "p_brand")
-    folder = shared_path(spark, "wide-csv")
-    sinks.write_csv(B.to_wide(lines, "basket", "item", ["line", "item"]), folder)
-    back = read_wide_csv(spark, folder)
-    cleaned = B.clean(B.fold_wide(back, id_col="basket"))
-    return cleaned.select(
-        "basket_id", F.size("items").cast("long").alias("basket_size"), item_label("items").alias("items")
-    )
+    folded and cleaned: ``(basket_id, basket_size, items)``. The CSV is
+    written once per study."""
+
+    def build(_s) -> DataFrame:
+        lines = tables.order_lines(spark, sf_dir, "p_brand")
+        folder = shared_path(spark, "wide-csv")
+        sinks.write_csv(B.to_wide(lines, "basket", "item", ["line", "item"]), folder)
+        back = read_wide_csv(spark, folder)
+        cleaned = B.clean(B.fold_wide(back, id_col="basket"))
+        return cleaned.select(
+            "basket_id", F.size("items").cast("long").alias("basket_size"), item_label("items").alias("items")
+        )
+
+    return study(spark, sf_dir).memo("wide_csv_baskets", build)
 
 
 def clean_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

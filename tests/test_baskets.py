@@ -118,3 +118,10 @@ def test_from_lines_equals_clean_of_collected(spark):
     raw = lines.groupBy(F.col("basket").alias("basket_id")).agg(F.collect_list("item").alias("items"))
     exp = sorted((r["basket_id"], tuple(r["items"])) for r in clean(raw).collect())
     assert got == exp == [(1, ("a", "b")), (3, ("p", "q"))]
+
+
+def test_gap_in_item_columns_is_rejected(spark, tmp_path):
+    p = tmp_path / "gap.csv"
+    p.write_text("Item(s),Item 1,Item 3\n2,a,b\n")
+    with pytest.raises(ValueError):
+        fold_wide(read_wide_csv(spark, str(p)))

@@ -32,13 +32,21 @@ def missing_to_null(c: Column) -> Column:
 
 
 def item_columns(df: DataFrame) -> list[str]:
-    """``Item 1`` … ``Item k`` in numeric order, taken from the frame's header."""
+    """``Item 1`` … ``Item k`` in numeric order, taken from the frame's header.
+
+    The numbers must run 1 … k without a gap: a count reaching a missing
+    column is an error in the dashboard, so a gap in the header is one here.
+    """
     found = []
     for name in df.columns:
         m = re.fullmatch(ITEM_COLUMN_PATTERN, name)
         if m:
             found.append((int(m.group(1)), name))
-    return [name for _, name in sorted(found)]
+    found.sort()
+    numbers = [k for k, _ in found]
+    if numbers != list(range(1, len(found) + 1)):
+        raise ValueError(f"item columns must be numbered 1..k without gaps, got {numbers}")
+    return [name for _, name in found]
 
 
 def item_count(c: Column) -> Column:

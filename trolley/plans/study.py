@@ -30,9 +30,10 @@ class BasketSpec:
     item: str = "p_brand"  # part column for "orders"
     min_support: float = 0.005
     min_confidence: float = 0.1
+    num_partitions: int | None = None  # FP-growth item groups; default: input partitions
 
     def params(self) -> MiningParams:
-        return MiningParams(self.min_support, self.min_confidence)
+        return MiningParams(self.min_support, self.min_confidence, self.num_partitions)
 
 
 DEFAULT_SPEC = BasketSpec()

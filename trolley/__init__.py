@@ -12,13 +12,20 @@ driver except scalars of bounded size.
 
 from trolley.operators.baskets import clean, fold_wide, from_lines
 from trolley.operators.mining import MiningParams, MiningResult, mine, sweep
+from trolley.plans.study import BasketSpec, Study, study, wide_csv_study
+from trolley.sources.wide_csv import read_wide_csv
 
 __all__ = [
+    "BasketSpec",
+    "MiningParams",
+    "MiningResult",
+    "Study",
     "clean",
     "fold_wide",
     "from_lines",
-    "MiningParams",
-    "MiningResult",
     "mine",
+    "read_wide_csv",
+    "study",
     "sweep",
+    "wide_csv_study",
 ]

@@ -125,3 +125,14 @@ def test_gap_in_item_columns_is_rejected(spark, tmp_path):
     p.write_text("Item(s),Item 1,Item 3\n2,a,b\n")
     with pytest.raises(ValueError):
         fold_wide(read_wide_csv(spark, str(p)))
+
+
+def test_to_wide_checks_the_widest_basket(spark):
+    from trolley.operators.baskets import to_wide
+
+    lines = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d")], "basket long, line int, item string")
+    with pytest.raises(ValueError):
+        to_wide(lines, "basket", "item", ["line"], max_width=2)
+    wide = to_wide(lines, "basket", "item", ["line"])
+    rows = {r["basket"]: (r["Item(s)"], r["Item 1"], r["Item 2"], r["Item 3"]) for r in wide.collect()}
+    assert rows == {1: (3, "a", "b", "c"), 2: (1, "d", None, None)}

@@ -193,3 +193,19 @@ def test_mined_tables_are_cut_from_their_lineage(small_study):
         lineage = df.rdd.toDebugString().decode()
         assert "ReliableCheckpointRDD" in lineage or "InMemory" in lineage
         assert "FPGrowth" not in lineage
+
+
+def test_filtered_rejects_looser_thresholds(small_study):
+    with pytest.raises(ValueError):
+        small_study.mined.filtered(0.001, 0.1)
+    with pytest.raises(ValueError):
+        small_study.mined.filtered(0.005, 0.05)
+
+
+def test_sweep_mines_at_the_loosest_setting(make_baskets):
+    settings = [(0.6, 0.5), (0.2, 0.9), (0.4, 0.5)]
+    rows = sweep(make_baskets(FIVE), settings).collect()
+    got = {(r["min_support"], r["min_confidence"]): (r["n_itemsets"], r["n_rules"]) for r in rows}
+    for s, c in settings:
+        direct = mine(make_baskets(FIVE), MiningParams(s, c))
+        assert got[(s, c)] == (direct.itemsets.count(), direct.rules.count())

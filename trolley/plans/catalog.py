@@ -31,12 +31,21 @@ NAME_SPEC = BasketSpec(source="orders", item="p_name", min_support=0.005, min_co
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines laid out wide (``basket``, ``Item(s)``, ``Item 1`` …, in
+    line order); built once per study (its width is one aggregate job)."""
+
+    def build(_s) -> DataFrame:
+        lines = tables.order_lines(spark, sf_dir, "p_brand")
+        return B.to_wide(lines, "basket", "item", ["line", "item"])
+
+    return study(spark, sf_dir).memo("orders_wide", build)
+
+
 def fold_wide_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines laid out wide (``Item(s)``, ``Item 1`` …, in line order)
-    and folded back: ``(basket_id, n_items, items)``, raw item text."""
-    lines = tables.order_lines(spark, sf_dir, "p_brand")
-    wide = B.to_wide(lines, "basket", "item", ["line", "item"])
-    folded = B.fold_wide(wide, id_col="basket")
+    """Order lines laid out wide and folded back:
+    ``(basket_id, n_items, items)``, raw item text."""
+    folded = B.fold_wide(_orders_wide(spark, sf_dir), id_col="basket")
     return folded.select(
         "basket_id",
         F.size("items").cast("long").alias("n_items"),
@@ -52,9 +61,8 @@ def wide_csv_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     written once per study."""
 
     def build(_s) -> DataFrame:
-        lines = tables.order_lines(spark, sf_dir, "p_brand")
         folder = shared_path(spark, "wide-csv")
-        sinks.write_csv(B.to_wide(lines, "basket", "item", ["line", "item"]), folder)
+        sinks.write_csv(_orders_wide(spark, sf_dir), folder)
         back = read_wide_csv(spark, folder)
         cleaned = B.clean(B.fold_wide(back, id_col="basket"))
         return cleaned.select(

@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -43,6 +44,9 @@ def test_query_matches_oracle(spark, con, name):
     exp = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert _rows(got, df.columns) == _rows(exp, ocols)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = dict(zip(ocols, (str(d[1]) for d in res.description)))
+    assert spark_types == duck_types
 
 
 def test_entry(spark):

@@ -128,3 +128,14 @@ def test_histograms_sum_to_rule_count(small):
     for measure in ("lift", "confidence", "support"):
         rows = histogram.histogram(rules, measure).collect()
         assert len(rows) == 20 and sum(r["count"] for r in rows) == total
+
+
+def test_graph_label_collision_keeps_item_type(spark):
+    # An item literally named "a, b" and the itemset {a, b} share one label.
+    rules = spark.createDataFrame(
+        [(["a", "b"], ["c"], 0.5, 3.0, 0.1), (["a, b"], ["d"], 0.5, 2.0, 0.1)],
+        RULE_SCHEMA,
+    )
+    nodes = {r["node"]: r["type"] for r in graph.rule_graph_nodes(rules).collect()}
+    assert nodes["a, b"] == "item"
+    assert {k for k, v in nodes.items() if v == "itemset"} == set()

@@ -1,9 +1,10 @@
 """Long ``(basket, item)`` line sources over the parquet tables.
 
 Only the needed columns are read (``ReadSchema`` shows the pruning). The
-lineitem-part join is left to the planner: AQE broadcasts ``part`` when its
-measured size is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
-runs a sort-merge join whose skewed partitions it splits.
+lineitem-part join is left to the planner: ``part`` is broadcast only when
+its size (file statistics, then AQE's runtime measure) is under
+``spark.sql.autoBroadcastJoinThreshold``; otherwise it is a sort-merge join
+whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The item columns of ``part`` a basket can be built from.
+# The columns of ``part`` a basket's items can be taken from.
 PART_ITEM_COLUMNS = ("p_brand", "p_type", "p_name")
 
 

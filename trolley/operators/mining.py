@@ -107,8 +107,20 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
         data = baskets
     else:
         data = owned = baskets.select(items_col).persist(StorageLevel.MEMORY_AND_DISK)
-    n = data.where(F.col(items_col).isNotNull()).count()
-    log.info("mining %d baskets, min count %d", n, params.min_count(n))
+    # One pass: N, and the mean basket size that bounds what FP-growth sends
+    # to the driver (item frequencies sum to N × mean, so at most
+    # mean / min_support items can reach the minimum count).
+    stats = data.where(F.col(items_col).isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.size(items_col)).alias("mean")
+    ).first()
+    n, mean = stats["n"], stats["mean"] or 0.0
+    log.info(
+        "mining %d baskets (mean size %.2f): min count %d, at most %d frequent items",
+        n,
+        mean,
+        params.min_count(n),
+        int(mean / params.min_support),
+    )
 
     fp = FPGrowth(itemsCol=items_col, minSupport=params.min_support, minConfidence=params.min_confidence)
     if params.num_partitions:

@@ -24,6 +24,8 @@ from trolley.sources.wide_csv import read_wide_csv
 # Parameters of the registered queries.
 SWEEP_SETTINGS = [(0.005, 0.1), (0.01, 0.2), (0.02, 0.3), (0.05, 0.5)]
 SEARCH_NEEDLE = "Brand#3"
+# All three explorer filters at once: lift, an explicit support floor, search.
+EXPLORE_MIN_LIFT, EXPLORE_MIN_SUPPORT, EXPLORE_NEEDLE = 1.0, 0.006, "BRAND#1"
 EVENT_SPEC = BasketSpec(source="events", item="event_type", min_support=0.02, min_confidence=0.3)
 TYPE_SPEC = BasketSpec(source="orders", item="p_type", min_support=0.005, min_confidence=0.1)
 NAME_SPEC = BasketSpec(source="orders", item="p_name", min_support=0.005, min_confidence=0.1)
@@ -148,6 +150,10 @@ def explore_rules_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.explore_count(study(spark, sf_dir).mined.rules)
 
 
+def explore_rules_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.explore(study(spark, sf_dir).mined.rules, EXPLORE_MIN_LIFT, EXPLORE_MIN_SUPPORT, EXPLORE_NEEDLE)
+
+
 def search_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.search(study(spark, sf_dir).mined.rules, SEARCH_NEEDLE)
 
@@ -219,6 +225,7 @@ def QUERIES() -> dict[str, Query]:
         "top_rules_by_lift_labelled": top_rules_by_lift_labelled,
         "explore_rules": explore_rules,
         "explore_rules_count": explore_rules_count,
+        "explore_rules_searched": explore_rules_searched,
         "search_rules": search_rules,
         "rule_insight": rule_insight,
         "support_confidence_points": support_confidence_points,

@@ -8,7 +8,16 @@ histograms by the same placement rule written in SQL. Views ``lineitem``,
 
 from __future__ import annotations
 
-from trolley.plans.catalog import EVENT_SPEC, NAME_SPEC, SEARCH_NEEDLE, SWEEP_SETTINGS, TYPE_SPEC
+from trolley.plans.catalog import (
+    EVENT_SPEC,
+    EXPLORE_MIN_LIFT,
+    EXPLORE_MIN_SUPPORT,
+    EXPLORE_NEEDLE,
+    NAME_SPEC,
+    SEARCH_NEEDLE,
+    SWEEP_SETTINGS,
+    TYPE_SPEC,
+)
 from trolley.plans.study import DEFAULT_SPEC
 
 SUPPORT = DEFAULT_SPEC.min_support
@@ -248,6 +257,12 @@ from fi order by freq desc, array_to_string(items, ', ') limit 20""",
 select count(*) filter (where lift >= 1.0::double and support >= (select min(support) from rl))::bigint as shown,
        count(*)::bigint as total
 from rl""",
+        "explore_rules_searched": _mined()
+        + f"""
+select array_to_string(a, ', ') as antecedent, array_to_string(k, ', ') as consequent, support, confidence, lift
+from rules
+where lift >= {EXPLORE_MIN_LIFT}::double and support >= {EXPLORE_MIN_SUPPORT}::double
+  and ({_needle_match('a', EXPLORE_NEEDLE.lower())} or {_needle_match('k', EXPLORE_NEEDLE.lower())})""",
         "search_rules": _mined()
         + f"""
 select array_to_string(a, ', ') as antecedent, array_to_string(k, ', ') as consequent, support, confidence, lift

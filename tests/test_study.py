@@ -28,3 +28,18 @@ def test_wide_csv_study(spark, tmp_path):
     pairs = cooccur.top_item_pairs(s.baskets, s.item_counts).collect()
     assert [(p["item_1"], p["item_2"], p["frequency"]) for p in pairs][0] == ("bread", "milk", 3)
     s.release()
+
+
+def test_release_removes_written_folders(spark):
+    import os
+
+    from trolley.plans import catalog
+    from trolley.plans.study import study
+
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES()["wide_csv_baskets"](spark, sf).count() > 0
+    s = study(spark, sf)
+    folders = list(s.folders)
+    assert folders and all(os.path.exists(f.removeprefix("file:")) for f in folders)
+    s.release()
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in folders)

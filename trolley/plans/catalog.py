@@ -60,10 +60,11 @@ def wide_csv_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     row per order: ``basket``, ``Item(s)``, ``Item 1`` …) into a fresh folder
     under the shared checkpoint folder, read back with the wide-CSV reader,
     folded and cleaned: ``(basket_id, basket_size, items)``. The CSV is
-    written once per study."""
+    written once per study and removed when the study is released."""
 
-    def build(_s) -> DataFrame:
+    def build(s) -> DataFrame:
         folder = shared_path(spark, "wide-csv")
+        s.folders.append(folder)
         sinks.write_csv(_orders_wide(spark, sf_dir), folder)
         back = read_wide_csv(spark, folder)
         cleaned = B.clean(B.fold_wide(back, id_col="basket"))

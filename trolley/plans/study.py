@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trolley.operators import baskets as B
 from trolley.operators import items as I
 from trolley.operators.mining import MiningParams, MiningResult, mine
-from trolley.session import materialize
+from trolley.session import delete_path, materialize
 from trolley.sources import tables
 
 
@@ -49,6 +49,7 @@ class Study:
         self._mined: MiningResult | None = None
         self._memo: dict[str, DataFrame] = {}
         self.handles: list[DataFrame] = []
+        self.folders: list[str] = []  # written under the shared folder; removed by release()
         self._lock = threading.Lock()
         self._given: DataFrame | None = None
         self._params = spec.params()
@@ -116,6 +117,9 @@ class Study:
         self._baskets = self._counts = self._mined = None
         self._memo.clear()
         self.handles.clear()
+        for folder in self.folders:
+            delete_path(self.spark, folder)
+        self.folders.clear()
 
 
 def wide_csv_study(spark: SparkSession, path: str, params: MiningParams | None = None, drop_blank: bool = False) -> Study:

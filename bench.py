@@ -91,6 +91,7 @@ def main() -> None:
             }
         )
     )
+    release_all()
     spark.stop()
 
 

@@ -136,3 +136,10 @@ def test_to_wide_checks_the_widest_basket(spark):
     wide = to_wide(lines, "basket", "item", ["line"])
     rows = {r["basket"]: (r["Item(s)"], r["Item 1"], r["Item 2"], r["Item 3"]) for r in wide.collect()}
     assert rows == {1: (3, "a", "b", "c"), 2: (1, "d", None, None)}
+
+
+def test_quoted_newline_needs_multi_line(spark, tmp_path):
+    p = tmp_path / "ml.csv"
+    p.write_text('Item(s),Item 1,Item 2\n2,"whole\nmilk",bread\n2,tea,jam\n')
+    folded = fold_wide(read_wide_csv(spark, str(p), multi_line=True))
+    assert folded_rows(folded) == sorted([("whole\nmilk", "bread"), ("tea", "jam")])

@@ -48,3 +48,16 @@ def test_export_round_trip(spark, tmp_path):
     sinks.export_itemsets(res.itemsets, csv)
     assert spark.read.option("header", True).csv(csv).count() == res.itemsets.count()
     res.unpersist()
+
+
+def test_rules_parquet_keeps_arrays(spark, tmp_path):
+    lines = tables.order_lines(spark, SF)
+    res = mine(from_lines(lines, "basket", "item"), MiningParams(0.01, 0.2))
+    out = str(tmp_path / "rules_pq")
+    sinks.export_rules(res.rules, out, fmt="parquet")
+    back = spark.read.parquet(out)
+    assert back.schema["antecedent"].dataType.simpleString() == "array<string>"
+    assert sorted(map(tuple, back.select("confidence", "lift", "support").collect())) == sorted(
+        map(tuple, res.rules.select("confidence", "lift", "support").collect())
+    )
+    res.unpersist()

@@ -53,15 +53,19 @@ def small(spark):
     s.release()
 
 
-def test_cooccurrence_brute_force(small):
+@pytest.mark.parametrize("top_n", [5, 10, 20])
+def test_cooccurrence_brute_force(small, top_n):
     baskets = [set(r["items"]) for r in small.baskets.collect()]
     counts = {}
     for b in baskets:
         for i in b:
             counts[i] = counts.get(i, 0) + 1
-    top = [i for i, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:10]]
+    top = [i for i, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:top_n]]
     exp = {(a, b): (0 if a == b else sum(1 for s in baskets if a in s and b in s)) for a in top for b in top}
-    got = {(r["item_1"], r["item_2"]): r["n"] for r in cooccur.cooccurrence_matrix(small.baskets, small.item_counts).collect()}
+    got = {
+        (r["item_1"], r["item_2"]): r["n"]
+        for r in cooccur.cooccurrence_matrix(small.baskets, small.item_counts, top_n).collect()
+    }
     assert got == exp
     # symmetric, zero diagonal, equals 2-itemset freq where frequent
     sets = {tuple(r["items"]): r["freq"] for r in small.mined.itemsets.collect()}
@@ -69,7 +73,7 @@ def test_cooccurrence_brute_force(small):
         assert got[(b, a)] == n
         if a < b and (a, b) in sets:
             assert sets[(a, b)] == n
-    pairs = cooccur.top_item_pairs(small.baskets, small.item_counts).collect()
+    pairs = cooccur.top_item_pairs(small.baskets, small.item_counts, top_n).collect()
     rank = {it: k for k, it in enumerate(top)}
     brute = sorted(
         ((exp[(a, b)], rank[a], rank[b], a, b) for a, b in itertools.combinations(top, 2) if exp[(a, b)] > 0),

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trolley.fixed import DEFAULT_MIN_CONFIDENCE, DEFAULT_MIN_SUPPORT
 from trolley.functions.labels import item_label
 from trolley.operators import baskets as B
 from trolley.operators import cooccur, graph, histogram, items, rules
@@ -29,6 +30,11 @@ EXPLORE_MIN_LIFT, EXPLORE_MIN_SUPPORT, EXPLORE_NEEDLE = 1.0, 0.006, "BRAND#1"
 EVENT_SPEC = BasketSpec(source="events", item="event_type", min_support=0.02, min_confidence=0.3)
 TYPE_SPEC = BasketSpec(source="orders", item="p_type", min_support=0.005, min_confidence=0.1)
 NAME_SPEC = BasketSpec(source="orders", item="p_name", min_support=0.005, min_confidence=0.1)
+# The dashboard's own default thresholds (0.02 / 0.3) on the same baskets;
+# derived from the default study's mined tables without re-mining.
+DEFAULTS_SPEC = BasketSpec(
+    source="orders", item="p_brand", min_support=DEFAULT_MIN_SUPPORT, min_confidence=DEFAULT_MIN_CONFIDENCE
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,6 +132,19 @@ frequent_itemsets = _itemsets(DEFAULT_SPEC)
 association_rules = _rules(DEFAULT_SPEC)
 
 
+def _at_defaults(spark: SparkSession, sf_dir: str):
+    return study(spark, sf_dir).mined.filtered(DEFAULTS_SPEC.min_support, DEFAULTS_SPEC.min_confidence)
+
+
+def frequent_itemsets_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fi = _at_defaults(spark, sf_dir).itemsets
+    return fi.select(item_label("items").alias("items"), F.size("items").cast("long").alias("size"), "freq")
+
+
+def association_rules_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.rules_export_frame(_at_defaults(spark, sf_dir).rules)
+
+
 def mine_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = study(spark, sf_dir)
     return sweep(s.baskets, SWEEP_SETTINGS, mined=s.mined)
@@ -240,8 +259,11 @@ def QUERIES() -> dict[str, Query]:
         "rule_graph_edges": rule_graph_edges,
         "export_rules": export_rules,
         "export_itemsets": export_itemsets,
-        # Same operators on other baskets: long itemsets (part types), many
-        # items (part names) and baskets that hold every item (user events).
+        # Same operators at the dashboard's default thresholds, and on other
+        # baskets: long itemsets (part types), many items (part names) and
+        # baskets that hold every item (user events).
+        "frequent_itemsets_defaults": frequent_itemsets_defaults,
+        "association_rules_defaults": association_rules_defaults,
         "frequent_itemsets_part_types": _itemsets(TYPE_SPEC),
         "association_rules_part_types": _rules(TYPE_SPEC),
         "frequent_itemsets_part_names": _itemsets(NAME_SPEC),

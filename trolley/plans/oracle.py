@@ -9,6 +9,7 @@ histograms by the same placement rule written in SQL. Views ``lineitem``,
 from __future__ import annotations
 
 from trolley.plans.catalog import (
+    DEFAULTS_SPEC,
     EVENT_SPEC,
     EXPLORE_MIN_LIFT,
     EXPLORE_MIN_SUPPORT,
@@ -332,6 +333,10 @@ select antecedent as src, consequent as dst, lift as weight, confidence, support
 from e""",
         "export_rules": _mined() + "select antecedent, consequent, confidence, lift, support from rl",
         "export_itemsets": _mined() + "select array_to_string(items, ', ') as items, freq::bigint as freq from fi",
+        "frequent_itemsets_defaults": _other(ORDER_BRANDS, DEFAULTS_SPEC.min_support, DEFAULTS_SPEC.min_confidence)
+        + ITEMSETS_SELECT,
+        "association_rules_defaults": _other(ORDER_BRANDS, DEFAULTS_SPEC.min_support, DEFAULTS_SPEC.min_confidence)
+        + RULES_SELECT,
         "frequent_itemsets_part_types": _other(ORDER_TYPES, TYPE_SPEC.min_support, TYPE_SPEC.min_confidence) + ITEMSETS_SELECT,
         "association_rules_part_types": _other(ORDER_TYPES, TYPE_SPEC.min_support, TYPE_SPEC.min_confidence) + RULES_SELECT,
         "frequent_itemsets_part_names": _other(ORDER_NAMES, NAME_SPEC.min_support, NAME_SPEC.min_confidence) + ITEMSETS_SELECT,

@@ -205,6 +205,12 @@ def cooccurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccur.cooccurrence_matrix(s.baskets, s.item_counts)
 
 
+def cooccurrence_matrix_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix at the slider's largest setting (20 items)."""
+    s = study(spark, sf_dir)
+    return cooccur.cooccurrence_matrix(s.baskets, s.item_counts, 20)
+
+
 def top_item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = study(spark, sf_dir)
     return cooccur.top_item_pairs(s.baskets, s.item_counts)
@@ -218,6 +224,11 @@ def rule_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rule_graph_edges(study(spark, sf_dir).mined.rules)
 
 
+def rule_graph_edges_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph at the slider's largest setting (50 rules)."""
+    return graph.rule_graph_edges(study(spark, sf_dir).mined.rules, 50)
+
+
 def export_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.rules_export_frame(study(spark, sf_dir).mined.rules)
 
@@ -254,9 +265,11 @@ def QUERIES() -> dict[str, Query]:
         "confidence_histogram": _histogram("confidence"),
         "support_histogram": _histogram("support"),
         "cooccurrence_matrix": cooccurrence_matrix,
+        "cooccurrence_matrix_top20": cooccurrence_matrix_top20,
         "top_item_pairs": top_item_pairs,
         "rule_graph_nodes": rule_graph_nodes,
         "rule_graph_edges": rule_graph_edges,
+        "rule_graph_edges_top50": rule_graph_edges_top50,
         "export_rules": export_rules,
         "export_itemsets": export_itemsets,
         # Same operators at the dashboard's default thresholds, and on other

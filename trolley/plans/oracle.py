@@ -88,16 +88,26 @@ MINED = _mined_cte(SUPPORT, CONFIDENCE)
 ITEMS = """
 ic as (select i as item, count(*) as cnt from x group by i)"""
 
-TOP10 = """
+def _top_items(n: int) -> str:
+    return f"""
 top as (
   select item, cnt, row_number() over (order by cnt desc, item) - 1 as pos
-  from ic order by cnt desc, item limit 10),
+  from ic order by cnt desc, item limit {n}),
 tx as (select x.b, x.i from x join top on x.i = top.item),
 pc as (
   select a.i as i1, b.i as i2, count(*) as n
   from tx a join tx b on a.b = b.b and a.i <> b.i group by 1, 2)"""
 
 
+TOP10 = _top_items(10)
+
+
+def _cooccurrence(n: int) -> str:
+    return _with(BASKETS, ITEMS, _top_items(n)) + """
+select t1.item as item_1, t2.item as item_2, coalesce(pc.n, 0)::bigint as n
+from top t1 cross join top t2 left join pc on pc.i1 = t1.item and pc.i2 = t2.item"""
+
+
 def _with(*parts: str, recursive: bool = False) -> str:
     head = "with recursive" if recursive else "with"
     return head + ",".join(parts) + "\n"
@@ -123,6 +133,21 @@ tr as (
   limit {limit})"""
 
 
+def _graph_edges(r: int) -> str:
+    return _mined(
+        _ordered_rules(r),
+        """
+span as (select coalesce(min(confidence), 0.0::double) as lo, coalesce(max(confidence), 1.0::double) as hi from tr),
+e as (
+  select tr.*, case when hi - lo > 0 then (confidence - lo) / (hi - lo) else 0.5::double end as norm
+  from tr cross join span)""",
+    ) + """
+select antecedent as src, consequent as dst, lift as weight, confidence, support,
+       norm as norm_confidence, floor(norm * 10)::int as colour_bucket, lift * 2.5::double as width,
+       printf('%s → %s<br>Lift: %.2f<br>Confidence: %.2f<br>Support: %.3f', antecedent, consequent, lift, confidence, support) as hover
+from e"""
+
+
 def _histogram(measure: str, bins: int = 20) -> str:
     return _mined(
         f"""
@@ -297,10 +322,8 @@ from rl""",
         "lift_histogram": _histogram("lift"),
         "confidence_histogram": _histogram("confidence"),
         "support_histogram": _histogram("support"),
-        "cooccurrence_matrix": _with(BASKETS, ITEMS, TOP10)
-        + """
-select t1.item as item_1, t2.item as item_2, coalesce(pc.n, 0)::bigint as n
-from top t1 cross join top t2 left join pc on pc.i1 = t1.item and pc.i2 = t2.item""",
+        "cooccurrence_matrix": _cooccurrence(10),
+        "cooccurrence_matrix_top20": _cooccurrence(20),
         "top_item_pairs": _with(BASKETS, ITEMS, TOP10)
         + """
 select t1.item as item_1, t2.item as item_2, t1.item || ' & ' || t2.item as pair, pc.n::bigint as frequency
@@ -318,19 +341,8 @@ nd as (
         + """
 select node, min(type) as type, case when min(type) = 'item' then 25 else 35 end as size
 from nd group by node""",
-        "rule_graph_edges": _mined(
-            _ordered_rules(20),
-            """
-span as (select coalesce(min(confidence), 0.0::double) as lo, coalesce(max(confidence), 1.0::double) as hi from tr),
-e as (
-  select tr.*, case when hi - lo > 0 then (confidence - lo) / (hi - lo) else 0.5::double end as norm
-  from tr cross join span)""",
-        )
-        + """
-select antecedent as src, consequent as dst, lift as weight, confidence, support,
-       norm as norm_confidence, floor(norm * 10)::int as colour_bucket, lift * 2.5::double as width,
-       printf('%s → %s<br>Lift: %.2f<br>Confidence: %.2f<br>Support: %.3f', antecedent, consequent, lift, confidence, support) as hover
-from e""",
+        "rule_graph_edges": _graph_edges(20),
+        "rule_graph_edges_top50": _graph_edges(50),
         "export_rules": _mined() + "select antecedent, consequent, confidence, lift, support from rl",
         "export_itemsets": _mined() + "select array_to_string(items, ', ') as items, freq::bigint as freq from fi",
         "frequent_itemsets_defaults": _other(ORDER_BRANDS, DEFAULTS_SPEC.min_support, DEFAULTS_SPEC.min_confidence)

@@ -54,9 +54,13 @@ def main() -> None:
     mined = s.mined
     times["mine"] = time.perf_counter() - t
 
+    errors: dict[str, str] = {}
     for name, fn in catalog.QUERIES().items():
         t = time.perf_counter()
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # report, keep timing the others
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
         times[name] = time.perf_counter() - t
 
     total = time.perf_counter() - t_all
@@ -88,6 +92,7 @@ def main() -> None:
                     "mine_itemsets_rules": {"ours": round(times["mine"], 3), "baseline": base[1]},
                 },
                 "warmup_dir": warm_dir,
+                "errors": errors,
             }
         )
     )

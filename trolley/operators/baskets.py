@@ -89,7 +89,12 @@ def fold_wide(
     if on_bad_count == "raise":
         items = items.when(
             n.isNull(),
-            F.raise_error(F.concat(F.lit("item count is not a number: "), F.coalesce(F.col(f"`{count_col}`").cast("string"), F.lit("null")))),
+            F.raise_error(
+                F.concat(
+                    F.lit("item count is not a number: "),
+                    F.coalesce(F.col(f"`{count_col}`").cast("string"), F.lit("null")),
+                )
+            ),
         )
     items = items.otherwise(kept)
 
@@ -175,5 +180,8 @@ def to_wide(
     # Grouping on the window's partition key reuses its partitioning and order.
     return positioned.groupBy(basket_col).agg(
         F.first("n").alias(COUNT_COLUMN),
-        *[F.first(F.when(F.col("pos") == p, F.col("cell")), ignorenulls=True).alias(f"Item {p}") for p in range(1, width + 1)],
+        *[
+            F.first(F.when(F.col("pos") == p, F.col("cell")), ignorenulls=True).alias(f"Item {p}")
+            for p in range(1, width + 1)
+        ],
     )

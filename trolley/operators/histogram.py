@@ -52,7 +52,11 @@ def histogram(values: DataFrame, col: str, bins: int = DEFAULT_BINS) -> DataFram
     d = F.col("down")
     placed = F.when((v >= _edge(lo, hi, d + 1, bins)) & (d != F.lit(bins - 1)), d + 1).otherwise(d)
     counts = step2.select(placed.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    grid = values.agg(F.count(F.col(col)).alias("n"), _range(col).alias("b")).where(F.col("n") > 0).select("b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = (
+        values.agg(F.count(F.col(col)).alias("n"), _range(col).alias("b"))
+        .where(F.col("n") > 0)
+        .select("b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    )
     return grid.join(counts, "bin", "left").select(
         "bin",
         _edge(lo, hi, F.col("bin"), bins).alias("bin_lo"),

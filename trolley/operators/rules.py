@@ -88,12 +88,22 @@ def explore_filter(
     return cond
 
 
-def explore(rules: DataFrame, min_lift: float = DEFAULT_MIN_LIFT, min_support: float | None = None, search: str = "") -> DataFrame:
+def explore(
+    rules: DataFrame,
+    min_lift: float = DEFAULT_MIN_LIFT,
+    min_support: float | None = None,
+    search: str = "",
+) -> DataFrame:
     """Rules passing the explorer filters, labelled."""
     return labelled(rules.where(explore_filter(rules, min_lift, min_support, search)))
 
 
-def explore_count(rules: DataFrame, min_lift: float = DEFAULT_MIN_LIFT, min_support: float | None = None, search: str = "") -> DataFrame:
+def explore_count(
+    rules: DataFrame,
+    min_lift: float = DEFAULT_MIN_LIFT,
+    min_support: float | None = None,
+    search: str = "",
+) -> DataFrame:
     """One row ``(shown, total)``: one pass over the rules."""
     cond = explore_filter(rules, min_lift, min_support, search)
     return rules.agg(F.count_if(cond).alias("shown"), F.count(F.lit(1)).alias("total"))

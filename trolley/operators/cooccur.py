@@ -3,10 +3,12 @@
 No pairs are emitted per basket and no self-join is made. The N top items
 (a bounded array, one scalar subquery) become bit positions; each basket is
 reduced, in a narrow projection, to a bit mask of the top items it holds;
-one global aggregation with map-side partial sums counts, for every position
-pair (i, j), the baskets whose mask has both bits. The N × N cells are then
-laid out from that single row. Work is one scan of the baskets, whatever the
-skew, and the shuffle carries one partial row per task.
+baskets are counted per distinct mask (a hash aggregation combined
+map-side), and one global aggregation over the distinct masks sums, for every
+position pair (i, j), the baskets whose mask has both bits. The N × N cells
+are then laid out from that single row. Work is one scan of the baskets,
+whatever the skew; the shuffles carry distinct masks and one partial row per
+task.
 """
 
 from __future__ import annotations
@@ -46,12 +48,16 @@ def _pair_counts(baskets: DataFrame, counts: DataFrame, n: int) -> DataFrame:
         f"(CASE WHEN array_contains(items, try_element_at(top, {i + 1})) THEN {1 << i}L ELSE 0L END)" for i in range(n)
     )
     masks = holding.select(F.expr(bits).alias("mask"), F.size("top").alias("k"))
+    # Baskets holding the same top items share a mask: count each mask once
+    # (a small hash aggregation, combined map-side) so that the n(n-1)/2 sums
+    # run over distinct masks (at most 2^n, at most the baskets), not baskets.
+    per_mask = masks.groupBy("mask").agg(F.count(F.lit(1)).alias("cnt"), F.max("k").alias("k"))
     pair_sums = ", ".join(
-        f"CAST(sum((shiftright(mask, {i}) & shiftright(mask, {j})) & 1L) AS BIGINT)"
+        f"CAST(sum(((shiftright(mask, {i}) & shiftright(mask, {j})) & 1L) * cnt) AS BIGINT)"
         for i in range(n)
         for j in range(i + 1, n)
     )
-    sums = masks.agg(F.max("k").alias("k"), F.expr(f"array({pair_sums})").alias("upper"))
+    sums = per_mask.agg(F.max("k").alias("k"), F.expr(f"array({pair_sums})").alias("upper"))
     # Lay the n × n cells out from the upper-triangle sums: cell (i, j) reads
     # sum number tri(min, max); the diagonal is 0.
     cell = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell")

@@ -61,3 +61,26 @@ def test_rules_parquet_keeps_arrays(spark, tmp_path):
         map(tuple, res.rules.select("confidence", "lift", "support").collect())
     )
     res.unpersist()
+
+
+def test_views_invariant_under_repartitioning(spark):
+    from trolley.operators import cooccur, histogram, items
+    from trolley.plans.study import Study
+
+    lines = tables.order_lines(spark, SF)
+    shuffled = lines.repartition(5).orderBy(F.rand(3))
+    params = MiningParams(0.01, 0.2)
+
+    def views(frame):
+        s = Study.of_baskets(from_lines(frame, "basket", "item"), params)
+        out = {
+            "counts": items.item_counts(s.baskets),
+            "share": items.top_item_share(s.item_counts),
+            "cooccur": cooccur.cooccurrence_matrix(s.baskets, s.item_counts),
+            "hist": histogram.histogram(s.mined.rules, "lift"),
+        }
+        got = {k: sorted(map(tuple, v.collect())) for k, v in out.items()}
+        s.release()
+        return got
+
+    assert views(lines) == views(shuffled)

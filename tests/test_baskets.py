@@ -143,3 +143,30 @@ def test_quoted_newline_needs_multi_line(spark, tmp_path):
     p.write_text('Item(s),Item 1,Item 2\n2,"whole\nmilk",bread\n2,tea,jam\n')
     folded = fold_wide(read_wide_csv(spark, str(p), multi_line=True))
     assert folded_rows(folded) == sorted([("whole\nmilk", "bread"), ("tea", "jam")])
+
+
+@pytest.mark.parametrize("body", ["2,a,b,c,\n", '2,"x,y",b,,\n'])
+def test_empty_extra_cell_is_an_error_like_pandas(spark, tmp_path, body):
+    with pytest.raises(PySparkException):
+        fold_csv(spark, tmp_path, body).collect()
+
+
+def test_quoted_commas_and_doubled_quotes(spark, tmp_path):
+    got = folded_rows(fold_csv(spark, tmp_path, '2,"x,y",b,\n3,"q""r",s,t\n'))
+    assert got == sorted([("x,y", "b"), ('q"r', "s", "t")])
+
+
+def test_csv_round_trip_with_quotes_and_commas(spark, tmp_path):
+    from trolley.sources.sinks import write_csv
+
+    wide = spark.createDataFrame(
+        [(1, 2, 'say "hi"', "a, b", None), (2, 3, "x", "y", "z")],
+        "basket long, `Item(s)` int, `Item 1` string, `Item 2` string, `Item 3` string",
+    )
+    out = str(tmp_path / "rt")
+    write_csv(wide, out)
+    back = fold_wide(read_wide_csv(spark, out), id_col="basket")
+    assert sorted((r["basket_id"], tuple(r["items"])) for r in back.collect()) == [
+        (1, ('say "hi"', "a, b")),
+        (2, ("x", "y", "z")),
+    ]

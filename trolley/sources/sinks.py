@@ -30,7 +30,9 @@ def itemsets_export_frame(itemsets: DataFrame) -> DataFrame:
 
 
 def write_csv(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
-    frame.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; quotes inside fields are doubled (RFC 4180, as pandas
+    writes and reads them)."""
+    frame.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_parquet(frame: DataFrame, path: str, mode: str = "overwrite") -> None:

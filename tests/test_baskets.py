@@ -87,6 +87,8 @@ def test_short_row_is_filled(spark, tmp_path):
     [
         ",a,b,\n",  # missing count
         "x,a,b,\n",  # count not a number
+        "NaN,a,b,\n",  # count is a missing word
+        "nan,a,b,\n",  # idem
         "4,a,b,c\n",  # count above the item columns
         "2,a,b,c,d\n",  # more cells than the header
     ],

@@ -50,8 +50,10 @@ def item_columns(df: DataFrame) -> list[str]:
 
 
 def item_count(c: Column) -> Column:
-    """``int(x)`` semantics for the count cell: ``'2.0'`` is 2, text is null."""
-    return c.cast("string").try_cast("double").cast("int")
+    """``int(x)`` semantics for the count cell: ``'2.0'`` is 2; text, a missing
+    word and NaN (which ``int`` rejects) are null."""
+    d = missing_to_null(c.cast("string")).try_cast("double")
+    return F.when(~F.isnan(d), d).cast("int")
 
 
 def fold_wide(

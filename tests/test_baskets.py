@@ -172,3 +172,9 @@ def test_csv_round_trip_with_quotes_and_commas(spark, tmp_path):
         (1, ('say "hi"', "a, b")),
         (2, ("x", "y", "z")),
     ]
+
+
+def test_clean_drops_null_items(spark):
+    df = spark.createDataFrame([(1, ["A", None, "b"]), (2, [None, "x"]), (3, None)], "basket_id long, items array<string>")
+    got = sorted((r["basket_id"], tuple(r["items"])) for r in clean(df).collect())
+    assert got == [(1, ("a", "b"))]

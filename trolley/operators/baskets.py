@@ -119,9 +119,10 @@ def clean(
     min_size: int = MIN_BASKET_SIZE,
     drop_blank: bool = False,
 ) -> DataFrame:
-    """Trim + lower-case every item, keep distinct items, keep baskets with
-    at least ``min_size`` items. Items come out sorted (set semantics)."""
-    items = F.array_distinct(F.transform(F.col(items_col), normalize_item))
+    """Trim + lower-case every item, drop null items, keep distinct items,
+    keep baskets with at least ``min_size`` items. Items come out sorted (set
+    semantics)."""
+    items = F.array_distinct(F.filter(F.transform(F.col(items_col), normalize_item), lambda x: x.isNotNull()))
     if drop_blank:
         items = F.filter(items, lambda x: x != F.lit(""))
     others = [c for c in baskets.columns if c != items_col]

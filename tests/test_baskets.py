@@ -178,3 +178,11 @@ def test_clean_drops_null_items(spark):
     df = spark.createDataFrame([(1, ["A", None, "b"]), (2, [None, "x"]), (3, None)], "basket_id long, items array<string>")
     got = sorted((r["basket_id"], tuple(r["items"])) for r in clean(df).collect())
     assert got == [(1, ("a", "b"))]
+
+
+def test_from_lines_keeps_text_basket_ids(spark):
+    lines = spark.createDataFrame(
+        [("T1", "a"), ("T1", "b"), ("T2", "a"), ("T2", "c"), (None, "x"), (None, "y")], "basket string, item string"
+    )
+    got = sorted((r["basket_id"], tuple(r["items"])) for r in from_lines(lines, "basket", "item").collect())
+    assert got == [("T1", ("a", "b")), ("T2", ("a", "c"))]

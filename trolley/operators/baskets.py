@@ -62,9 +62,13 @@ def fold_wide(
     item_cols: list[str] | None = None,
     id_col: str | None = None,
     on_bad_count: str = "raise",
+    id_type: str | None = "long",
 ) -> DataFrame:
     """Fold wide rows into ``(basket_id, items)``.
 
+    ``basket_id`` is ``id_col`` cast to ``id_type`` (``None`` keeps its type;
+    a CSV reads every column as text), or a generated id without ``id_col``.
+
     Only the first ``count`` item columns are read; missing cells (null or an
     NA word) are skipped; rows left with no item are dropped. A count that is
     missing or not a number raises (``on_bad_count="raise"``) or drops the row
@@ -100,7 +104,10 @@ def fold_wide(
         )
     items = items.otherwise(kept)
 
-    basket_id = F.col(f"`{id_col}`").cast("long") if id_col else F.monotonically_increasing_id()
+    if id_col:
+        basket_id = F.col(f"`{id_col}`").cast(id_type) if id_type else F.col(f"`{id_col}`")
+    else:
+        basket_id = F.monotonically_increasing_id()
     out = wide.select(basket_id.alias("basket_id"), items.alias("items"))
     if on_bad_count == "drop":
         out = out.where(F.col("items").isNotNull())
@@ -136,16 +143,17 @@ def from_lines(
     min_size: int = MIN_BASKET_SIZE,
     drop_blank: bool = False,
 ) -> DataFrame:
-    """Clean baskets from long ``(basket, item)`` rows.
+    """Clean baskets from long ``(basket, item)`` rows (the basket column keeps
+    its type; rows without a basket or an item are skipped).
 
     Equal to ``clean`` of the collected raw baskets, but the normalisation runs
     per row and duplicates are dropped during the (map-side combined)
     aggregation, so no raw per-basket list is ever built.
     """
     rows = lines.select(
-        F.col(basket_col).cast("long").alias("basket_id"),
+        F.col(basket_col).alias("basket_id"),
         normalize_item(F.col(item_col)).alias("item"),
-    ).where(F.col("item").isNotNull())
+    ).where(F.col("basket_id").isNotNull() & F.col("item").isNotNull())
     if drop_blank:
         rows = rows.where(F.col("item") != F.lit(""))
     return (

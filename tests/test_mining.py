@@ -209,3 +209,27 @@ def test_sweep_mines_at_the_loosest_setting(make_baskets):
     for s, c in settings:
         direct = mine(make_baskets(FIVE), MiningParams(s, c))
         assert got[(s, c)] == (direct.itemsets.count(), direct.rules.count())
+
+
+@pytest.mark.parametrize("num_partitions", [1, 3, 16])
+def test_hot_item_matches_brute_force_at_any_group_count(make_baskets, num_partitions):
+    """One item in nine baskets of ten: its conditional database is the
+    largest FP-growth group; the result is exact whatever the group count."""
+    import random
+
+    rnd = random.Random(11)
+    universe = [f"i{k}" for k in range(10)]
+    baskets = []
+    for _ in range(300):
+        b = set(rnd.sample(universe, rnd.randint(1, 4)))
+        if rnd.random() < 0.9:
+            b.add("hot")
+        baskets.append(sorted(b))
+    freq, rules = _brute_force(baskets, 0.04, 0.3)
+    res = mine(make_baskets(baskets).repartition(5), MiningParams(0.04, 0.3, num_partitions))
+    assert itemsets_of(res) == freq
+    got = rules_of(res)
+    assert set(got) == set(rules)
+    for k, v in rules.items():
+        assert got[k] == pytest.approx(v, rel=1e-12)
+    res.unpersist()

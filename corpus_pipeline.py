@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trolley.llm import quality
 from trolley.llm.bpe import encode
 from trolley.llm.shared import settle, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep(docs)
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's ids and the hash of what they decode to."""
     return encode(docs, ids=True, digest=True)
 
 
-STAGES = [("bpe", bpe)]
+STAGES = [("quality", quality_rules), ("bpe", bpe)]
 
 #: The stages work on signatures, suffix arrays and trained thresholds, which SQL can't express.
 ORACLE_SQL = None

@@ -155,7 +155,7 @@ def communication_matrix(counts: DataFrame, sizes: list[int], bits: int, seed: i
     spark = counts.sparkSession
     empty = "cast(array() as array<bigint>)"
     tree = spark.range(1).select(
-        F.lit(0).cast("long").alias("node"), F.expr(f"array({', '.join(f'{n}L' for n in sizes)})" if sizes else empty).alias("caps")
+        F.col("id").alias("node"), F.expr(f"array({', '.join(f'{n}L' for n in sizes)})" if sizes else empty).alias("caps")
     )
     done = 0
     while done < bits:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.llm import quality
+from trolley.llm import decontamination, quality
 from trolley.llm.bpe import encode
 from trolley.llm.shared import settle, table
 
@@ -14,12 +14,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of ``benchmark`` are cut out of the texts."""
+    return decontamination.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's ids and the hash of what they decode to."""
     return encode(docs, ids=True, digest=True)
 
 
-STAGES = [("quality", quality_rules), ("bpe", bpe)]
+STAGES = [("quality", quality_rules), ("decontamination", decontaminate), ("bpe", bpe)]
 
 #: The stages work on signatures, suffix arrays and trained thresholds, which SQL can't express.
 ORACLE_SQL = None

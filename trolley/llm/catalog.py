@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.llm.bpe import op3_bpe
+from trolley.llm.decontamination import op8_decontamination
 from trolley.llm.quality import op6_quality
 from trolley.llm.sharding import op1_sharding
 from trolley.llm.token_files import op4_token_files
@@ -15,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def QUERIES() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op3_bpe, op4_token_files, op6_quality)}
+    return {f.__name__: f for f in (op1_sharding, op3_bpe, op4_token_files, op6_quality, op8_decontamination)}
 
 
 def ORACLES() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.llm import decontamination, near_dedup, quality
+from trolley.llm import decontamination, line_dedup, near_dedup, quality
 from trolley.llm.bpe import encode
 from trolley.llm.shared import settle, table
 
@@ -14,6 +14,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and similar lines one stays in the corpus; every document stays."""
+    return line_dedup.dedupe(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five words, similarity 0.8."""
     return near_dedup.dedupe(docs, size=5, num=4, den=5)
@@ -29,7 +34,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs, ids=True, digest=True)
 
 
-STAGES = [("quality", quality_rules), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("bpe", bpe)]
+STAGES = [("quality", quality_rules), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("bpe", bpe)]
 
 #: The stages work on signatures, suffix arrays and trained thresholds, which SQL can't express.
 ORACLE_SQL = None

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trolley.llm.bpe import op3_bpe
 from trolley.llm.decontamination import op8_decontamination
+from trolley.llm.line_dedup import op7_line_dedup
 from trolley.llm.near_dedup import op2_near_dedup
 from trolley.llm.quality import op6_quality
 from trolley.llm.sharding import op1_sharding
@@ -17,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def QUERIES() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_bpe, op4_token_files, op6_quality, op8_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_bpe, op4_token_files, op6_quality, op7_line_dedup, op8_decontamination)}
 
 
 def ORACLES() -> dict[str, str]:

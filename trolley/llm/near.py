@@ -134,12 +134,34 @@ def _with_roots(found: DataFrame) -> DataFrame:
     return found.union(found.select("comp", "comp").distinct())
 
 
-def _across(num: int, den: int, batch: int, miss: float):
-    """Function of one block of pairs: links that join parts (columns: lid, comp, side, both, n, items[, sig])."""
+ToSet = Callable[[object], np.ndarray]
+
+
+def as_set(value: object) -> np.ndarray:
+    return np.asarray(value, np.int64)
+
+
+def _confirmed(num: int, den: int, to_set: ToSet):
+    """Pairs (a, b, x, y) whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                p, q = (to_set(v.values if isinstance(v, pa.ListScalar) else v.as_py()) for v in (x, y))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(den * common >= num * (len(p) + len(q) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
+    """Function of one block of pairs: links that join parts (columns: lid, part, side, items[, sig])."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         lid, part = rows["lid"].to_numpy(), rows["part"].to_numpy()
-        sets = [np.asarray(x, np.int64) for x in rows["items"]]
+        sets = [to_set(x) for x in rows["items"]]
         n = np.array([len(s) for s in sets], np.int64)
         left = np.flatnonzero(rows["side"].to_numpy() <= 0)
         right = np.flatnonzero(rows["side"].to_numpy() >= 0)
@@ -197,12 +219,13 @@ def groups(
     den: int,
     batch: int = 32,
     miss: float = 1e-6,
+    to_set: ToSet = as_set,
 ) -> DataFrame:
     """(lid, comp): rows linked with others, directly or over others, with the smallest row so reached; roots too.
 
     items: settled (lid, k1, k2, bands): row, 128-bit key of its content, its
     band keys (null where the same content has them in another row).
-    fetch: from (lid) to (lid, items: sorted distinct array<long>[, sig]).
+    fetch: from (lid) to (lid, items[, sig]); to_set makes an item a sorted array of distinct numbers.
     Links: equal keys, or den * |intersection| >= num * |union| of the sets.
     """
     same = items.groupBy("k1", "k2").agg(F.min("lid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -222,10 +245,8 @@ def groups(
 
     one = near.groupBy("b").agg(F.min("a").alias("a"))
     pairs = one.join(sets.select(F.col("lid").alias("b"), F.col("items").alias("y")), "b")
-    pairs = pairs.join(sets.select(F.col("lid").alias("a"), F.col("items").alias("x")), "a")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    confirmed = pairs.where(common * den >= (F.size("x") + F.size("y") - common) * num).select("a", "b")
-    confirmed = settle(confirmed, "confirmed")
+    pairs = pairs.join(sets.select(F.col("lid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+    confirmed = settle(pairs.mapInArrow(_confirmed(num, den, to_set), "a long, b long"), "confirmed")
     parts = _with_roots(components(confirmed)).select(F.col("v").alias("lid"), F.col("comp").alias("part"))
     parts = settle(candidates.join(parts, "lid", "left").select("lid", "cand", F.coalesce("part", "lid").alias("part")), "parts")
 
@@ -257,7 +278,7 @@ def groups(
         "lid", "cand", "part", F.explode(F.when(is_main, from_main).otherwise(F.concat(with_main, with_others))).alias("k")
     )
     keyed = keyed.select("lid", "cand", "part", "k.*").join(sets, "lid")
-    found = keyed.groupBy("cand", "kind", "x", "y").applyInPandas(_across(num, den, batch, miss), "a long, b long")
+    found = keyed.groupBy("cand", "kind", "x", "y").applyInPandas(_across(num, den, batch, miss, to_set), "a long, b long")
     links = settle(confirmed.union(found), "links")
 
     final = _with_roots(components(links)).select(F.col("v").alias("lid"), "comp")

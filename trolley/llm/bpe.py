@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -37,7 +38,7 @@ from trolley.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Cached chunks and words of one worker; beyond that the cache starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 #: Remembered outcomes for pairs of tokens.
 MAX_PAIRS = 1_000_000
 
@@ -88,7 +89,7 @@ class Bpe:
         self.size = [len(t.removesuffix(END)) for t in self.tokens]
         self.automaton()
         self.letters = byte_letters()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.forget()
         pieces = [(t + " ").encode() for t in self.tokens]
         self.piece_len = np.array([len(p) for p in pieces], np.int64)
@@ -134,58 +135,70 @@ class Bpe:
                 limit, a = rank[a], self.right[a]
         return False
 
-    def last_token(self, candidates: Iterable[tuple[int, int]], depth: int, states: list[int]) -> int:
-        """The candidate (token, length) that ends a prefix of ``depth`` letters; states[d]: the one at depth d."""
-        fits = self.fits
-        for token, length in candidates:
-            if length == depth:
-                return token  # the whole prefix is one token
-            pair = states[depth - length], token
-            ok = fits.get(pair)
-            if ok is None:
-                if len(fits) > MAX_PAIRS:
-                    fits.clear()
-                ok = fits[pair] = self.may_follow(*pair)
-            if ok:
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def fitting(self, left: int, token: int) -> bool:
+        """``may_follow``, remembered."""
+        if len(self.fits) > MAX_PAIRS:
+            self.fits.clear()
+        ok = self.fits[left << 32 | token] = self.may_follow(left, token)
+        return ok
 
     def encode_words(self, words: Iterable[str]) -> None:
-        """Put the ids of distinct byte-letter words into the pool, by depth-first traversal of their trie."""
+        """Put the ids of distinct byte-letter words into the pool, by depth-first traversal of their trie.
+
+        Of the tokens that end at a node, longest first, the one that fits is
+        its state: the whole prefix, or one that may follow the state of the
+        node where it starts.
+        """
         states, nodes = [-1], [0]  # by depth along the path: last token, automaton state
-        path, size, step, fail, found = "", self.size, self.step, self.fail, self.found
+        path, size, step, fail = "", self.size, self.step, self.fail
+        found, found_at_end, fits, fitting = self.found, self.found_at_end, self.fits, self.fitting
+        known, at, pool = self.words, self.at, self.pool
         for word in sorted(words):
-            depth = min(len(states) - 1, len(word) - 1)
+            depth = min(len(states), len(word)) - 1
             while path[:depth] != word[:depth]:
                 depth -= 1
             del states[depth + 1 :], nodes[depth + 1 :]
-            node = nodes[-1]
-            for letter in word[depth:-1]:
-                while letter not in step[node]:
-                    node = fail[node]
-                node = step[node][letter]
+            node, path = nodes[-1], word
+            end = len(word) - 1
+            while depth <= end:
+                letter = word[depth]
+                after = step[node].get(letter)
+                if after is None:
+                    back = node
+                    while after is None:
+                        back = fail[back]
+                        after = step[back].get(letter)
+                    step[node][letter] = after  # the way through the fail links is taken once
+                node = after
+                candidates = found[node] if depth < end else found_at_end[node]
+                depth += 1
+                for token, length in candidates:
+                    if length == depth:
+                        break
+                    left = states[depth - length]
+                    ok = fits.get(left << 32 | token)
+                    if fitting(left, token) if ok is None else ok:
+                        break
+                states.append(token)
                 nodes.append(node)
-                states.append(self.last_token(found[node], len(states), states))
-            path, depth = word, len(word)
-            while (letter := word[-1]) not in step[node]:
-                node = fail[node]
-            token = self.last_token(self.found_at_end[step[node][letter]], depth, states)
-            ids = [token]
-            depth -= size[token]
+            token = states.pop()  # it ends this word only
+            nodes.pop()
+            ids, depth = [token], depth - size[token]
             while depth:
                 ids.append(states[depth])
                 depth -= size[states[depth]]
-            self.words[word] = len(self.at) - 1
-            self.pool.extend(reversed(ids))
-            self.at.append(len(self.pool))
+            known[word] = len(at) - 1
+            pool.extend(reversed(ids))
+            at.append(len(pool))
 
     # Texts --------------------------------------------------------------
 
     def split(self, chunk: str) -> list[str]:
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:
-            return _UNICODE.findall(chunk)
+        if not chunk.isascii():
+            try:
+                chunk.encode("latin-1")
+            except UnicodeEncodeError:
+                return _UNICODE.findall(chunk)
         return _LATIN.findall(chunk)
 
     def letters_of(self, word: str) -> str:
@@ -193,7 +206,10 @@ class Bpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of new chunks (texts without white space) into the cache."""
-        pieces = {c: [self.letters_of(w) for w in self.split(c)] for c in chunks}
+        pieces = {
+            c: _LATIN.findall(c) if c.isascii() and c.isprintable() else [self.letters_of(w) for w in self.split(c)]
+            for c in chunks
+        }
         words, at, pool = self.words, self.at, self.pool
         self.encode_words({w for ws in pieces.values() for w in ws if w not in words})
         for chunk, ws in pieces.items():
@@ -225,28 +241,34 @@ class Bpe:
         """All ids of the texts one after another (uint32), and where each text starts, with the end."""
         ids: list[np.ndarray] = []
         starts = np.zeros(len(texts) + 1, np.int64)
+        none = itertools.repeat(-1)
         k = 0
         while k < len(texts):
-            parts: list[list[str | int]] = []
+            # Texts up to a bound of new chunks: where each chunk's ids are, or -1.
+            if len(self.chunks) > MAX_WORDS:
+                self.forget()
+            held: list[tuple[list[str | int], np.ndarray]] = []
             new: set[str] = set()
-            first = k
+            first, get = k, self.chunks.get
             while k < len(texts) and len(new) < MAX_WORDS // 4:
                 own = self.parts_of(texts[k] or "")
-                parts.append(own)
-                new.update(c for c in set(own).difference(self.chunks) if isinstance(c, str))
+                where = np.fromiter(map(get, own, none), np.int64, len(own))
+                new.update([c for j in np.flatnonzero(where < 0).tolist() if isinstance(c := own[j], str)])
+                held.append((own, where))
                 k += 1
-            if len(self.chunks) + len(new) > MAX_WORDS:
-                self.forget()
-                new = {c for own in parts for c in own if isinstance(c, str)}
             self.learn(new)
-            cache = self.chunks
             at, pool = np.array(self.at), np.array(self.pool)
-            for row, own in enumerate(parts, first):
-                try:
-                    where = np.fromiter(map(cache.__getitem__, own), np.int64, len(own))
-                except KeyError:
-                    got = [[c] if isinstance(c, int) else pool[at[cache[c]] : at[cache[c] + 1]] for c in own]
-                    flat = np.concatenate([np.array([], np.uint32), *got]).astype(np.uint32)
+            for row, (own, where) in enumerate(held, first):
+                missing = np.flatnonzero(where < 0)
+                specials = []
+                for j in missing.tolist():
+                    if isinstance(own[j], int):
+                        specials.append(j)
+                    else:
+                        where[j] = self.chunks[own[j]]
+                if specials:
+                    got = [[c] if isinstance(c, int) else pool[at[w] : at[w + 1]] for c, w in zip(own, where)]
+                    flat = np.concatenate(got).astype(np.uint32)
                 else:
                     flat = pool[ragged(at[where], at[where + 1] - at[where])]
                 ids.append(flat)

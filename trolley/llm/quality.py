@@ -112,9 +112,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_words(docs: DataFrame, count: int = COMMON_WORDS) -> DataFrame:
-    """(lang, words): each language's most frequent words, ties by the word; ``docs``: lang, text."""
+    """(lang, words): each language's most frequent words, ties by the word; ``docs``: lang, text.
+
+    Languages with too few words for a reference are left out.
+    """
     counts = docs.mapInArrow(_counted, "lang string, word string, n long")
-    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = settle(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    enough = counts.groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= MIN_REFERENCE_WORDS)
+    counts = counts.join(enough.select("lang"), "lang", "left_semi")
     counts = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
     # Best of the best of each part: no task ranks a whole language.
     for key in (["lang", "salt"], ["lang"]):
@@ -166,23 +171,45 @@ LISTS = ("classes", "bins", "counts")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *LISTS)
 
 
-def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares."""
+def distance(p: np.ndarray, q: np.ndarray) -> float:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of the same bins."""
+    p, q = p / max(p.sum(), 1.0), q / max(q.sum(), 1.0)
+    middle = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(p > 0, p * np.log2(p / middle), 0) + np.where(q > 0, q * np.log2(q / middle), 0)
+    return float(np.sqrt(max(terms.sum() / 2, 0.0)))
+
+
+def _compared(references: dict[str, tuple[int, np.ndarray, np.ndarray]], words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = {c: batch.column(c).to_pylist() for c in ("lang", "n_words", *LISTS)}
+            found = []
+            for lang, n, classes, bins, counts in zip(*get.values()):
+                reference = references.get(lang)
+                own = np.zeros(words + 1)
+                own[bins] = counts
+                own[words] = n - own[:words].sum()
+                apart = (None, None)
+                if reference:
+                    apart = distance(np.array(classes, float), reference[1]), distance(own, reference[2])
+                found.append((sum(classes), reference[0] if reference else 0, *apart))
+            names = ["key", *[c for c in MEASURES if c not in LISTS]]
+            arrays = [batch.column(c) for c in names]
+            arrays += [pa.array([f[k] for f in found], pa.int64() if k < 2 else pa.float64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, *COMPARED])
+
+    return run
 
-    def part(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(a * 2 / (a + b))).otherwise(0.0)
 
-    terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+COMPARED = ("n_chars", "reference_words", "class_distance", "word_distance")
 
 
 def measure(docs: DataFrame, key: Column, words: int = COMMON_WORDS) -> DataFrame:
     """One row for each document: its ``key``, counts of the base rule, class_distance, word_distance, reference_words.
 
-    A distance is null where the language has no reference. The common words
-    collected are ``words`` for each language; references are joined by
-    language and never collected.
+    A distance is null where the language has no reference. What is collected
+    are two short lists for each language: its common words, its reference.
     """
     own = docs.select(
         key.alias("key"),
@@ -205,50 +232,17 @@ def measure(docs: DataFrame, key: Column, words: int = COMMON_WORDS) -> DataFram
     ).select("lang", "kind", F.col("x.bins").cast("int").alias("bin"), F.col("x.counts").alias("n"))
     totals = distinct.groupBy("lang").agg(F.sum("n_words").alias("all_words"))
     found = by_class.unionByName(by_word).groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
-    found = found.groupBy("lang").agg(
-        *[
-            F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("bin", "n")))).alias(f"of_{k}")
-            for k in ("classes", "words")
-        ]
-    )
-
-    def shares(counts: Column, total: Column) -> Column:
-        return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1.0)))
-
-    def summed(counts: Column) -> Column:
-        return F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
-
-    def with_rest(counts: Column, total: Column) -> Column:
-        return F.concat(counts, F.array(F.greatest(total - summed(counts), F.lit(0.0))))
-
-    def by_bin(pairs: Column, size: int) -> Column:
-        at = F.sequence(F.lit(0), F.lit(size - 1))
-        return F.transform(at, lambda k: F.coalesce(F.try_element_at(pairs, k), F.lit(0)).cast("double"))
-
-    reference = found.join(totals, "lang").where(F.col("all_words") >= MIN_REFERENCE_WORDS)
-    reference = reference.select(
-        "lang",
-        F.col("all_words").alias("reference_words"),
-        by_bin(F.col("of_classes"), CLASSES).alias("ref_classes"),
-        with_rest(by_bin(F.col("of_words"), words), F.col("all_words").cast("double")).alias("ref_words"),
-    ).select(
-        "lang",
-        "reference_words",
-        shares(F.col("ref_classes"), summed(F.col("ref_classes"))).alias("ref_classes"),
-        shares(F.col("ref_words"), summed(F.col("ref_words"))).alias("ref_words"),
-    )
-    joined = measured.join(reference, "lang", "left")
-    n_chars = summed(F.col("classes").cast("array<double>"))
-    own_bins = F.map_from_arrays(F.col("bins").cast("array<int>"), F.col("counts"))
-    n_words = F.col("n_words").cast("double")
-    return joined.select(
-        "key",
-        *[c for c in MEASURES if c not in LISTS],
-        n_chars.cast("long").alias("n_chars"),
-        F.coalesce("reference_words", F.lit(0)).alias("reference_words"),
-        _distance(shares(F.col("classes").cast("array<double>"), n_chars), F.col("ref_classes")).alias("class_distance"),
-        _distance(shares(with_rest(by_bin(own_bins, words), n_words), n_words), F.col("ref_words")).alias("word_distance"),
-    )
+    totals = totals.where(F.col("all_words") >= MIN_REFERENCE_WORDS)
+    sizes = {r["lang"]: r["all_words"] for r in totals.collect()}
+    references = {lang: (n, np.zeros(CLASSES), np.zeros(words + 1)) for lang, n in sizes.items()}
+    for r in found.join(totals.select("lang"), "lang", "left_semi").collect():
+        references[r["lang"]][1 + (r["kind"] == "words")][r["bin"]] = r["n"]
+    for n, _, by_word in references.values():
+        by_word[words] = n - by_word[:words].sum()
+    schema = T.StructType([f for f in measured.schema if f.name in ("key", *MEASURES) and f.name not in LISTS])
+    for k, c in enumerate(COMPARED):
+        schema = schema.add(c, T.LongType() if k < 2 else T.DoubleType())
+    return measured.mapInArrow(_compared(references, words), schema)
 
 
 def judge(measured: DataFrame) -> DataFrame:

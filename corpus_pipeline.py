@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trolley.llm import decontamination, line_dedup, near_dedup, quality
 from trolley.llm.bpe import encode
 from trolley.llm.shared import settle, table
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, follows the text that a stage has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep(docs)
@@ -16,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and similar lines one stays in the corpus; every document stays."""
-    return line_dedup.dedupe(docs)
+    return _counted(line_dedup.dedupe(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ``benchmark`` are cut out of the texts."""
-    return decontamination.remove(docs, table(spark, sf_dir, "benchmark"))
+    return _counted(decontamination.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

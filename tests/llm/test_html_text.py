@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import html
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trolley.llm import html_samples
+from trolley.llm import html_text as H
+
+
+def text(page):
+    return " ".join(b.text for b in H.article(page, H.trained()))
+
+
+def test_tree_fits_its_table_and_new_layouts():
+    wrong = total = 0
+    for page, wanted in html_samples.labelled():
+        blocks = H.blocks(page)
+        judged = H.trained().judge(H.features(blocks)) >= 0.5
+        wrong += sum(j != (b.text in wanted) for b, j in zip(blocks, judged))
+        total += len(blocks)
+    assert total > 300 and wrong <= 0.01 * total
+
+
+def test_training_finds_a_split():
+    x = np.array([[0, 5], [1, 5], [2, 5], [3, 5]], float)
+    tree = H.train(x, np.array([0, 0, 1, 1.0]), least=1)
+    assert (tree.feature, tree.threshold, tree.low, tree.high) == (0, 1.5, 0.0, 1.0)
+    assert H.train(x, np.ones(4)) == 1.0
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (None, ""),
+        ("", ""),
+        ("plain text only", "plain text only"),
+        ("<p>hi there", "hi there"),
+        ("<article><p>a<b>b</b>c <!-- x --> d<table><tr><td>1</td><td>2</td></tr></table></article>", "abc d 1 2"),
+        ("<article><p>A&nbsp;&lt;b&gt;\n\n c&#233;<script>var a='<p>no</p>'</script></p><p cla", "A <b> cé"),
+        ("<article><p>Long text here</p><div class='comments'><p>Nice</p></div></article>", "Long text here"),
+        ("<nav>Menu</nav><article><h1>T</h1><p>x</p><aside>Side</aside><form>Say<input></form></article>", "T x"),
+        ("<div id=cookie-notice><p>We use</p></div><main><p>Own <a title='a>b'>link</a>.</p></main>", "Own link."),
+        ("<style>p{}</style><article>1 < 2 and 3 > 2<br>next</article><footer>f", "1 < 2 and 3 > 2 next"),
+    ],
+)
+def test_pages(page, wanted):
+    assert text(page) == wanted
+
+
+def test_neighbours_are_in_the_features():
+    blocks = H.blocks("<p>one two</p><p><a>three</a></p><p>four five six</p>")
+    x = H.features(blocks)
+    assert x[:, 0].tolist() == [2, 1, 3] and x[:, 1].tolist() == [0, 1, 0]
+    assert x[1, 2] == 2 and x[1, 4] == 3 and x[0, 5] == 1 and x[2, 3] == 1
+
+
+def test_query(spark, sf):
+    pages = duckdb.sql(f"select page_id, url, html from read_parquet('{sf}/pages.parquet')").fetchall()
+    rows = {r["page_id"]: r for r in H.op5_html_text(spark, sf).collect()}
+    assert len(rows) == len(pages)
+    for i, url, page in pages:
+        inner = page[page.find("<article>") :].partition("</article>")[0]
+        inner = re.sub(r"</?(article|p|br|h1)[^>]*>", " ", re.sub(r"</?b>", "", inner))
+        wanted = " ".join(html.unescape(inner).split())
+        assert tuple(rows[i]) == (i, url, wanted, len(wanted))
+
+
+def test_edge_rows(spark):
+    rows = [(1, None, "u"), (1, "<p>a b c", "u"), (None, "<p>a b c", None), (2, "<p>" + "word " * 200_000, "v")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = {(r["key"], r["text"][:5]) for r in H.extract(pages, F.col("page_id")).collect()}
+    assert got == {(1, ""), (1, "a b c"), (None, "a b c"), (2, "word ")}
+    assert H.extract(pages.limit(0), F.col("page_id")).collect() == []

@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from trolley.llm import sharding as S
+
+
+def long(x):
+    return F.lit(x).cast("long")
+
+
+@pytest.mark.parametrize(("total", "good", "draws"), [(20, 7, 9), (12, 12, 5), (9, 0, 4), (9, 4, 9), (9, 4, 0), (0, 0, 0)])
+def test_hypergeometric_distribution(spark, total, good, draws):
+    n = 20_000
+    x = S.hypergeometric(long(total), long(good), long(draws), S._uniform(5, F.col("id")))
+    got = Counter({r["x"]: r["count"] for r in spark.range(n).select(x.alias("x")).groupBy("x").count().collect()})
+    for k in range(draws + 1):
+        p = math.comb(good, k) * math.comb(total - good, draws - k) / math.comb(total, draws) if draws - k <= total - good else 0
+        assert abs(got[k] / n - p) < 0.02
+
+
+def test_hypergeometric_of_large_counts(spark):
+    x = S.hypergeometric(long(30_000_000_000), long(2_000_000_000), long(470_000_000), S._uniform(1, F.col("id")))
+    for r in spark.range(20).select(x.alias("x")).collect():
+        assert abs(r["x"] - 31_333_333) < 10 * 5400
+
+
+def test_matrix_has_exact_margins(spark):
+    counts = spark.createDataFrame([(b, (b * 37) % 90) for b in range(50)], "block long, n long")
+    total = sum((b * 37) % 90 for b in range(50))
+    sizes = [total // 3 + (s < total % 3) for s in range(3)]
+    rows = {r["block"]: r["sends"] for r in S.communication_matrix(counts, sizes, 6).collect()}
+    assert [sum(r[s] for r in rows.values()) for s in range(3)] == sizes
+    assert all(sum(rows[b]) == (b * 37) % 90 for b in range(50))
+    assert all(x >= 0 for r in rows.values() for x in r)
+
+
+@pytest.mark.parametrize(("n", "shards"), [(0, 4), (1, 4), (3, 16), (5000, 7)])
+def test_shards_are_exact_and_gapless(spark, n, shards):
+    rows = S.shard(spark.range(n), shards, rows_per_block=300).collect()
+    assert sorted(r["id"] for r in rows) == list(range(n))
+    sizes = Counter(r["shard"] for r in rows)
+    assert set(sizes) <= set(range(shards))
+    assert {sizes[s] for s in range(shards)} <= {n // shards, n // shards + 1}
+    for s in range(shards):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
+
+
+def test_order_is_shuffled(spark):
+    rows = S.shard(spark.range(6000), 4, rows_per_block=500).collect()
+    # Each shard has its share of each part of the input, and the order within is not the input's.
+    for s in range(4):
+        own = sorted((r["slot"], r["id"]) for r in rows if r["shard"] == s)
+        low = sum(i < 3000 for _, i in own)
+        assert abs(low - 750) < 120
+        rises = sum(a[1] < b[1] for a, b in zip(own, own[1:]))
+        assert abs(rises - 750) < 120
+
+
+def test_edge_rows(docs):
+    rows = S.shard(docs, 3).collect()
+    assert len(rows) == 10
+    assert set(S.shard(docs, 3).columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"}
+    assert sum(r["doc_id"] is None for r in rows) == 1
+
+
+def test_query(spark, sf, texts):
+    rows = S.op1_sharding(spark, sf).collect()
+    import zlib
+
+    by = {r["doc_id"]: r for r in rows}
+    assert len(by) == len(rows) == len(texts)
+    for i, text, _ in texts:
+        raw = (text or "").encode()
+        assert (by[i]["size"], by[i]["text_crc32"], by[i]["law"]) == (len(raw) + 1, zlib.crc32(raw), "rows")
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(16))

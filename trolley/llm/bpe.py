@@ -38,7 +38,9 @@ from trolley.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Cached chunks and words of one worker; beyond that the cache starts anew.
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
+#: Texts that are encoded at a time.
+ROWS = 2_000
 #: Remembered outcomes for pairs of tokens.
 MAX_PAIRS = 1_000_000
 
@@ -242,6 +244,14 @@ class Bpe:
         ids: list[np.ndarray] = []
         starts = np.zeros(len(texts) + 1, np.int64)
         none = itertools.repeat(-1)
+        # Copies of one text are encoded once.
+        row_of: dict[str | None, int] = {}
+        place = [row_of.setdefault(t, len(row_of)) for t in texts]
+        if len(row_of) < len(texts):
+            flat, at = self.encode_batch(list(row_of))
+            own = np.array(place)
+            size = np.diff(at)[own]
+            return flat[ragged(at[own], size)], np.concatenate([[0], np.cumsum(size)])
         k = 0
         while k < len(texts):
             # Texts up to a bound of new chunks: where each chunk's ids are, or -1.
@@ -295,10 +305,17 @@ def load(path: str) -> Bpe:
 # Spark ------------------------------------------------------------------
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS`` rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def _encoded(path: str, keep_ids: bool, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             flat, at = bpe.encode_batch(texts)
             own = [flat[a:b] for a, b in zip(at, at[1:])]

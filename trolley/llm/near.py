@@ -44,7 +44,7 @@ def minhash(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 7)
 
 def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band of ``rows`` hashes of each signature."""
-    parts = signatures.reshape(len(signatures), -1, rows).astype(np.uint64)
+    parts = signatures.reshape(len(signatures), signatures.shape[1] // rows, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64) * _MIX[1], parts.shape[:2])
     for k in range(rows):
         key = (key ^ parts[:, :, k]) * _MIX[0]

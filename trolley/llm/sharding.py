@@ -167,7 +167,7 @@ def communication_matrix(counts: DataFrame, sizes: list[int], bits: int, seed: i
         kids = kids.select(
             "node",
             F.expr(
-                f"transform(sequence(0, {2**step - 1}), i -> coalesce(filter(found, x -> x.at = i)[0].n, 0L))"
+                f"transform(sequence(0, {2**step - 1}), i -> coalesce(get(filter(found, x -> x.at = i), 0).n, 0L))"
             ).alias("kids"),
         )
         drawn = tree.join(kids, "node").select("node", _drawn(seed, done).alias("rows"))

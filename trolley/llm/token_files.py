@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm.bpe import VOCABULARY, load
+from trolley.llm.bpe import VOCABULARY, load, slices
 from trolley.llm.shared import settle, table
 from trolley.session import shared_path
 
@@ -128,31 +128,40 @@ def write_ids(docs: DataFrame, folder: str | None = None, path: str = VOCABULARY
     folder = folder or shared_path(spark, "llm-ids")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and at a task's end one with the counts of its ids: pairs (id, n)."""
         bpe = load(path)
         if max(len(bpe.tokens), end_id + 1) > 1 << 16:
             raise ValueError("ids of more than 16 bits don't fit the codes")
-        for batch in batches:
+        counts = np.zeros(1 << 16, np.int64)
+        end = np.array([end_id], "<u2").tobytes()
+        for batch in slices(batches):
             flat, at = bpe.encode_batch(batch.column("text").to_pylist())
+            counts += np.bincount(flat, minlength=1 << 16)
+            counts[end_id] += batch.num_rows
             flat = flat.astype("<u2")
-            end = np.array([end_id], "<u2").tobytes()
             ids = [flat[a:b].tobytes() + end for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        used = np.flatnonzero(counts)
+        pairs = np.stack([used, counts[used]], 1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs])], names)
 
+    names = ["doc_id", "ids", "counts"]
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    ids = own.mapInArrow(encoded, "doc_id long, ids binary")
-    ids = ids.select("doc_id", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"), "ids")
-    ids = settle(ids, "ids")
+    made = own.mapInArrow(encoded, "doc_id long, ids binary, counts binary")
+    made = settle(made.select("doc_id", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"), "ids", "counts"), "ids")
+    ids = made.where("ids is not null")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(value, "<u2"), minlength=1 << 16)
+                pairs = np.frombuffer(value, "<i8").reshape(-1, 2)
+                counts[pairs[:, 0]] += pairs[:, 1]
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
     # At most one row for each id there is: 65,536.
-    rows = ids.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = made.where("counts is not null").select("counts").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 16, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]

@@ -11,6 +11,7 @@ from trolley.llm.decontamination import op8_decontamination
 from trolley.llm.html_text import op5_html_text
 from trolley.llm.line_dedup import op7_line_dedup
 from trolley.llm.near_dedup import op2_near_dedup
+from trolley.llm.oracle import ORACLES  # noqa: F401
 from trolley.llm.quality import op6_quality
 from trolley.llm.sharding import op1_sharding
 from trolley.llm.token_files import op4_token_files
@@ -34,7 +35,3 @@ def QUERIES() -> dict[str, Query]:
         op10_url_filter,
     )
     return {f.__name__: f for f in found}
-
-
-def ORACLES() -> dict[str, str]:
-    return {}

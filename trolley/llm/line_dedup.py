@@ -2,7 +2,8 @@
 
 Lines are compared in lower case with single spaces, by their distinct
 ``SHINGLE``-character shingles. MinHash signatures and banding find
-candidates, exact Jaccard similarity on full sets verifies them, distributed
+candidates, longer signatures of these prune pairs that can't reach the
+similarity, exact Jaccard similarity on full sets verifies the rest, distributed
 union-find joins them, and of each component the line of the smallest doc_id
 and position stays; the others are cut out of their texts.
 
@@ -33,6 +34,8 @@ from trolley.llm.shared import settle, table
 SHINGLE, MIN_WORDS = 12, 5
 NUM, DEN = 85, 100
 BANDS, ROWS = 8, 4
+#: Hashes of a candidate line that are compared before its full set is.
+PRUNING = 256
 #: Characters that go through the hash functions at a time, and keys that a task has seen.
 CHUNK, MAX_SEEN = 1 << 17, 500_000
 
@@ -125,14 +128,20 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The plain text of each wanted line, and a longer signature (8 bits of each hash) that prunes pairs."""
     for batch in batches:
-        lid, out = [], []
+        lid, out, sig = [], [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             lines = text.split("\n")
             for w in wanted:
                 lid.append(w["lid"])
                 out.append(plain(lines[w["pos"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int64()), pa.array(out, pa.string())], ["lid", "items"])
+        for first in range(0, len(out), 256):
+            values = [(line_set(x).view(np.uint64) >> np.uint64(32)).astype(np.uint32) for x in out[first : first + 256]]
+            starts = np.cumsum([0, *map(len, values)])[:-1]
+            sig += [s.tobytes() for s in (near.minhash(np.concatenate(values), starts, PRUNING, seed=8) & 0xFF).astype(np.uint8)]
+        arrays = [pa.array(lid, pa.int64()), pa.array(out, pa.string()), pa.array(sig, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["lid", "items", "sig"])
 
 
 def mark(docs: DataFrame) -> DataFrame:
@@ -151,7 +160,7 @@ def mark(docs: DataFrame) -> DataFrame:
         at = near.small_join(lines.select("lid", "rid", "pos"), needed, ["lid"])
         wanted = settle(at.groupBy("rid").agg(F.collect_list(F.struct("lid", "pos")).alias("wanted")), "wanted")
         found = near.small_join(rows.select("rid", text), wanted, ["rid"])
-        return found.select("text", "wanted").mapInArrow(_texts, "lid long, items string")
+        return found.select("text", "wanted").mapInArrow(_texts, "lid long, items string, sig binary")
 
     found = settle(near.groups(lines.select("lid", "k1", "k2", "bands"), fetch, NUM, DEN, to_set=line_set), "found")
     named = settle(near.small_join(lines.select("lid", "rid", "doc_id", "pos"), found, ["lid"]), "named")

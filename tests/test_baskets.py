@@ -129,12 +129,10 @@ def test_gap_in_item_columns_is_rejected(spark, tmp_path):
         fold_wide(read_wide_csv(spark, str(p)))
 
 
-def test_to_wide_checks_the_widest_basket(spark):
+def test_to_wide_is_as_wide_as_the_largest_basket(spark):
     from trolley.operators.baskets import to_wide
 
     lines = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d")], "basket long, line int, item string")
-    with pytest.raises(ValueError):
-        to_wide(lines, "basket", "item", ["line"], max_width=2)
     wide = to_wide(lines, "basket", "item", ["line"])
     rows = {r["basket"]: (r["Item(s)"], r["Item 1"], r["Item 2"], r["Item 3"]) for r in wide.collect()}
     assert rows == {1: (3, "a", "b", "c"), 2: (1, "d", None, None)}
@@ -186,3 +184,32 @@ def test_from_lines_keeps_text_basket_ids(spark):
     )
     got = sorted((r["basket_id"], tuple(r["items"])) for r in from_lines(lines, "basket", "item").collect())
     assert got == [("T1", ("a", "b")), ("T2", ("a", "c"))]
+
+
+def test_to_wide_takes_a_very_long_basket(spark):
+    from trolley.operators.baskets import to_wide
+
+    lines = spark.range(5000).selectExpr("1L as basket", "id as line", "concat('i', id) as item")
+    wide = to_wide(lines, "basket", "item", ["line"])
+    row = wide.select("`Item(s)`", "`Item 1`", "`Item 5000`").first()
+    assert tuple(row) == (5000, "i0", "i4999")
+
+
+def test_a_quote_inside_a_field_opens_nothing(spark, tmp_path):
+    """Inch marks are plain characters: the row has one cell too many."""
+    p = tmp_path / "inch.csv"
+    p.write_text('Item(s),Item 1,Item 2,Item 3\n2,a,b,\n3,5" a,6" b,c,d\n')
+    with pytest.raises(Exception, match="more cells than the header"):
+        fold_wide(read_wide_csv(spark, str(p))).collect()
+    p.write_text('Item(s),Item 1,Item 2,Item 3\n3,5" a,6" b,c\n1,"say ""x, y""",,\n')
+    got = [r["items"] for r in fold_wide(read_wide_csv(spark, str(p))).collect()]
+    assert got == [['5" a', '6" b', "c"], ['say "x, y"']]
+
+
+@pytest.mark.parametrize("cell", ["2d", "0x1p1", "inf", "-inf", "nan", "1e400", "two", ""])
+def test_counts_that_are_no_decimal_numbers(spark, cell):
+    rows = spark.createDataFrame([(cell, "a", "b"), ("2.0", "c", "d"), (" 1e0 ", "e", "f")], "`Item(s)` string, `Item 1` string, `Item 2` string")
+    with pytest.raises(Exception, match="not a number"):
+        fold_wide(rows).collect()
+    got = sorted(r["items"] for r in fold_wide(rows, on_bad_count="drop").collect())
+    assert got == [["c", "d"], ["e"]]

@@ -53,7 +53,7 @@ def small(spark):
     s.release()
 
 
-@pytest.mark.parametrize("top_n", [5, 10, 20])
+@pytest.mark.parametrize("top_n", [1, 5, 10, 20, 100])
 def test_cooccurrence_brute_force(small, top_n):
     baskets = [set(r["items"]) for r in small.baskets.collect()]
     counts = {}
@@ -143,3 +143,10 @@ def test_graph_label_collision_keeps_item_type(spark):
     nodes = {r["node"]: r["type"] for r in graph.rule_graph_nodes(rules).collect()}
     assert nodes["a, b"] == "item"
     assert {k for k, v in nodes.items() if v == "itemset"} == set()
+
+
+def test_one_edge_for_each_pair_of_labels(spark):
+    rows = [(["a, b"], ["c"], 0.5, 2.0, 0.1), (["a", "b"], ["c"], 0.4, 1.5, 0.2)]
+    rules = spark.createDataFrame(rows, "antecedent array<string>, consequent array<string>, confidence double, lift double, support double")
+    edges = graph.rule_graph_edges(rules).collect()
+    assert [(e["src"], e["dst"], e["weight"], e["support"]) for e in edges] == [("a, b", "c", 1.5, 0.2)]

@@ -127,5 +127,4 @@ def test_exact_median_matches_spark_percentile(spark, n):
     vals = [float(rnd.randint(0, 50)) for _ in range(n)]  # many ties
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     want = df.select(F.median("x")).first()[0]
-    assert exact_median(df, "x", single_task_limit=0).first()[0] == want  # distributed ranking
-    assert exact_median(df, "x").first()[0] == want  # within the single-task limit
+    assert exact_median(df, "x").first()[0] == want

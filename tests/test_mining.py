@@ -191,7 +191,7 @@ def test_mined_tables_are_cut_from_their_lineage(small_study):
     res = small_study.mined
     for df in (res.itemsets, res.rules):
         lineage = df.rdd.toDebugString().decode()
-        assert "ReliableCheckpointRDD" in lineage or "InMemory" in lineage
+        assert "ReliableCheckpointRDD" in lineage
         assert "FPGrowth" not in lineage
 
 
@@ -202,6 +202,11 @@ def test_filtered_rejects_looser_thresholds(small_study):
         small_study.mined.filtered(0.005, 0.05)
 
 
+def test_sweep_gives_a_row_for_each_setting_as_given(make_baskets):
+    rows = sweep(make_baskets(FIVE), [(0.2, 0.5), (0.2, 0.5)]).collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+
+
 def test_sweep_mines_at_the_loosest_setting(make_baskets):
     settings = [(0.6, 0.5), (0.2, 0.9), (0.4, 0.5)]
     rows = sweep(make_baskets(FIVE), settings).collect()

@@ -43,3 +43,26 @@ def test_release_removes_written_folders(spark):
     assert folders and all(os.path.exists(f.removeprefix("file:")) for f in folders)
     s.release()
     assert not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+
+
+def test_studies_of_other_thresholds_share_baskets(spark):
+    from trolley.plans.study import BasketSpec, release_all, study
+
+    sf = "/root/testdata/sf0.001"
+    a = study(spark, sf, BasketSpec(min_support=0.05, min_confidence=0.2))
+    b = study(spark, sf, BasketSpec(min_support=0.02, min_confidence=0.5))
+    other = study(spark, sf, BasketSpec(item="p_type"))
+    assert a is not b and a.baskets is b.baskets and a.item_counts is b.item_counts
+    assert other.baskets is not a.baskets
+    release_all()
+
+
+def test_wide_csv_study_options(spark, tmp_path):
+    from trolley.operators.mining import MiningParams
+    from trolley.plans.study import wide_csv_study
+
+    p = tmp_path / "lines.csv"
+    p.write_text('Item(s),Item 1,Item 2\n2,"a\nb",c\nbad,d,e\n2,f,g\n')
+    s = wide_csv_study(spark, str(p), MiningParams(0.1, 0.1), multi_line=True, on_bad_count="drop")
+    assert sorted(r["items"] for r in s.baskets.collect()) == [["a\nb", "c"], ["f", "g"]]
+    s.release()

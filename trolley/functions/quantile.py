@@ -1,12 +1,11 @@
 """Exact median without gathering an unbounded column in one task.
 
-``F.median`` keeps every distinct value of its group in one aggregation
-buffer; for a global median that is one task holding the whole column, so it
-is used only up to a checked size. Beyond it the values are range-partitioned
-(with a random tie-break, so a value repeated a billion times still spreads
-over many partitions) and sorted within partitions; each row's global rank is its partition's offset (a prefix
-sum over one count per partition) plus its position inside the partition.
-Only the two middle rows survive the final filter.
+The values are range-partitioned (with a random tie-break, so a value repeated
+a billion times still spreads over many partitions) and sorted within
+partitions; each row's global rank is its partition's offset (a prefix sum
+over one count per partition) plus its position inside the partition. Only
+the two middle rows survive the final filter. The same plan serves every
+size, and building it runs nothing.
 
 Interpolation follows Spark's ``percentile``: for an even count the median is
 ``0.5 × lower + 0.5 × upper``.
@@ -21,32 +20,14 @@ from pyspark.sql import functions as F
 # monotonically_increasing_id = partition index << 33 | row number in partition
 _ROW_BITS = 33
 
-# Up to this many values, Spark's own exact ``median`` (one task merges a
-# buffer of at most this many distinct values) is cheaper than ranking.
-SINGLE_TASK_LIMIT = 1_000_000
 
-
-def exact_median(
-    values: DataFrame,
-    col: str,
-    num_partitions: int | None = None,
-    handles: list | None = None,
-    single_task_limit: int = SINGLE_TASK_LIMIT,
-) -> DataFrame:
+def exact_median(values: DataFrame, col: str, num_partitions: int | None = None, handles: list | None = None) -> DataFrame:
     """One row, one column ``median`` (null when there are no values).
 
-    The number of values is checked first: within ``single_task_limit`` the
-    built-in ``median`` aggregate is used; beyond it, the distributed ranking
-    below. The ranked copy of the column is persisted so that both of its uses
-    (the per-partition counts and the rank lookup) see the same partitioning;
-    it is appended to ``handles`` for the caller to release.
+    The ranked copy of the column is persisted so that both of its uses (the
+    per-partition counts and the rank lookup) see the same partitioning; it is
+    appended to ``handles`` for the caller to release.
     """
-    if values.where(F.col(col).isNotNull()).count() <= single_task_limit:
-        return values.agg(F.median(F.col(col).cast("double")).alias("median"))
-    return _ranked_median(values, col, num_partitions, handles)
-
-
-def _ranked_median(values: DataFrame, col: str, num_partitions: int | None, handles: list | None) -> DataFrame:
     spark = values.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = values.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())

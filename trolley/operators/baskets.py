@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.fixed import COUNT_COLUMN, ITEM_COLUMN_PATTERN, MIN_BASKET_SIZE, NA_WORDS
 from trolley.functions.labels import normalize_item
+from trolley.session import materialize
 
 EXTRA_COLUMN = "_extra"
+DECIMAL = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def missing_to_null(c: Column) -> Column:
@@ -50,10 +52,11 @@ def item_columns(df: DataFrame) -> list[str]:
 
 
 def item_count(c: Column) -> Column:
-    """``int(x)`` semantics for the count cell: ``'2.0'`` is 2; text, a missing
-    word and NaN (which ``int`` rejects) are null."""
-    d = missing_to_null(c.cast("string")).try_cast("double")
-    return F.when(~F.isnan(d), d).cast("int")
+    """``int(x)`` semantics for the count cell: ``'2.0'`` is 2; whatever is not
+    a decimal number (text, a missing word, ``inf``, ``2d``, ``0x1p1``) or does
+    not fit an integer is null."""
+    text = missing_to_null(c.cast("string"))
+    return F.when(text.rlike(DECIMAL), text.try_cast("double").try_cast("int"))
 
 
 def fold_wide(
@@ -163,36 +166,18 @@ def from_lines(
     )
 
 
-def to_wide(
-    lines: DataFrame,
-    basket_col: str,
-    item_col: str,
-    order_cols: list[str],
-    max_width: int = 4096,
-) -> DataFrame:
+def to_wide(lines: DataFrame, basket_col: str, item_col: str, order_cols: list[str]) -> DataFrame:
     """Lay long rows out as the wide layout (``Item(s)``, ``Item 1`` …).
 
-    The width is the largest basket, read from the data (one aggregate) and
-    checked against ``max_width`` first: the wide layout only exists for
-    baskets of bounded length, and the check bounds every per-basket window
-    partition below. Rows are numbered within their basket and spread over
-    the item columns by one aggregation that reuses the window's partitioning.
+    One aggregation gathers a basket's cells in order; it is materialised, the
+    width is its largest basket, and every cell is read by index. A row of the
+    wide layout holds its whole basket, whatever its length.
     """
-    width = lines.groupBy(basket_col).count().agg(F.max("count")).first()[0] or 0
-    if width > max_width:
-        raise ValueError(f"largest basket has {width} rows, above max_width={max_width}")
-    by_basket = Window.partitionBy(basket_col)
-    positioned = lines.select(
+    cells = F.sort_array(F.collect_list(F.struct(*order_cols, F.col(item_col).alias("cell"))))
+    rows = materialize(lines.groupBy(basket_col).agg(F.transform(cells, lambda x: x["cell"]).alias("cells")))
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    return rows.select(
         basket_col,
-        F.row_number().over(by_basket.orderBy(*order_cols)).alias("pos"),
-        F.count(F.lit(1)).over(by_basket).alias("n"),
-        F.col(item_col).alias("cell"),
-    )
-    # Grouping on the window's partition key reuses its partitioning and order.
-    return positioned.groupBy(basket_col).agg(
-        F.first("n").alias(COUNT_COLUMN),
-        *[
-            F.first(F.when(F.col("pos") == p, F.col("cell")), ignorenulls=True).alias(f"Item {p}")
-            for p in range(1, width + 1)
-        ],
+        F.size("cells").cast("long").alias(COUNT_COLUMN),
+        *[F.get("cells", F.lit(p - 1)).alias(f"Item {p}") for p in range(1, width + 1)],
     )

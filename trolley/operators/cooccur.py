@@ -1,14 +1,12 @@
-"""Co-occurrence of the top-N items (N ≤ 62).
+"""Co-occurrence of the top-N items.
 
-No pairs are emitted per basket and no self-join is made. The N top items
-(a bounded array, one scalar subquery) become bit positions; each basket is
-reduced, in a narrow projection, to a bit mask of the top items it holds;
-baskets are counted per distinct mask (a hash aggregation combined
-map-side), and one global aggregation over the distinct masks sums, for every
-position pair (i, j), the baskets whose mask has both bits. The N × N cells
-are then laid out from that single row. Work is one scan of the baskets,
-whatever the skew; the shuffles carry distinct masks and one partial row per
-task.
+No pairs are emitted per basket and no self-join is made. Each basket becomes,
+in a narrow projection, the sorted positions of the top items it holds;
+baskets are counted per distinct array of positions (a hash aggregation
+combined map-side), and only these distinct arrays are spread into position
+pairs and summed. The code is the same for every N; what is shuffled are
+distinct arrays and one partial row per task and pair. The N × N cells come
+from the top items themselves, with 0 where no basket holds a pair.
 """
 
 from __future__ import annotations
@@ -20,8 +18,6 @@ from trolley.fixed import DEFAULT_TOP_N, TOP_PAIRS
 from trolley.functions.labels import pair_label
 from trolley.operators.items import popularity_order
 
-MAX_TOP_N = 62  # one bigint mask
-
 
 def _top_array(counts: DataFrame, n: int):
     """Scalar subquery: the top-n items as an array in popularity order."""
@@ -36,48 +32,24 @@ def _top_array(counts: DataFrame, n: int):
 
 def _pair_counts(baskets: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """``(pos_1, pos_2, item_1, item_2, n)`` for every ordered pair of top
-    positions, diagonal 0; positions past the number of items are dropped."""
-    if not 2 <= n <= MAX_TOP_N:
-        raise ValueError(f"top_n must be in [2, {MAX_TOP_N}]")
+    positions, diagonal 0; there are as many positions as items, at most n."""
+    if n < 1:
+        raise ValueError("top_n must be positive")
     top = _top_array(counts, n)
-    # Project the scalar once so that it is not repeated in every bit test.
+    # Project the scalar once so that it is not repeated for every item.
     holding = baskets.select("items", top.alias("top"))
-    # The generated expressions (n bit tests, n(n-1)/2 sums) are written as
-    # SQL text: one expression each instead of hundreds of column objects.
-    bits = " | ".join(
-        f"(CASE WHEN array_contains(items, try_element_at(top, {i + 1})) THEN {1 << i}L ELSE 0L END)" for i in range(n)
-    )
-    masks = holding.select(F.expr(bits).alias("mask"), F.size("top").alias("k"))
-    # Baskets holding the same top items share a mask: count each mask once
-    # (a small hash aggregation, combined map-side) so that the n(n-1)/2 sums
-    # run over distinct masks (at most 2^n, at most the baskets), not baskets.
-    per_mask = masks.groupBy("mask").agg(F.count(F.lit(1)).alias("cnt"), F.max("k").alias("k"))
-    pair_sums = ", ".join(
-        f"CAST(sum(((shiftright(mask, {i}) & shiftright(mask, {j})) & 1L) * cnt) AS BIGINT)"
-        for i in range(n)
-        for j in range(i + 1, n)
-    )
-    sums = per_mask.agg(F.max("k").alias("k"), F.expr(f"array({pair_sums})").alias("upper"))
-    # Lay the n × n cells out from the upper-triangle sums: cell (i, j) reads
-    # sum number tri(min, max); the diagonal is 0.
-    cell = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell")
-    laid = sums.select("k", "upper", cell)
-    i, j = F.floor(F.col("cell") / n).cast("int"), (F.col("cell") % n).cast("int")
-    lo, hi = F.least(i, j), F.greatest(i, j)
-    tri = lo * (2 * n - lo - 1) / 2 + (hi - lo - 1)
-    value = F.when(i == j, F.lit(0).cast("long")).otherwise(
-        F.coalesce(F.element_at("upper", tri.cast("int") + 1), F.lit(0).cast("long"))
-    )
-    laid = laid.select("k", i.alias("pos_1"), j.alias("pos_2"), value.alias("n"))
-    # Positions past the number of items (k) are dropped before the names
-    # are looked up, so the filter needs no item list.
-    laid = laid.where((F.col("pos_1") < F.col("k")) & (F.col("pos_2") < F.col("k")))
-    return laid.select("pos_1", "pos_2", "n", top.alias("top")).select(
-        "pos_1",
-        "pos_2",
-        F.try_element_at("top", F.col("pos_1") + 1).alias("item_1"),
-        F.try_element_at("top", F.col("pos_2") + 1).alias("item_2"),
-        "n",
+    at = F.transform("items", lambda i: F.array_position("top", i).cast("int") - 1)
+    held = F.array_sort(F.filter(at, lambda p: p >= 0))
+    # Baskets holding the same top items are counted once.
+    distinct = holding.select(held.alias("held")).groupBy("held").agg(F.count(F.lit(1)).alias("cnt"))
+    sides = distinct.select("cnt", "held", F.explode("held").alias("pos_1"))
+    sides = sides.select("cnt", "pos_1", F.explode("held").alias("pos_2")).where("pos_1 <> pos_2")
+    sums = sides.groupBy("pos_1", "pos_2").agg(F.sum("cnt").alias("n"))
+    rows = baskets.sparkSession.range(1).select(top.alias("top"))
+    rows = rows.select("top", F.posexplode("top").alias("pos_1", "item_1"))
+    cells = rows.select("pos_1", "item_1", F.posexplode("top").alias("pos_2", "item_2"))
+    return cells.join(sums, ["pos_1", "pos_2"], "left").select(
+        "pos_1", "pos_2", "item_1", "item_2", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
 

@@ -46,30 +46,35 @@ def rule_graph_nodes(rules: DataFrame, top_rules: int = DEFAULT_TOP_RULES) -> Da
 
 def rule_graph_edges(rules: DataFrame, top_rules: int = DEFAULT_TOP_RULES) -> DataFrame:
     """``(src, dst, weight, confidence, support, norm_confidence, colour_bucket,
-    width, hover)`` for the top-R rules."""
-    top = _top(rules, top_rules)
+    width, hover)`` for the top-R rules; one edge for each pair of labels.
+
+    Of rules with the same labels the last in rule order (the lowest lift,
+    then confidence, then support) gives the edge."""
+    found = _top(rules, top_rules).select(
+        item_label("antecedent").alias("src"), item_label("consequent").alias("dst"), F.struct("lift", "confidence", "support").alias("m")
+    )
+    top = found.groupBy("src", "dst").agg(F.min("m").alias("m")).select("src", "dst", "m.*")
     span = top.agg(
         F.struct(
             F.coalesce(F.min("confidence"), F.lit(0.0)).alias("lo"),
             F.coalesce(F.max("confidence"), F.lit(1.0)).alias("hi"),
         ).alias("span")
     ).scalar()
-    spanned = top.select("antecedent", "consequent", "lift", "confidence", "support", span.alias("span"))
+    spanned = top.select("src", "dst", "lift", "confidence", "support", span.alias("span"))
     lo, hi = F.col("span.lo"), F.col("span.hi")
     norm = F.when(hi - lo > 0, (F.col("confidence") - lo) / (hi - lo)).otherwise(F.lit(0.5))
-    normed = spanned.select("antecedent", "consequent", "lift", "confidence", "support", norm.alias("norm"))
-    src, dst = item_label("antecedent"), item_label("consequent")
+    normed = spanned.select("src", "dst", "lift", "confidence", "support", norm.alias("norm"))
     hover = F.format_string(
         EDGE_HOVER,
-        src,
-        dst,
+        F.col("src"),
+        F.col("dst"),
         fixed(F.col("lift"), 2),
         fixed(F.col("confidence"), 2),
         fixed(F.col("support"), 3),
     )
     return normed.select(
-        src.alias("src"),
-        dst.alias("dst"),
+        "src",
+        "dst",
         F.col("lift").alias("weight"),
         "confidence",
         "support",

@@ -185,19 +185,17 @@ def sweep(
         ]
     )
 
-    def long_form(counts: DataFrame, name: str) -> DataFrame:
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(float(s)).alias("min_support"),
-                    F.lit(float(c)).alias("min_confidence"),
-                    F.col(key(i)).cast("long").alias(name),
-                )
-                for i, (s, c) in enumerate(settings)
-            ]
-        )
-        return counts.select(F.inline(rows))
-
-    return long_form(set_counts, "n_itemsets").join(
-        long_form(rule_counts, "n_rules"), ["min_support", "min_confidence"]
+    sets = set_counts.select(F.struct("*")).scalar()
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(float(s)).alias("min_support"),
+                F.lit(float(c)).alias("min_confidence"),
+                F.col("sets").getField(key(i)).cast("long").alias("n_itemsets"),
+                F.col(key(i)).cast("long").alias("n_rules"),
+            )
+            for i, (s, c) in enumerate(settings)
+        ]
     )
+    # A row for each setting as given, repeated ones too.
+    return rule_counts.select("*", sets.alias("sets")).select(F.inline(rows))

@@ -79,7 +79,8 @@ def explore_filter(
     if min_lift > 0:
         cond = cond & (F.col("lift") >= F.lit(float(min_lift)))
     if min_support is None:
-        cond = cond & (F.col("support") >= rules.select(F.min("support")).scalar())
+        # Every support is at least the lowest one; only a null passes no threshold.
+        cond = cond & F.col("support").isNotNull()
     elif min_support > 0:
         cond = cond & (F.col("support") >= F.lit(float(min_support)))
     if search:

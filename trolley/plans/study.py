@@ -2,8 +2,9 @@
 
 A study is built lazily and kept per (application, folder, spec): the clean
 baskets and the mined tables are checkpointed once (and kept cached), the
-item counts are cached, and every dashboard query reads them. Changing a
-threshold means a new spec (the reference re-mines per setting as well);
+item counts are cached, and every dashboard query reads them. Baskets and
+item counts depend on the source and the item alone: studies that differ in
+thresholds share them, so moving a slider scans nothing again.
 ``MiningResult.filtered`` derives stricter settings without re-mining.
 """
 
@@ -40,7 +41,8 @@ DEFAULT_SPEC = BasketSpec()
 
 
 class Study:
-    def __init__(self, spark: SparkSession, sf_dir: str, spec: BasketSpec = DEFAULT_SPEC):
+    def __init__(self, spark: SparkSession, sf_dir: str, spec: BasketSpec = DEFAULT_SPEC, base: "Study | None" = None):
+        self.base = base  # whose baskets and item counts are used
         self.spark = spark
         self.sf_dir = sf_dir
         self.spec = spec
@@ -50,7 +52,7 @@ class Study:
         self._memo: dict[str, DataFrame] = {}
         self.handles: list[DataFrame] = []
         self.folders: list[str] = []  # written under the shared folder; removed by release()
-        self._lock = threading.Lock()
+        self._lock = threading.RLock()
         self._given: DataFrame | None = None
         self._params = spec.params()
 
@@ -73,6 +75,8 @@ class Study:
 
     @property
     def baskets(self) -> DataFrame:
+        if self.base is not None:
+            return self.base.baskets
         with self._lock:
             if self._baskets is None:
                 b = self._given if self._given is not None else B.from_lines(self.lines(), "basket", "item")
@@ -84,6 +88,8 @@ class Study:
 
     @property
     def item_counts(self) -> DataFrame:
+        if self.base is not None:
+            return self.base.item_counts
         base = self.baskets
         with self._lock:
             if self._counts is None:
@@ -101,12 +107,9 @@ class Study:
     def memo(self, key: str, build) -> DataFrame:
         """A derived frame built once per study (``build(study)``)."""
         with self._lock:
-            found = self._memo.get(key)
-        if found is None:
-            built = build(self)
-            with self._lock:
-                found = self._memo.setdefault(key, built)
-        return found
+            if key not in self._memo:
+                self._memo[key] = build(self)
+            return self._memo[key]
 
     def release(self) -> None:
         for df in (self._baskets, self._counts, *self.handles):
@@ -122,12 +125,23 @@ class Study:
         self.folders.clear()
 
 
-def wide_csv_study(spark: SparkSession, path: str, params: MiningParams | None = None, drop_blank: bool = False) -> Study:
+def wide_csv_study(
+    spark: SparkSession,
+    path: str,
+    params: MiningParams | None = None,
+    drop_blank: bool = False,
+    multi_line: bool = False,
+    on_bad_count: str = "raise",
+) -> Study:
     """The dashboard's own input: a wide transaction CSV, read, folded and
-    cleaned, as a study (mined at ``params``, default 0.02 / 0.3)."""
+    cleaned, as a study (mined at ``params``, default 0.02 / 0.3).
+
+    ``multi_line`` reads quoted newlines; ``on_bad_count="drop"`` leaves out
+    rows whose count is no number (``bad_count_rows`` reports them)."""
     from trolley.sources.wide_csv import read_wide_csv
 
-    baskets = B.clean(B.fold_wide(read_wide_csv(spark, path)), drop_blank=drop_blank)
+    wide = read_wide_csv(spark, path, multi_line=multi_line)
+    baskets = B.clean(B.fold_wide(wide, on_bad_count=on_bad_count), drop_blank=drop_blank)
     return Study.of_baskets(baskets, params or MiningParams())
 
 
@@ -136,13 +150,22 @@ _GUARD = threading.Lock()
 
 
 def study(spark: SparkSession, sf_dir: str, spec: BasketSpec = DEFAULT_SPEC) -> Study:
-    """The study for this session's application, folder and spec."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), spec)
+    """The study for this session's application, folder and spec.
+
+    Studies of one source and item share the baskets of the first; entries of
+    applications that have stopped are dropped."""
+    app, folder = spark.sparkContext.applicationId, sf_dir.rstrip("/")
+    lines = BasketSpec(source=spec.source, item=spec.item)
     with _GUARD:
-        s = _STUDIES.get(key)
-        if s is None:
-            s = _STUDIES[key] = Study(spark, sf_dir, spec)
-        return s
+        for key in [k for k in _STUDIES if k[0] != app]:
+            del _STUDIES[key]
+        base = _STUDIES.get((app, folder, lines))
+        if base is None:
+            base = _STUDIES[app, folder, lines] = Study(spark, sf_dir, lines)
+        found = _STUDIES.get((app, folder, spec))
+        if found is None:
+            found = _STUDIES[app, folder, spec] = Study(spark, sf_dir, spec, base)
+        return found
 
 
 def release_all() -> None:

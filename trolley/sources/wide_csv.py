@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from trolley.operators.baskets import EXTRA_COLUMN
 
 _RAW = "_raw_row"
-# A quoted field, with doubled quotes inside it.
-_QUOTED = r'"(?:[^"]|"")*"'
+# A quoted field, with doubled quotes inside it: a quote opens one only where a field starts.
+_QUOTED = r'(^|,)"(?:[^"]|"")*"'
 
 
 def _reader(spark: SparkSession, multi_line: bool):
@@ -45,6 +45,6 @@ def read_wide_csv(spark: SparkSession, path: str, multi_line: bool = False) -> D
         .schema(schema)
         .csv(path)
     )
-    fields = F.size(F.split(F.regexp_replace(F.col(_RAW), _QUOTED, ""), ","))
+    fields = F.size(F.split(F.regexp_replace(F.col(_RAW), _QUOTED, "$1"), ","))
     extra = F.when(F.col(_RAW).isNotNull() & (fields > F.lit(len(header))), F.col(_RAW))
     return rows.select(*[F.col(f"`{c}`") for c in header], extra.alias(EXTRA_COLUMN))

@@ -11,6 +11,7 @@ of bounded size and without emitting more than the links that join parts.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,7 @@ def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+@functools.cache
 def fewest_matches(compared: int, threshold: float, miss: float) -> int:
     """The fewest equal hashes among ``compared`` at which a pair may still reach ``threshold``.
 
@@ -161,14 +163,11 @@ def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         lid, part = rows["lid"].to_numpy(), rows["part"].to_numpy()
-        sets = [to_set(x) for x in rows["items"]]
-        n = np.array([len(s) for s in sets], np.int64)
-        left = np.flatnonzero(rows["side"].to_numpy() <= 0)
-        right = np.flatnonzero(rows["side"].to_numpy() >= 0)
-        same_side = len(left) == len(rows) == len(right)
+        side = rows["side"].to_numpy()
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-        apart = (part[i] != part[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
-        if same_side:
+        apart = part[i] != part[j]
+        if len(left) == len(rows) == len(right):
             apart &= i < j
         i, j = i[apart], j[apart]
         if "sig" in rows and len(i):
@@ -183,6 +182,11 @@ def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
                     equal[k : k + (1 << 15)] += (sig[i[k : k + (1 << 15)], at:to] == sig[j[k : k + (1 << 15)], at:to]).sum(1)
                 alive = equal >= fewest_matches(to, chance, miss)
                 i, j, equal = i[alive], j[alive], equal[alive]
+        sets = {k: to_set(rows["items"].iat[k]) for k in np.union1d(i, j).tolist()}
+        n = np.zeros(len(rows), np.int64)
+        n[list(sets)] = [len(s) for s in sets.values()]
+        alike = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+        i, j = i[alike], j[alike]
         root = {p: p for p in part.tolist()}
 
         def top(p: int) -> int:

@@ -229,18 +229,57 @@ def rule_graph_edges_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rule_graph_edges(study(spark, sf_dir).mined.rules, 50)
 
 
-def export_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.rules_export_frame(study(spark, sf_dir).mined.rules)
+def _exported(name: str, write, schema: str) -> Query:
+    """A table written as CSV once per study, in a fresh folder under the
+    shared checkpoint folder, and read back."""
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def build(s) -> DataFrame:
+            folder = shared_path(spark, name)
+            s.folders.append(folder)
+            write(s.mined, folder)
+            return spark.read.schema(schema).option("header", True).option("escape", '"').csv(folder)
+
+        return study(spark, sf_dir).memo(name, build)
+
+    q.__name__ = name
+    return q
 
 
-def export_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.itemsets_export_frame(study(spark, sf_dir).mined.itemsets)
+export_rules = _exported(
+    "export_rules",
+    lambda mined, folder: sinks.export_rules(mined.rules, folder),
+    "antecedent string, consequent string, confidence double, lift double, support double",
+)
+export_itemsets = _exported(
+    "export_itemsets", lambda mined, folder: sinks.export_itemsets(mined.itemsets, folder), "items string, freq bigint"
+)
+
+
+def wide_cells_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide rows with padded, blank, missing and tabbed cells, counts below
+    the number of cells and rows left empty, made from ``lineitem`` by line
+    number and flags, folded and cleaned: ``(basket_id, n_items, items)``."""
+    line = F.col("l_linenumber")
+    wide = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 10 + line).cast("long").alias("basket"),
+        (line % 5).cast("string").alias("Item(s)"),
+        F.concat(F.lit("  "), "l_returnflag", F.lit(" ")).alias("Item 1"),
+        F.when(line % 3 == 0, "NA").otherwise(F.concat(F.lit("Line "), line.cast("string"))).alias("Item 2"),
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("\t"), "l_linestatus")).alias("Item 3"),
+        F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("Item 4"),
+    )
+    cleaned = B.clean(B.fold_wide(wide, id_col="basket"), min_size=1)
+    return cleaned.select(
+        "basket_id", F.size("items").cast("long").alias("n_items"), item_label("items").alias("items")
+    )
 
 
 def QUERIES() -> dict[str, Query]:
     return {
         "fold_wide_baskets": fold_wide_baskets,
         "wide_csv_baskets": wide_csv_baskets,
+        "wide_cells_with_gaps": wide_cells_with_gaps,
         "clean_baskets": clean_baskets,
         "overview": overview,
         "item_counts": item_counts,

@@ -219,6 +219,20 @@ select l_orderkey as basket_id, count(*)::bigint as n_items,
        string_agg(p_brand, ', ' order by l_linenumber, p_brand) as items
 from lineitem join part on l_partkey = p_partkey
 group by l_orderkey""",
+        "wide_cells_with_gaps": """
+with c as (
+  select (l_orderkey * 10 + l_linenumber)::bigint as basket_id, l_linenumber % 5 as n,
+         ['  ' || l_returnflag || ' ',
+          case when l_linenumber % 3 = 0 then null else 'Line ' || l_linenumber end,
+          case when l_linestatus = 'F' then chr(9) || l_linestatus end,
+          case when l_returnflag <> 'N' then l_returnflag end] as cells
+  from lineitem),
+f as (
+  select basket_id, list_sort(list_distinct(list_transform(
+    list_filter(cells[1:n], lambda x: x is not null), lambda x: lower(trim(x, ' '))))) as items
+  from c where n > 0)
+select basket_id, len(items)::bigint as n_items, array_to_string(items, ', ') as items
+from f where len(items) > 0""",
         "clean_baskets": CLEAN_BASKETS,
         "wide_csv_baskets": CLEAN_BASKETS,
         "overview": _mined(ITEMS)

@@ -78,19 +78,17 @@ class Example:
     counts: dict[str, int]
 
 
-def choose_terms(examples: list[Example]) -> list[str]:
-    """Terms whose share of toxic examples is far above that of all examples, in order."""
-    toxic = sum(e.toxic for e in examples)
-    if not 0 < toxic < len(examples):
+def choose_terms(rows: DataFrame) -> list[str]:
+    """Terms whose share of toxic examples is far above that of all examples, in order; ``rows``: toxic, terms."""
+    n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not 0 < (toxic or 0) < n:
         return []
-    share = toxic / len(examples)
-    all_, bad = Counter(), Counter()
-    for e in examples:
-        all_.update(e.counts.keys())
-        if e.toxic:
-            bad.update(e.counts.keys())
-    deviation = lambda n, b: (b - n * share) / math.sqrt(n * share * (1 - share))
-    return sorted(t for t, b in bad.items() if b >= MIN_EXAMPLES and deviation(all_[t], b) >= MIN_DEVIATION)
+    share = toxic / n
+    held = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term")
+    held = held.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    deviation = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    far = held.where((F.col("bad") >= MIN_EXAMPLES) & (deviation >= MIN_DEVIATION))
+    return sorted(r["term"] for r in far.select("term").collect())  # at most 2 * EXAMPLES hold each, MIN_EXAMPLES at least
 
 
 class Terms:
@@ -242,12 +240,18 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     schema = "doc_id long, toxic int, h long, terms array<string>, counts array<long>"
-    rows = sample.mapInArrow(_counted, schema).dropDuplicates(["doc_id"]).dropDuplicates(["h", "toxic"]).collect()
-    found = [Example(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"]))) for r in rows]
-    found.sort(key=lambda e: e.doc_id)
-    model.terms = choose_terms(found)
+    rows = sample.mapInArrow(_counted, schema).dropDuplicates(["doc_id"]).dropDuplicates(["h", "toxic"])
+    rows = settle(rows.drop("h"), "sample")
+    model.terms = choose_terms(rows)
     if not model.terms:
         return model
+    # Of the examples only the counts of these terms come to the driver.
+    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(model.terms))
+    found = [
+        Example(r["doc_id"], r["toxic"], {x["terms"]: x["counts"] for x in r["pairs"]})
+        for r in rows.select("doc_id", "toxic", pairs.alias("pairs")).collect()
+    ]
+    found.sort(key=lambda e: e.doc_id)
     counts = own.select("text").mapInArrow(_frequencies(model.terms), "term long, n long").groupBy("term").agg(F.sum("n"))
     counts = dict(map(tuple, counts.collect()))  # one row for each term
     model.idf = np.array([math.log((1 + counts[-1]) / (1 + counts[k])) + 1 for k in range(len(model.terms))], np.float32)

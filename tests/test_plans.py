@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from trolley.plans import catalog
-from trolley.plans.inspect import operator_counts, read_schemas
+from tools.plan_inspect import execute, is_final, operator_counts, read_schemas
 from trolley.plans.study import Study
 
 SF = "/root/testdata/sf0.001"
@@ -14,17 +14,28 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES()))
 def test_no_cartesian_or_nested_loop_join(spark, name):
     df = catalog.QUERIES()[name](spark, SF)
-    df.write.format("noop").mode("overwrite").save()
+    execute(df)
+    assert is_final(df)
     assert operator_counts(df)["nested_loop"] == 0
 
 
+def test_an_unexecuted_plan_is_not_final(spark):
+    df = spark.range(10).groupBy("id").count()
+    assert not is_final(df)
+    df.write.format("noop").mode("overwrite").save()  # another execution, not this plan's
+    assert not is_final(df)
+    execute(df)
+    assert is_final(df)
+
+
 def test_basket_build_is_one_shuffle_over_pruned_scans(spark):
     from trolley.operators.baskets import from_lines
     from trolley.sources.tables import order_lines
 
     # min_size=3: a plan no test caches, so the cache manager cannot stand in for it.
     b = from_lines(order_lines(spark, SF), "basket", "item", min_size=3)
-    b.write.format("noop").mode("overwrite").save()
+    execute(b)
+    assert is_final(b)
     c = operator_counts(b)
     assert c["shuffle"] == 1 and c["scan"] == 2 and c["nested_loop"] == 0
     wanted = {"l_orderkey:bigint", "l_partkey:bigint", "p_partkey:bigint", "p_brand:string"}
@@ -37,7 +48,8 @@ def test_cooccurrence_has_no_nested_loop(spark):
     from trolley.operators.cooccur import cooccurrence_matrix
 
     df = cooccurrence_matrix(s.baskets, s.item_counts)
-    df.write.format("noop").mode("overwrite").save()
+    execute(df)
+    assert is_final(df)
     c = operator_counts(df)
     assert c["nested_loop"] == 0
     s.release()

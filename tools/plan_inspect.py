@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame
 KINDS = ["shuffle", "broadcast", "smj", "bhj", "nested_loop", "window", "sort", "top_k", "subquery", "scan"]
 
 
+def execute(df: DataFrame) -> None:
+    """Run the very plan that ``df`` holds, so that what is read from it afterwards is final."""
+    df._jdf.queryExecution().toRdd().count()
+
+
+def is_final(df: DataFrame) -> bool:
+    """Whether the plan that ``df`` holds has run (a plan without adaptive parts is final as it stands)."""
+    top = df._jdf.queryExecution().executedPlan().toString().partition("\n")[0]  # below: cached plans, subqueries
+    return "isFinalPlan=false" not in top
+
+
 def _seq(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 

@@ -15,7 +15,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from trolley.plans import catalog  # noqa: E402
-from trolley.plans.inspect import KINDS, operator_counts  # noqa: E402
+from tools.plan_inspect import KINDS, execute, operator_counts  # noqa: E402
 from trolley.session import local_session  # noqa: E402
 
 
@@ -27,7 +27,7 @@ def main() -> None:
     print("| --- " * (len(KINDS) + 1) + "|")
     for name, fn in catalog.QUERIES().items():
         df = fn(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        execute(df)
         counts = operator_counts(df)
         print(f"| {name} | " + " | ".join(str(counts[k]) for k in KINDS) + " |")
     spark.stop()

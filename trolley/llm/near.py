@@ -16,7 +16,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,19 +158,21 @@ def _confirmed(num: int, den: int, to_set: ToSet):
 
 
 def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
-    """Function of one block of pairs: links that join parts (columns: lid, part, side, items[, sig])."""
+    """Function of one block of pairs: links (a, b) that join parts.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lid, part = rows["lid"].to_numpy(), rows["part"].to_numpy()
-        side = rows["side"].to_numpy()
+    Takes arrays by row: lid, part, side (-1 left, 1 right, 0 both), and
+    functions that give a row's item and signature (or None).
+    """
+
+    def run(lid: np.ndarray, part: np.ndarray, side: np.ndarray, item, signature) -> list[tuple[int, int]]:
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
         apart = part[i] != part[j]
-        if len(left) == len(rows) == len(right):
+        if len(left) == len(lid) == len(right):
             apart &= i < j
         i, j = i[apart], j[apart]
-        if "sig" in rows and len(i):
-            sig = np.stack([np.frombuffer(x, np.uint8) for x in rows["sig"]])
+        if signature and len(i):
+            sig = np.stack([np.frombuffer(signature(k), np.uint8) for k in range(len(lid))])
             # Hashes keep 8 bits; unequal ones agree by chance in one of 256.
             chance = num / den + (1 - num / den) / 256
             equal = np.zeros(len(i), np.int64)
@@ -182,8 +183,10 @@ def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
                     equal[k : k + (1 << 15)] += (sig[i[k : k + (1 << 15)], at:to] == sig[j[k : k + (1 << 15)], at:to]).sum(1)
                 alive = equal >= fewest_matches(to, chance, miss)
                 i, j, equal = i[alive], j[alive], equal[alive]
-        sets = {k: to_set(rows["items"].iat[k]) for k in np.union1d(i, j).tolist()}
-        n = np.zeros(len(rows), np.int64)
+        if not len(i):
+            return []
+        sets = {k: to_set(item(k)) for k in {*i.tolist(), *j.tolist()}}
+        n = np.zeros(len(lid), np.int64)
         n[list(sets)] = [len(s) for s in sets.values()]
         alike = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
         i, j = i[alike], j[alike]
@@ -211,7 +214,44 @@ def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
                 if a != b:
                     root[a] = b
                     out.append((int(lid[first]), int(lid[k])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return out
+
+    return run
+
+
+_KEY = ["cand", "kind", "x", "y"]
+
+
+def _blocks(across):
+    """``across`` over rows sorted by block (``_KEY``): a block is a run of rows, maybe over several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def links(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            lid, part, side = (rows.column(c).to_numpy() for c in ("lid", "part", "side"))
+            items, sigs = rows.column("items"), rows.column("sig") if "sig" in rows.column_names else None
+            is_list = pa.types.is_list(items.type)
+            out: list[tuple[int, int]] = []
+            for a, b in zip(starts, [*starts[1:], len(lid)]):
+                item = lambda k, a=a: items[int(a + k)].values if is_list else items[int(a + k)].as_py()
+                signature = (lambda k, a=a: sigs[int(a + k)].as_py()) if sigs is not None else None
+                out += across(lid[a:b], part[a:b], side[a:b], item, signature)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            keys = [held.column(c).to_numpy() for c in _KEY]
+            new = np.zeros(max(0, len(held) - 1), bool)
+            for key in keys:
+                new |= key[1:] != key[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            if len(starts) > 1:  # the last block may go on
+                yield links(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1]).combine_chunks()
+        if held is not None and len(held):
+            yield links(held, np.array([0]))
 
     return run
 
@@ -282,7 +322,9 @@ def groups(
         "lid", "cand", "part", F.explode(F.when(is_main, from_main).otherwise(F.concat(with_main, with_others))).alias("k")
     )
     keyed = keyed.select("lid", "cand", "part", "k.*").join(sets, "lid")
-    found = keyed.groupBy("cand", "kind", "x", "y").applyInPandas(_across(num, den, batch, miss, to_set), "a long, b long")
+    # Most blocks are a few rows, so they go through the task as sorted runs, not as a call each.
+    ordered = keyed.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    found = ordered.mapInArrow(_blocks(_across(num, den, batch, miss, to_set)), "a long, b long")
     links = settle(confirmed.union(found), "links")
 
     final = _with_roots(components(links)).select(F.col("v").alias("lid"), "comp")

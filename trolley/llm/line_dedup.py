@@ -10,8 +10,9 @@ and position stays; the others are cut out of their texts.
 At the default 8 bands of 4 hashes a pair at similarity 0.85 is missed as a
 candidate with probability 0.3 %, one at 0.9 with 0.02 %; equal lines never are.
 
-Defined results: lines with fewer than ``MIN_WORDS`` words, blank ones among
-them, always stay; a null text stays null, an empty text empty; a text that
+Defined results: blank lines always stay, all others are compared, however
+short: equal ones by their key, those of ``SHINGLE`` characters or more by
+similarity too; a null text stays null, an empty text empty; a text that
 loses all its lines is the empty string and its document stays; repeated
 documents lose all lines but those of one; null doc_ids come after all
 others; an empty table gives an empty result; all columns stay, ``text``
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from trolley.llm import near
 from trolley.llm.shared import settle, table
 
-SHINGLE, MIN_WORDS = 12, 5
+SHINGLE = 12
 NUM, DEN = 85, 100
 BANDS, ROWS = 8, 4
 #: Hashes of a candidate line that are compared before its full set is.
@@ -108,10 +109,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, d, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "text"))):
             for k, line in enumerate((text or "").split("\n")):
                 own = plain(line)
-                if own.count(" ") + 1 < MIN_WORDS:
+                if not own:
                     continue
                 key = xxhash.xxh3_128_digest(own.encode("utf-8", "replace"))
-                if key not in seen:
+                # A line under a shingle's length is like its copies only, and those are found by the key.
+                if len(own) >= SHINGLE and key not in seen:
                     seen.add(key)
                     new.append(len(keys))
                     texts.append(own)

@@ -7,7 +7,9 @@ it stands; a decision tree trained on the small labelled table of
 conditions and goes to the tasks with the code; pages are only mapped.
 
 Defined results: a null or empty html, or one without article blocks, gives
-the empty string; a page cut off inside a tag loses that tag, one cut off
+the empty string; only scripts, styles, the head, and closed svg, iframe and
+template elements have no text; a head ends where the body begins, by its tag
+or another's, and a self-closed element is empty; a page cut off inside a tag loses that tag, one cut off
 inside an element ends it there; repeated pages are rows like any other; an
 empty table gives an empty result; other columns are not read.
 """
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 
 from trolley.llm.shared import table
 
-#: Comments, elements without text, declarations, tags; what stands between is text.
+#: Comments, scripts and styles, declarations, tags; what stands between is text.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|head|object|canvas)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b[^>]*+(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))",
     re.S | re.I,
@@ -40,9 +42,18 @@ _WORD = re.compile(r"[a-z]+")
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr canvas iframe noscript object script style svg template "
+    "annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is no text of the page, if they end; HTML tags that end an open svg; tags that leave a head open.
+HIDDEN = frozenset(("iframe", "svg", "template"))
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements around an article, and words in the names of such elements.
 AROUND = frozenset("nav aside footer form button select dialog menu textarea fieldset".split())
 HINTS = frozenset(
@@ -78,6 +89,36 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, bool]] = []  # open block elements: tag, whether it stands around articles
     around = inside = heading = links = 0
     held: list[tuple[str, bool]] = []
+    hidden: list[str] = []  # an open element without text of the page, and what is open in it
+    in_head = False
+    ends: dict[str, int] = {}
+
+    def say(text: str) -> None:
+        nonlocal in_head
+        if hidden or in_head and not text.strip():
+            return
+        in_head = False
+        held.append((html.unescape(text), links > 0))
+
+    def has_end(tag: str, at: int) -> bool:
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in re.finditer(f"</{tag}\\b", page, re.I)), default=-1)
+        return ends[tag] >= at
+
+    def hides(tag: str, closing: str, attributes: str) -> bool:
+        """Whether a tag in a hidden element leaves it open or ends it; not if the page goes on with this tag."""
+        if closing:
+            if tag in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                return True
+        elif not attributes.endswith("/>"):
+            if hidden[0] == "svg" and tag not in ENDS_SVG or hidden[0] == tag == "template":
+                hidden.append(tag)
+        over = hidden[0] == "svg" and (closing or tag in ENDS_SVG)
+        if over or hidden[0] == "title" and tag not in INLINE and tag not in IN_HEAD | VOID:
+            hidden.clear()
+            return False
+        return True
 
     def flush() -> None:
         text = " ".join("".join(t for t, _ in held).split())
@@ -90,10 +131,25 @@ def blocks(page: str | None) -> list[Block]:
     page, at = page or "", 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            held.append((html.unescape(page[at : m.start()]), links > 0))
+            say(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
-        if not tag:
+        if not tag or hidden and hides(tag, m[2], m[4]):
+            continue
+        empty = m[4].endswith("/>")
+        if tag == "head":
+            flush()
+            in_head = not m[2]
+            continue
+        if in_head:
+            if tag == "title" and not m[2] and not empty:
+                hidden.append(tag)
+            in_head = tag in IN_HEAD or bool(m[2]) and tag not in ("body", "html")
+            if in_head and tag != "template":
+                continue
+        if tag in HIDDEN:
+            if not m[2] and not empty and has_end(tag, at):
+                hidden.append(tag)
             continue
         if tag == "a":
             links = max(0, links + (-1 if m[2] else 1))
@@ -127,7 +183,7 @@ def blocks(page: str | None) -> list[Block]:
                 if t == tag:
                     break
     if at < len(page):
-        held.append((html.unescape(page[at:]), links > 0))
+        say(page[at:])
     flush()
     return out
 

@@ -1,14 +1,16 @@
 """URL filters: host and path rules, and a path-template tree judged by labelled purity.
 
-Each host has a tree of path segments, grown a level at a time over all urls.
-At a node with many different segments the rare ones are variable and become a
-wildcard (their file ending stays); branches whose labelled shares don't differ
-statistically from their siblings' are merged into ``*`` as well. A template
+Each host has a tree of path segments, grown a level at a time over all urls
+of nodes with labels of both kinds. A segment whose labelled share
+differs statistically from the rest of its node stands alone, a rare one from
+``HANDFUL`` labels on. At a node with many different segments the other rare
+ones are variable and become a wildcard (their file ending stays, if these
+differ); all others are merged into ``*``. A template
 is rejected if its smoothed share of bad labels reaches ``REJECT``: the share
 is drawn towards the host's, and the host's towards that of all urls.
 
 Urls are grouped first, so copies and hot hosts are counts before any join;
-nothing is collected but the greatest depth.
+nothing is collected.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 which are a host and a template like others; a template without labels is allowed; segments beyond ``MAX_DEPTH``
@@ -40,6 +42,8 @@ MAX_DEPTH = 8
 MIN_VARIABLE, RARE_SHARE = 8, 0.05
 #: Standard errors by which a branch must differ from its siblings to stand alone.
 APART = 2.58
+#: Labels with which a rare segment is compared for itself.
+HANDFUL = 5
 #: Pseudo-counts of the parent's share, and the smoothed share from which a template is rejected.
 WEIGHT, REJECT = 8.0, 0.5
 
@@ -67,6 +71,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _differs() -> Column:
+    """Whether a branch's labelled share differs from that of the rest of its node (t_labelled, t_bad)."""
+    rest, rest_bad = F.col("t_labelled") - F.col("labelled"), F.col("t_bad") - F.col("bad")
+    pooled = F.col("t_bad") / F.col("t_labelled")
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
+    differs = F.abs(F.col("bad") / F.col("labelled") - rest_bad / rest) > error * APART
+    return F.when((F.col("labelled") > 0) & (rest > 0), differs).otherwise(False)
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """(host, path, template) of distinct urls; ``urls``: host, path, n, labelled, bad."""
     parts = F.filter(F.split("path", "/", -1), lambda s: s != "")
@@ -74,34 +87,47 @@ def templates(urls: DataFrame) -> DataFrame:
     parts = F.when(deep, F.concat(F.slice(parts, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(parts)
     grown = urls.select("host", "path", "n", "labelled", "bad", parts.alias("parts"), F.lit("").alias("template"))
     grown = settle(grown, "urls")
-    depth = grown.agg(F.max(F.size("parts"))).first()[0] or 0
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    for level in range(depth):
+    done, level = [], 0
+    while True:
+        # Below a node without labels of both kinds no branch differs, so all is variable there.
+        mixed = grown.groupBy("host", "template").agg(F.sum("labelled").alias("own"), F.sum("bad").alias("own_bad"))
+        mixed = mixed.where((F.col("own_bad") > 0) & (F.col("own_bad") < F.col("own"))).select("host", "template", F.lit(True).alias("open"))
+        grown = grown.join(_small(settle(mixed, "mixed")), ["host", "template"], "left")
+        open_ = F.coalesce("open", F.lit(False)) & (F.size("parts") > level)
+        grown = settle(grown.withColumn("open", open_), "urls")
+        left = F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.lit(0), F.size("parts") - level)))
+        done.append(grown.where("not open").withColumn("template", left).drop("open"))
+        grown = grown.where("open").drop("open")
+        if grown.isEmpty():
+            break
         segment = F.get("parts", F.lit(level)).alias("segment")
-        leaves = grown.where(F.size("parts") > level).select("host", "template", segment, "n", "labelled", "bad")
+        leaves = grown.select("host", "template", segment, "n", "labelled", "bad")
         leaves = settle(leaves.groupBy("host", "template", "segment").agg(*sums), "segments")
-        node = leaves.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
+        node = leaves.groupBy("host", "template").agg(
+            F.count(F.lit(1)).alias("kinds"),
+            F.sum("n").alias("all"),
+            F.sum("labelled").alias("t_labelled"),
+            F.sum("bad").alias("t_bad"),
+        )
+        node = _small(settle(node, "nodes"))
+        branches = leaves.join(node, ["host", "template"])
         rare = (F.col("kinds") >= MIN_VARIABLE) & (F.col("n") <= F.col("all") * RARE_SHARE)
+        alone = _differs() & (~rare | (F.col("labelled") >= HANDFUL))
         wild = F.concat(F.lit("*"), F.regexp_extract("segment", r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1))
-        branches = leaves.join(_small(settle(node, "nodes")), ["host", "template"])
-        branches = branches.withColumn("branch", F.when(rare, wild).otherwise(F.col("segment")))
-        branches = settle(branches.select("host", "template", "segment", "branch", "n", "labelled", "bad"), "branches")
-        shares = branches.groupBy("host", "template", "branch").agg(*sums)
-        total = shares.groupBy("host", "template").agg(
-            F.sum("labelled").alias("t_labelled"), F.sum("bad").alias("t_bad")
-        )
-        rest, rest_bad = F.col("t_labelled") - F.col("labelled"), F.col("t_bad") - F.col("bad")
-        pooled = F.col("t_bad") / F.col("t_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-        differs = F.abs(F.col("bad") / F.col("labelled") - rest_bad / rest) > error * APART
-        alone = F.when((F.col("labelled") > 0) & (rest > 0), differs).otherwise(False)
-        merged = shares.join(_small(settle(total, "totals")), ["host", "template"])
-        merged = merged.select("host", "template", "branch", F.when(alone, F.col("branch")).otherwise("*").alias("to"))
-        named = branches.join(_small(settle(merged, "merged")), ["host", "template", "branch"])
-        named = settle(named.select("host", "template", "segment", "to"), "named")
-        grown = grown.withColumn("segment", segment).join(_small(named), ["host", "template", "segment"], "left")
-        template = F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))
-        grown = settle(grown.withColumn("template", template).drop("segment", "to"), "grown")
+        branch = F.when(alone, F.col("segment")).when(rare, wild).otherwise("*")
+        branches = branches.select("host", "template", "segment", alone.alias("alone"), branch.alias("branch"), "n", "labelled", "bad")
+        branches = settle(branches, "branches")
+        shares = branches.where("not alone").groupBy("host", "template", "branch").agg(*sums).join(node, ["host", "template"])
+        merged = shares.select("host", "template", "branch", F.when(_differs(), F.col("branch")).otherwise("*").alias("to"), F.lit(False).alias("alone"))
+        named = branches.join(_small(settle(merged, "merged")), ["host", "template", "branch", "alone"], "left")
+        named = settle(named.select("host", "template", "segment", F.coalesce("to", "branch").alias("to")), "named")
+        grown = grown.withColumn("segment", segment).join(_small(named), ["host", "template", "segment"])
+        grown = grown.withColumn("template", F.concat("template", F.lit("/"), "to")).drop("segment", "to")
+        level += 1
+    grown = done[0]
+    for more in done[1:]:
+        grown = grown.unionByName(more)
     return grown
 
 

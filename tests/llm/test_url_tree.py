@@ -18,3 +18,11 @@ def test_a_bad_section_among_many_even_ones(spark):
     verdicts, templates = _judged(spark, urls)
     assert verdicts == {(0, "allow"): 580, (1, "block"): 20}
     assert "/s7/*" in templates
+
+
+def test_a_bad_branch_far_down(spark):
+    deep = "http://a.org/" + "/".join("abcdefghijk")
+    urls = [(f"{deep}/{part}/{i}", int(part == "spam")) for part in ("news", "spam") for i in range(30)]
+    verdicts, templates = _judged(spark, urls)
+    assert verdicts == {(0, "allow"): 30, (1, "block"): 30}
+    assert templates == {"/*" * 11 + "/news/*", "/*" * 11 + "/spam/*"}

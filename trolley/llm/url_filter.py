@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and a path-template tree judged by labelled purity.
 
 Each host has a tree of path segments, grown a level at a time over all urls
-of nodes with labels of both kinds. A segment whose labelled share
+of nodes with labels of both kinds, to any depth. A segment whose labelled share
 differs statistically from the rest of its node stands alone, a rare one from
 ``HANDFUL`` labels on. At a node with many different segments the other rare
 ones are variable and become a wildcard (their file ending stays, if these
@@ -13,8 +13,7 @@ Urls are grouped first, so copies and hot hosts are counts before any join;
 nothing is collected.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
-which are a host and a template like others; a template without labels is allowed; segments beyond ``MAX_DEPTH``
-are one wildcard; repeated urls count as often as they occur; without labels
+which are a host and a template like others; a template without labels is allowed; repeated urls count as often as they occur; without labels
 nothing is rejected; an empty table gives an empty result; other columns
 of the pages stay.
 """
@@ -37,7 +36,6 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-MAX_DEPTH = 8
 #: A node with this many different segments is variable below; a segment with at most this share of it is rare.
 MIN_VARIABLE, RARE_SHARE = 8, 0.05
 #: Standard errors by which a branch must differ from its siblings to stand alone.
@@ -83,8 +81,6 @@ def _differs() -> Column:
 def templates(urls: DataFrame) -> DataFrame:
     """(host, path, template) of distinct urls; ``urls``: host, path, n, labelled, bad."""
     parts = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    deep = F.size(parts) > MAX_DEPTH
-    parts = F.when(deep, F.concat(F.slice(parts, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(parts)
     grown = urls.select("host", "path", "n", "labelled", "bad", parts.alias("parts"), F.lit("").alias("template"))
     grown = settle(grown, "urls")
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]

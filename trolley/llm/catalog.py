@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.llm.bpe import op3_bpe
+from trolley.llm.chat import op11_chat_format
 from trolley.llm.decontamination import op8_decontamination
 from trolley.llm.html_text import op5_html_text
 from trolley.llm.line_dedup import op7_line_dedup
 from trolley.llm.near_dedup import op2_near_dedup
 from trolley.llm.oracle import ORACLES  # noqa: F401
 from trolley.llm.quality import op6_quality
+from trolley.llm.resampling import op12_resampling
 from trolley.llm.sharding import op1_sharding
+from trolley.llm.source_audit import op13_source_audit
 from trolley.llm.token_files import op4_token_files
 from trolley.llm.toxicity import op9_toxicity
 from trolley.llm.url_filter import op10_url_filter
@@ -33,5 +36,8 @@ def QUERIES() -> dict[str, Query]:
         op8_decontamination,
         op9_toxicity,
         op10_url_filter,
+        op11_chat_format,
+        op12_resampling,
+        op13_source_audit,
     )
     return {f.__name__: f for f in found}

@@ -1,0 +1,123 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from trolley.llm import source_audit
+
+
+def brute(rows) -> list[tuple]:
+    """(lang, source, part, item, value, rank) over (lang, source, text) rows."""
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", folded)
+        counts[lang, source].update(terms)
+        docs[lang].update(set(terms))
+        groups[lang].add(source)
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for t, n in docs[lang].items() if n >= 3]
+        every = Counter()
+        for s in sources:
+            every.update({t: counts[lang, s][t] for t in kept})
+
+        def shares(c):
+            n = sum(c[t] for t in kept)
+            return {t: 1 + 1000000000 * (c[t] + 1) // (n + len(kept)) for t in kept}
+
+        own, whole = {s: shares(counts[lang, s]) for s in sources}, shares(every)
+        price = lambda p, q: (p - q) * (p - q) // q
+        for s in sources:
+            pairs = [(-sum(price(own[s][t], own[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(-price(own[s][t], whole[t]), t.encode(), t) for t in kept if counts[lang, s][t] and own[s][t] > whole[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:200])):
+                out += [(lang, s, part, x, -v, k) for k, (v, _, x) in enumerate(found, 1)]
+    return sorted(out)
+
+
+def _got(frame):
+    return sorted(tuple(r) for r in source_audit.audit(frame).collect())
+
+
+def _rows(seed: int, langs: int, sources: int, n: int) -> list[tuple]:
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        lang, source = f"l{rnd.randrange(langs)}", f"s{int(rnd.random() ** 2 * sources)}"
+        pool = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(rnd.choice([5, 60, 300]))]
+        words = [rnd.choice(pool) if rnd.random() < 0.9 else "The" for _ in range(rnd.choice([0, 3, 20, 80]))]
+        out.append((lang, source, rnd.choice([" ", ", ", "9"]).join(words)))
+    return out
+
+
+@pytest.mark.parametrize(("terms", "sources", "columns"), [(4096, 64, 1024), (50, 3, 1024), (4096, 2, 8), (7, 64, 16)])
+def test_against_brute_force(spark, monkeypatch, terms, sources, columns):
+    monkeypatch.setattr(source_audit, "BLOCK_TERMS", terms)
+    monkeypatch.setattr(source_audit, "BLOCK_SOURCES", sources)
+    monkeypatch.setattr(source_audit, "TILE_COLUMNS", columns)
+    monkeypatch.setattr(source_audit, "FLUSH_TERMS", 500)
+    rows = _rows(terms, 2, 9, 400)
+    frame = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3)
+    assert _got(frame) == brute(rows)
+
+
+def test_joint_tables_are_the_product_of_one_hot_columns():
+    rng = np.random.default_rng(1)
+    hot = rng.random((40, 11)) < 0.3
+    row, column = np.nonzero(hot)
+    left, right = np.arange(11) < 7, np.arange(11) >= 4
+    for most in (2, 5, 11):
+        source_audit_tile = source_audit.TILE_COLUMNS
+        source_audit.TILE_COLUMNS = most
+        try:
+            product = np.zeros((11, 11), np.int64)
+            for i, j, n in source_audit.joint_tables(column, row, left, right):
+                np.add.at(product, (i, j), n)
+        finally:
+            source_audit.TILE_COLUMNS = source_audit_tile
+        assert (product == np.where(np.outer(left, right), hot.T.astype(int) @ hot.astype(int), 0)).all()
+
+
+def test_shares_of_large_counts_are_exact():
+    rng = np.random.default_rng(2)
+    total = rng.integers(1, 9_000_000_000_000_000, 500)
+    count = (total * rng.random(500)).astype(np.int64)
+    got = source_audit.share(count, total)
+    assert got.tolist() == [1 + 10**9 * (c + 1) // t for c, t in zip(count.tolist(), total.tolist())]
+
+
+def test_edge_rows(spark, docs):
+    rows = [(r["lang"], r["source"], r["text"]) for r in docs.collect()]
+    assert _got(docs) == brute(rows)
+    clash = docs.selectExpr("*", "1 as term", "2 as G", "'x' as item", "3 as all")
+    assert _got(clash) == brute(rows)
+    assert _got(docs.limit(0)) == []
+
+
+def test_sources_and_languages_without_terms(spark):
+    text = "Alpha beta gamma beta"
+    rows = [("en", "a", text), ("en", "a", text), ("en", "b", text + " delta"), ("en", "c", None), ("en", "", "123 456"),
+            (None, "x", "one two"), (None, None, ""), ("de", "alone", text), ("fr", "é", text), ("fr", "z", text)]
+    frame = spark.createDataFrame(rows, "lang string, source string, text string")
+    got = _got(frame)
+    assert got == brute(rows)
+    assert {(r[1], r[3], r[4]) for r in got if r[0] == ""} == {("", "x", 0), ("x", "", 0)}
+    assert not [r for r in got if r[0] == "de"]
+
+
+def test_a_hot_source_and_a_hot_term(spark):
+    rnd = random.Random(3)
+    rows = [("en", "hot" if k % 3 else f"s{k % 7}", " ".join(["the"] * 50 + [f"w{chr(97 + rnd.randrange(26))}"])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert _got(frame) == brute(rows)
+
+
+def test_query(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang", "source", "text").collect()]
+    assert sorted(tuple(r) for r in source_audit.op13_source_audit(spark, sf).collect()) == brute(rows)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trolley.llm.shared import table
+from trolley.llm.shared import free_name, table
 
 START, MIDDLE, END = "[INST]", "[/INST]", "</s>"
 #: A control string in a text: its first character, backslashes, the rest.
@@ -171,16 +171,17 @@ def canonical(records: DataFrame, record: str = "record", layouts: dict[str, Lay
     tops |= {p.replace("[]", "").split(".")[0] for layout in layouts.values() for p in layout.may}
     top = F.array(*[F.lit(t) for t in sorted(tops)])
     others = [c for c in records.columns if c.lower() not in (record.lower(), "layout", "turns")]
-    rows = records.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{record}`").alias("r"))
-    named = F.filter(field_paths(F.col("r")), lambda p: F.array_contains(top, F.regexp_replace(p, r"(\[\])?(\..*)?$", "")))
-    rows = rows.withColumn("paths", named)
+    r, paths, name = (free_name(records, x) for x in ("record", "paths", "layout"))
+    rows = records.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{record}`").alias(r))
+    named = F.filter(field_paths(F.col(r)), lambda p: F.array_contains(top, F.regexp_replace(p, r"(\[\])?(\..*)?$", "")))
+    rows = rows.withColumn(paths, named)
     known = F.create_map(*[F.lit(x) for pair in fingerprints(layouts).items() for x in pair])
-    fingerprint = F.sha2(F.array_join(F.sort_array("paths"), "\n").cast("binary"), 256)
-    rows = rows.withColumn("layout", F.try_element_at(known, fingerprint))
+    fingerprint = F.sha2(F.array_join(F.sort_array(paths), "\n").cast("binary"), 256)
+    rows = rows.withColumn(name, F.try_element_at(known, fingerprint))
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
-    for name, layout in layouts.items():
-        turns = F.when(F.col("layout") == name, _turns(F.col("r"), F.col("paths"), layout)).otherwise(turns)
-    return rows.select("row.*", "layout", turns.alias("turns"))
+    for own, layout in layouts.items():
+        turns = F.when(F.col(name) == own, _turns(F.col(r), F.col(paths), layout)).otherwise(turns)
+    return rows.select(*[F.col(f"`{c}`") for c in others], F.col(name).alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:

@@ -43,13 +43,13 @@ def word_shingles(text, size: int) -> frozenset:
     return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
 
 
-def line_dedup(rows, size: int = 12, least: int = 5) -> dict:
+def line_dedup(rows, size: int = 5) -> dict:
     """(lines, lines that go, sha256 of what stays) by doc_id."""
     lines = {}
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             p = " ".join(line.lower().split())
-            if p.count(" ") + 1 >= least:
+            if p:
                 lines[d, k] = p
     sets = {p: frozenset(p[i : i + size] for i in range(max(1, len(p) - size + 1))) for p in set(lines.values())}
     group = groups(sets, 85, 100)

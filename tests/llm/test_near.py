@@ -61,11 +61,14 @@ def _near_rows(seed: int, groups: int = 6, copies: int = 30) -> list[tuple[int,
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_documents_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "group", "hot"), [(256, 4096, 32), (7, 4096, 2), (7, 5, 3), (256, 0, 32)])
+def test_documents_against_brute_force(spark, monkeypatch, block, group, hot):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "SIGNATURE_BLOCK", block + 3)
+    monkeypatch.setattr(near, "GROUP", group)
+    monkeypatch.setattr(near, "HOT", hot)
     monkeypatch.setattr(near_dedup, "CHUNK", 500)
-    rows = _near_rows(block)
+    rows = _near_rows(block + group)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     signed, found = near_dedup.linked(docs, 3, 85, 100)
     ids = {r["lid"]: r["row"]["doc_id"] for r in signed.collect()}
@@ -116,21 +119,103 @@ def test_line_query(spark, sf, texts):
 def test_lines(spark):
     long = "the river runs past the old stone mill and under the wooden bridge to the harbour"
     rows = [
-        (3, f"{long}\nshort line\n\nshort line"),
+        (3, f"{long}\nshort line\n\nshort line\n "),
         (1, f"A first line of its own here.\n  {long.upper()}  "),
         (2, f"{long} now\n{long}"),
         (2, f"{long} now\n{long}"),
         (None, long),
         (5, None),
         (6, ""),
+        (7, "日本語のとても長い行です\nab\n\nab"),
+        (8, "日本語のとても長い行です"),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text as Text2", "*", "1 as pos", "2 as lid")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text as Text2", "*", "1 as pos", "2 as lid", "3 as n_lines")
     out = line_dedup.dedupe(docs)
     assert out.columns == docs.columns
     got = {(r["doc_id"], r["Text2"]): r["text"] for r in out.collect()}
-    assert got[3, rows[0][1]] == "short line\n\nshort line"
+    assert got[3, rows[0][1]] == "short line\n\n "
     assert got[1, rows[1][1]] == rows[1][1]
     assert got[2, rows[2][1]] == "" and got[None, long] == ""
     assert got[5, None] is None and got[6, ""] == ""
-    assert out.count() == 7
+    assert got[7, rows[7][1]] == "日本語のとても長い行です\nab\n" and got[8, rows[8][1]] == ""
+    assert out.count() == 9
     assert line_dedup.dedupe(docs.limit(0)).collect() == []
+
+
+def test_very_long_texts_and_many_equal_lines(spark):
+    """A text of 200,000 equal lines and a line of a million characters."""
+    line = "".join(chr(97 + k * k % 23) for k in range(1_000_000))
+    rows = [(1, "\n".join(["the very same line each time"] * 200_000)), (2, line), (3, f"x{line}y\nown")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "the very same line each time", 2: line, 3: "own"}
+
+
+@pytest.mark.parametrize("hot", [2, 4, 32])
+def test_rows_that_meet(spark, monkeypatch, hot):
+    """Members, neighbours and copies of ``met`` against groups made in Python, over several batches and tasks."""
+    monkeypatch.setattr(near, "HOT", hot)
+    rng = np.random.default_rng(hot)
+    keys = rng.integers(0, 25, 400)
+    bands = np.where(rng.random((400, 3)) < 0.5, rng.integers(0, 3, (400, 3)), rng.integers(0, 1 << 40, (400, 3))) * 6 + 2 * np.arange(3)
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for part in np.array_split(own, 3):
+                seen: dict = {}
+                first = np.array([seen.setdefault(int(keys[r]), r) for r in part], np.int64)
+                first[first == part] = -1
+                fresh = part[first < 0]
+                yield near.meeting(np.stack([keys[part], keys[part] * 7], 1), part, first, fresh, bands[fresh])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = near.met(spark.range(400).repartition(3).sortWithinPartitions("id").mapInArrow(run, near.MEET)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    root = list(range(400))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for kind, a, b in got:
+        if kind == near.COPY:
+            assert keys[a] == keys[b] and a != b
+            root[top(a)] = top(b)
+    assert all((top(a) == top(b)) == (keys[a] == keys[b]) for a in range(400) for b in range(0, 400, 7))
+    members: dict = {}
+    for kind, a, b in got:
+        if kind == near.MEMBER:
+            members.setdefault(a, set()).add(b)
+            assert a in bands[b] & ~1
+    holders: dict = {}
+    for kind, a, b in got:
+        if kind == near.EDGE:
+            assert set(bands[a] & ~1) & set(bands[b] & ~1)
+    sent = {b for rows in members.values() for b in rows}
+    for r in sent:
+        for band in bands[r] & ~1:
+            holders.setdefault(int(band), set()).add(r)
+    # Whoever shares a band with a row that was sent by its bands stands in that band's list.
+    for band, rows in holders.items():
+        if len(rows) > 1 and band in members:
+            assert rows <= members[band] | (rows - sent)
+
+
+def test_a_family_below_the_threshold_costs_no_pairs_of_sets(spark, monkeypatch):
+    """Texts of one template, similar at 0.6: signatures alone part them, in blocks that copy a row a few times."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(6))
+    template = [word() for _ in range(120)]
+    rows = [(k, " ".join(template[:90] + [word() for _ in range(30)])) for k in range(1500)]
+    rows += [(2000 + k, rows[k][1]) for k in range(3)] + [(3000, rows[7][1] + " more")]
+    monkeypatch.setattr(near, "GROUP", 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed, found = near_dedup.linked(docs, 1, 85, 100)
+    ids = {r["lid"]: r["row"]["doc_id"] for r in signed.collect()}
+    comps: dict = {}
+    for r in found.collect():
+        comps.setdefault(r["comp"], set()).add(ids[r["lid"]])
+    assert sorted(map(sorted, comps.values())) == [[0, 2000], [1, 2001], [2, 2002], [7, 3000]]

@@ -14,7 +14,8 @@ One changed character links lines from 66 characters on wherever it stands.
 Defined results: blank lines always stay, all others are compared, however
 short: equal ones by their key, those of ``SHINGLE`` characters or more by
 similarity too; a null text stays null, an empty text empty; a text that
-loses all its lines is the empty string and its document stays; repeated
+loses all its lines is the empty string and its document stays (unless asked
+otherwise); repeated
 documents lose all lines but those of one; null doc_ids come after all
 others; an empty table gives an empty result; all columns stay, ``text``
 rewritten.
@@ -27,20 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trolley.llm import near
-from trolley.llm.shared import settle, table
+from trolley.llm.shared import free_name, settle, table
 
 SHINGLE = 5
 NUM, DEN = 85, 100
 #: Short shingles are often shared by lines that aren't alike, so bands are long, or such lines would be candidates.
 BANDS, ROWS = 30, 7
-#: Hashes of a candidate line that are compared before its full set is.
-PRUNING = 256
-#: Characters that go through the hash functions at a time, and keys that a task has seen.
-CHUNK, MAX_SEEN = 1 << 17, 500_000
+#: Characters that go through the hash functions at a time, documents that a task works on at once, keys that it has seen.
+CHUNK, ROWS_AT_ONCE, MAX_SEEN = 1 << 17, 2_000, 300_000
 
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -101,98 +102,116 @@ def signatures(lines: list[str]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    names = ["rid", "doc_id", "pos", "k1", "k2", "bands"]
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their first line (``rid``): lines are numbered through a task."""
+    at = TaskContext.get().partitionId() << 33
     for batch in batches:
-        rid, doc, pos, keys, band, new, texts = [], [], [], [], [], [], []
-        if len(seen) > MAX_SEEN:
-            seen.clear()
-        for r, d, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "text"))):
-            for k, line in enumerate((text or "").split("\n")):
-                own = plain(line)
-                if not own:
-                    continue
-                key = xxhash.xxh3_128_digest(own.encode("utf-8", "replace"))
-                # A line under a shingle's length is like its copies only, and those are found by the key.
-                if len(own) >= SHINGLE and key not in seen:
-                    seen.add(key)
-                    new.append(len(keys))
-                    texts.append(own)
-                rid.append(r)
-                doc.append(d)
-                pos.append(k)
-                keys.append(key)
-                band.append(None)
-        for k, b in zip(new, near.bands(signatures(texts), ROWS).tolist()):
-            band[k] = b
-        halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        arrays = [pa.array(x, pa.int64()) for x in (rid, doc, pos)] + [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(band, pa.list_(pa.int64()))], names)
+        lines = batch.column("n_lines").to_numpy()
+        ends = at + np.cumsum(lines)
+        at = int(ends[-1]) if len(ends) else at
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ends - lines), batch.column("n_lines")], ["row", "rid", "n_lines"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``near.meeting`` of the lines of (rid, text): a line's number is the document's and its position."""
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        for part in range(0, batch.num_rows, ROWS_AT_ONCE):
+            rid, texts = (batch.column(c).slice(part, ROWS_AT_ONCE).to_pylist() for c in ("rid", "text"))
+            if len(seen) > MAX_SEEN:
+                seen.clear()
+            lid, keys, first, banded, own = [], [], [], [], []
+            for at, text in zip(rid, texts):
+                for number, line in enumerate((text or "").split("\n"), at):
+                    line = plain(line)
+                    if not line:
+                        continue
+                    key = xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
+                    earlier = seen.setdefault(key, number)
+                    lid.append(number)
+                    keys.append(key)
+                    first.append(earlier if earlier != number else -1)
+                    # A line under a shingle's length is like its copies only, and those are found by the key.
+                    if earlier == number and len(line) >= SHINGLE:
+                        banded.append(number)
+                        own.append(line)
+            halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            numbers = [np.array(x, np.int64) for x in (lid, first, banded)]
+            yield near.meeting(halves, *numbers, near.bands(signatures(own), ROWS))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The plain text of each wanted line, and a longer signature (8 bits of each hash) that prunes pairs."""
+    """The plain text of each wanted line."""
     for batch in batches:
-        lid, out, sig = [], [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+        lid, out = [], []
+        for rid, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "wanted"))):
             lines = text.split("\n")
-            for w in wanted:
-                lid.append(w["lid"])
-                out.append(plain(lines[w["pos"]]))
-        for first in range(0, len(out), 256):
-            values = [(line_set(x).view(np.uint64) >> np.uint64(32)).astype(np.uint32) for x in out[first : first + 256]]
-            starts = np.cumsum([0, *map(len, values)])[:-1]
-            sig += [s.tobytes() for s in (near.minhash(np.concatenate(values), starts, PRUNING, seed=8) & 0xFF).astype(np.uint8)]
-        arrays = [pa.array(lid, pa.int64()), pa.array(out, pa.string()), pa.array(sig, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["lid", "items", "sig"])
+            lid += wanted
+            out += [plain(lines[w - rid]) for w in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int64()), pa.array(out, pa.string())], ["lid", "items"])
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """(row, drops): every document's columns as a struct, and the positions of the lines that go (null: none)."""
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")
-    )
-    rows = settle(rows, "docs")
+    """(row, n_lines, drops): every document's columns as a struct, its lines, the positions of those that go (null: none)."""
+    text = F.col("text").cast("string")
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    lines = (F.coalesce(ends, F.lit(0)) + 1).cast("long").alias("n_lines")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lines)
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
+    for c in ("rid", "n_lines"):
+        schema = schema.add(c, T.LongType())
+    rows = settle(rows.mapInArrow(_numbered, schema), "docs")
     text = F.col("row.text").cast("string").alias("text")
-    own = rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), text)
-    schema = "rid long, doc_id long, pos long, k1 long, k2 long, bands array<long>"
-    lines = own.mapInArrow(_lines, schema).withColumn("lid", F.monotonically_increasing_id())
-    lines = settle(lines, "lines")
+    met = near.met(rows.select("rid", text).mapInArrow(_meeting, near.MEET))
+    numbers = F.posexplode(F.sequence("rid", F.col("rid") + F.col("n_lines") - 1)).alias("pos", "lid")
+
+    def lines(*columns: Column) -> DataFrame:
+        return rows.select("rid", *columns, numbers)
 
     def fetch(needed: DataFrame) -> DataFrame:
-        at = near.small_join(lines.select("lid", "rid", "pos"), needed, ["lid"])
-        wanted = settle(at.groupBy("rid").agg(F.collect_list(F.struct("lid", "pos")).alias("wanted")), "wanted")
+        at = near.small_join(lines(), needed, ["lid"])
+        wanted = settle(at.groupBy("rid").agg(F.collect_list("lid").alias("wanted")), "wanted")
         found = near.small_join(rows.select("rid", text), wanted, ["rid"])
-        return found.select("text", "wanted").mapInArrow(_texts, "lid long, items string, sig binary")
+        return found.mapInArrow(_texts, "lid long, items string")
 
-    found = settle(near.groups(lines.select("lid", "k1", "k2", "bands"), fetch, NUM, DEN, to_set=line_set), "found")
-    named = settle(near.small_join(lines.select("lid", "rid", "doc_id", "pos"), found, ["lid"]), "named")
+    found = settle(near.groups(met, fetch, NUM, DEN, to_set=line_set), "found")
+    named = settle(near.small_join(lines(F.col("row.doc_id").cast("long").alias("doc_id")), found, ["lid"]), "named")
     best = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pos", "lid")).alias("best"))
     going = named.join(best.select("comp", F.col("best.lid").alias("keep")), "comp").where("lid != keep")
     drops = settle(going.groupBy("rid").agg(F.collect_list(F.col("pos").cast("int")).alias("drops")), "drops")
     drops = F.broadcast(drops) if drops.count() <= near.BROADCAST_ROWS else drops
-    return rows.join(drops, "rid", "left").select("row", "drops")
+    return rows.join(drops, "rid", "left").select("row", "n_lines", "drops")
+
+
+def _kept(text: Column, drops: Column) -> Column:
+    def stay(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
+        return F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
 
+    # The lines are made once, and each position is looked up at once.
+    cut = F.element_at(F.transform(F.array(F.split(text, "\n", -1)), stay), 1)
+    return F.when(drops.isNull(), text).otherwise(cut)
 
-def _kept(text, drops):
-    lines = F.filter(F.split(text, "\n", -1), lambda x, k: ~F.array_contains(drops, k))
-    return F.when(drops.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
+def dedupe(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
+    """All documents and columns, ``text`` without lines that stay elsewhere.
 
-def dedupe(docs: DataFrame) -> DataFrame:
-    """All documents and columns, ``text`` without lines that stay elsewhere."""
-    text = _kept(F.col("row.text"), F.col("drops")).alias("text")
-    return mark(docs).select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    keep_emptied: whether documents stay that lose lines and have only blank ones left.
+    """
+    rows = mark(docs)
+    kept = free_name(docs, "kept")
+    rows = rows.withColumn(kept, _kept(F.col("row.text").cast("string"), F.col("drops")))
+    if not keep_emptied:
+        rows = rows.where(F.col("drops").isNull() | F.col(kept).rlike(r"[^\s\p{Z}]"))
+    return rows.select(*[F.col(kept).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document: its lines, those that go, and the hash of the text that stays."""
     rows = mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lines = F.size(F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1)).cast("long")
     return rows.select(
         F.col("row.doc_id").alias("doc_id"),
-        lines.alias("n_lines"),
+        "n_lines",
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(F.encode(_kept(F.col("row.text"), F.col("drops")), "UTF-8"), 256).alias("text_sha256"),
     )

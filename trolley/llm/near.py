@@ -1,12 +1,22 @@
 """What the operators on near copies share: MinHash signatures, banded candidates, verification, union-find.
 
-Vertices are row numbers of a settled table. Rows of equal content are one
-vertex. A band's rows are brought together by one range shuffle on (band, row)
-and linked in a chain, so a hot band is spread over tasks and no pairs of a
-bucket are emitted. Links between different contents are confirmed on full
-sets: first one chain neighbour for each vertex; then, in groups of candidates
-that these links leave in several parts, every pair across parts, in blocks
-of bounded size and without emitting more than the links that join parts.
+Vertices are numbered rows. Rows of equal content are one vertex. Band keys and
+content keys meet in one shuffle by key; rows of a key that is frequent in a
+batch of the map side go there as a chunk of their own, with one of them
+standing for the rest among the others, so no task gathers a hot key. Links
+between different contents are confirmed on full sets:
+
+1. with the first row of a band, first one pair for each vertex, then those
+   that the links so far leave in different parts;
+2. in candidate groups that still have several parts, signatures of all pairs
+   across parts are compared batch by batch; the pairs that may reach the
+   similarity, as far as they join anything, cut the group into smaller ones.
+   A group of more than ``GROUP`` open rows is taken apart by its bands first,
+   so that only rows that share one are compared;
+3. in these smaller groups every pair across parts that passes the signatures
+   is compared on full sets.
+
+Blocks of pairs are of bounded size, and tasks emit joining links only.
 """
 
 from __future__ import annotations
@@ -19,12 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trolley.llm.shared import settle
 
-#: Vertices of one side of a block of pairs, on average.
-BLOCK = 256
+#: Vertices of one side of a block of pairs, on average: of full sets, and of signatures alone.
+BLOCK, SIGNATURE_BLOCK = 256, 2048
+#: Open rows of a candidate group beyond which only rows of one band are compared.
+GROUP = 4096
+#: Hashes of a signature that prunes pairs, 8 bits of each.
+PRUNING = 256
+#: Edges of a written file in union-find, about.
+FILE_ROWS = 200_000
+#: Rows of one key in a batch that go as a chunk of their own.
+HOT = 32
 #: Rows up to which a looked-up side is broadcast (two longs each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -32,13 +49,16 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def minhash(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 7) -> np.ndarray:
-    """Signatures (len(starts), hashes) of the non-empty runs of 32-bit ``values`` that begin at ``starts``."""
-    rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 31, hashes, np.uint32) * np.uint32(2) + np.uint32(1)
-    b = rng.integers(0, 1 << 32, hashes, np.uint32)
+    """Signatures (len(starts), hashes) of the non-empty runs of 32-bit ``values`` that begin at ``starts``.
+
+    The values are hashes themselves, so products with odd numbers order them anew each time.
+    """
+    odd = np.random.default_rng(seed).integers(0, 1 << 31, hashes, np.uint32) * np.uint32(2) + np.uint32(1)
     out = np.empty((len(starts), hashes), np.uint32)
+    product = np.empty_like(values)
     for k in range(hashes):
-        out[:, k] = np.minimum.reduceat(values * a[k] + b[k], starts)
+        np.multiply(values, odd[k], out=product)
+        out[:, k] = np.minimum.reduceat(product, starts)
     return out
 
 
@@ -73,34 +93,82 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on)
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, row): an edge for neighbours in a band; the first and last row, with their band."""
-    ends: list[tuple[int, int]] = []
-    names = ["band", "a", "b"]
+#: Rows that meet: by (band, sub). A band key is even, with sub 0 or a chunk; a content key is odd (k1), with sub k2;
+#: a copy of a row that the task has seen before has no band, and that row as sub.
+MEET = "band long, sub long, row long"
+MEMBER, EDGE, COPY = 0, 1, 2
+
+
+def meeting(keys: np.ndarray, rows: np.ndarray, first: np.ndarray, band_rows: np.ndarray, band_keys: np.ndarray) -> pa.RecordBatch:
+    """What a batch of the map side sends to ``met`` (MEET).
+
+    keys: content keys (n, 2) of ``rows``, with ``first`` the row of the same key that the task has seen
+    before (-1: none); band_rows, band_keys (m, bands): rows with bands and their keys. Every row of a key
+    goes by the key; rows of a band with ``HOT`` rows here go by (band, chunk), and the first of them by the band too.
+    """
+    even, owner = band_keys.ravel() & ~1, np.repeat(band_rows, band_keys.shape[1])
+    order = np.argsort(even, kind="stable")
+    even, owner = even[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], even[1:] != even[:-1]])) if len(even) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(even)))
+    hot = size >= HOT
+    # Rows are numbered from 0, so a chunk's number is that of its first row, and 1.
+    chunk = np.repeat(np.where(hot, owner[start] + 1, 0), size)
+    heads = start[hot]
+    copies, fresh = np.flatnonzero(first >= 0), np.flatnonzero(first < 0)
+    band = np.concatenate([even, even[heads], keys[fresh, 0] | 1, np.zeros(len(copies), np.int64)])
+    sub = np.concatenate([chunk, np.zeros(len(heads), np.int64), keys[fresh, 1], first[copies]])
+    row = np.concatenate([owner, owner[heads], rows[fresh], rows[copies]])
+    local = np.arange(len(band)) >= len(band) - len(copies)
+    return pa.RecordBatch.from_arrays([pa.array(band, pa.int64(), mask=local), pa.array(sub), pa.array(row)], ["band", "sub", "row"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (band, sub, row), as (kind, a, b).
+
+    member: (band, row) of a band with several rows; edge: a band's first row and another; copy: a key's first row and another, as (row, first).
+    """
+    # The last row so far: (band, sub, row), whether the one before has its key, the key's first row.
+    held: np.ndarray | None = None
+
+    def batch_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
     for batch in batches:
+        local = batch.column("band").null_count
+        if local:  # nulls come first
+            yield batch_of(COPY, *(batch.column(c).slice(0, local).to_numpy() for c in ("row", "sub")))
+            batch = batch.slice(local)
         if not batch.num_rows:
             continue
-        band, row = (batch.column(k).to_numpy() for k in range(2))
-        if ends:
-            band, row = np.concatenate([[ends[1][0]], band]), np.concatenate([[ends[1][1]], row])
-        ends = [ends[0] if ends else (int(band[0]), int(row[0])), (int(band[-1]), int(row[-1]))]
-        same = np.flatnonzero(band[1:] == band[:-1])
-        if len(same):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(same), pa.int64()), pa.array(row[same]), pa.array(row[same + 1])], names)
-    if ends:
-        band, row = (pa.array([e[k] for e in ends], pa.int64()) for k in range(2))
-        yield pa.RecordBatch.from_arrays([band, row, row], names)
-
-
-def chains(items: DataFrame) -> DataFrame:
-    """Edges (a, b) between rows (lid) of ``items`` that are neighbours in some band (bands: array<long>)."""
-    rows = items.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("band"), F.col("lid").alias("row"))
-    ordered = rows.repartitionByRange("band", "row").sortWithinPartitions("band", "row")
-    found = settle(ordered.mapInArrow(_chained, "band long, a long, b long"), "chains")
-    # A band that goes on in the next task: two rows of each task meet here.
-    ends = found.where("band is not null").select("band", "a").distinct()
-    over = ends.select(F.lag("a").over(Window.partitionBy("band").orderBy("a")).alias("a"), F.col("a").alias("b"))
-    return found.where("band is null").select("a", "b").union(over.where("a is not null")).where("a != b").distinct()
+        rows = np.stack([batch.column(c).to_numpy() for c in ("band", "sub", "row")])
+        was = False
+        if held is not None:
+            rows = np.concatenate([held[:3, None], rows], 1)
+            was = bool(held[3])
+        band, row = rows[0], rows[2]
+        same = (rows[:2, 1:] == rows[:2, :-1]).all(0)
+        run = np.concatenate([[0], np.maximum.accumulate(np.where(same, 0, np.arange(1, len(row))))]) if len(row) > 1 else np.zeros(1, np.int64)
+        first = row[run]
+        if held is not None:
+            first[run == 0] = held[4]
+        is_key = (band[1:] & 1).astype(bool)
+        copy = np.flatnonzero(same & is_key) + 1
+        if len(copy):
+            yield batch_of(COPY, row[copy], first[copy])
+        pair = np.flatnonzero(same & ~is_key)
+        if len(pair):
+            yield batch_of(EDGE, first[pair + 1], row[pair + 1])
+            before = np.concatenate([[was], same])[pair]
+            member = np.concatenate([pair + 1, pair[~before]])
+            yield batch_of(MEMBER, band[member], row[member])
+        held = np.concatenate([rows[:, -1], [same[-1] if len(same) else was, first[-1]]])
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """(kind, a, b) of ``_met`` for rows of ``meeting`` (MEET)."""
+    dealt = rows.repartition("band", "sub").sortWithinPartitions("band", "sub", "row")
+    return settle(dealt.mapInArrow(_met, "kind int, a long, b long"), "met")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -117,13 +185,16 @@ def components(edges: DataFrame) -> DataFrame:
     e = settle(e, "edges")
     before = mark(e)
     while before[0]:
+        # Steps are written in files of some size, not one for each shuffle partition.
+        parts = 1 + before[0] // FILE_ROWS
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = settle(least.coalesce(parts), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x != y")
-        large = settle(large.distinct(), "large")
+        large = settle(large.distinct().coalesce(parts), "large")
         near = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(near, "x").where("y != m").select(F.col("y").alias("a"), F.col("m").alias("b"))
-        e = settle(small.union(near.select("x", "m")).distinct(), "edges")
+        e = settle(small.union(near.select("x", "m")).distinct().coalesce(parts), "edges")
         after = mark(e)
         if after == before:
             break
@@ -148,8 +219,11 @@ def _confirmed(num: int, den: int, to_set: ToSet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = (to_set(v.values if isinstance(v, pa.ListScalar) else v.as_py()) for v in (x, y))
+            last, p = None, np.zeros(0, np.int64)
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y")):
+                q = to_set(y.values if isinstance(y, pa.ListScalar) else y.as_py())
+                if a != last:
+                    last, p = a, to_set(x.values if isinstance(x, pa.ListScalar) else x.as_py())
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(den * common >= num * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -219,6 +293,36 @@ def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
     return run
 
 
+def _possible(chance: float, batch: int, miss: float):
+    """Function of one block of pairs: pairs (a, b) across parts whose signatures allow the similarity, as far as they join parts."""
+
+    def run(lid: np.ndarray, part: np.ndarray, side: np.ndarray, item, signature) -> list[tuple[int, int]]:
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+        sig = np.stack([np.frombuffer(signature(k), np.uint8) for k in range(len(lid))])
+        _, root = np.unique(part, return_inverse=True)
+        same_side = len(left) == len(lid) == len(right)
+        theirs = np.ascontiguousarray(sig[right])
+        out: list[tuple[int, int]] = []
+        for place, i in enumerate(left):
+            others = np.arange(place + 1 if same_side else 0, len(right))
+            others = others[root[right[others]] != root[i]]
+            equal = np.zeros(len(others), np.int64)
+            for at in range(0, sig.shape[1], batch):
+                if not len(others):
+                    break
+                to = min(at + batch, sig.shape[1])
+                equal += (theirs[others, at:to] == sig[i, at:to]).sum(1)
+                alive = equal >= fewest_matches(to, chance, miss)
+                others, equal = others[alive], equal[alive]
+            for j in right[others]:
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((int(lid[i]), int(lid[j])))
+        return out
+
+    return run
+
+
 _KEY = ["cand", "kind", "x", "y"]
 
 
@@ -230,8 +334,8 @@ def _blocks(across):
 
         def links(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             lid, part, side = (rows.column(c).to_numpy() for c in ("lid", "part", "side"))
-            items, sigs = rows.column("items"), rows.column("sig") if "sig" in rows.column_names else None
-            is_list = pa.types.is_list(items.type)
+            items, sigs = (rows.column(c) if c in rows.column_names else None for c in ("items", "sig"))
+            is_list = items is not None and pa.types.is_list(items.type)
             out: list[tuple[int, int]] = []
             for a, b in zip(starts, [*starts[1:], len(lid)]):
                 item = lambda k, a=a: items[int(a + k)].values if is_list else items[int(a + k)].as_py()
@@ -256,56 +360,41 @@ def _blocks(across):
     return run
 
 
-def groups(
-    items: DataFrame,
-    fetch: Callable[[DataFrame], DataFrame],
-    num: int,
-    den: int,
-    batch: int = 32,
-    miss: float = 1e-6,
-    to_set: ToSet = as_set,
-) -> DataFrame:
-    """(lid, comp): rows linked with others, directly or over others, with the smallest row so reached; roots too.
+def _signed(to_set: ToSet):
+    """Pruning signatures of items."""
 
-    items: settled (lid, k1, k2, bands): row, 128-bit key of its content, its
-    band keys (null where the same content has them in another row).
-    fetch: from (lid) to (lid, items[, sig]); to_set makes an item a sorted array of distinct numbers.
-    Links: equal keys, or den * |intersection| >= num * |union| of the sets.
-    """
-    same = items.groupBy("k1", "k2").agg(F.min("lid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    same = settle(same, "same")
-    copies = items.select("k1", "k2", "lid").join(same, ["k1", "k2"]).where("lid != first").select("lid", "first")
-    copies = settle(copies, "copies")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("items")
+            is_list = pa.types.is_list(column.type)
+            for first in range(0, batch.num_rows, 64):
+                own = [to_set(x.values if is_list else x.as_py()) for x in column.slice(first, 64)]
+                values = [(x.view(np.uint64) >> np.uint64(32)).astype(np.uint32) for x in own]
+                starts = np.cumsum([0, *map(len, values)])[:-1]
+                low = (minhash(np.concatenate(values), starts, PRUNING, seed=8) & 0xFF).astype(np.uint8)
+                sig = pa.array([x.tobytes() for x in low], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("lid").slice(first, 64), sig], ["lid", "sig"])
 
-    def whole(e: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            own = copies.select(F.col("lid").alias(c), F.col("first").alias("f"))
-            e = e.join(own, c, "left").withColumn(c, F.coalesce("f", c)).drop("f")
-        return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    return run
 
-    near = settle(whole(chains(items)), "near")
-    candidates = settle(_with_roots(components(near)).select(F.col("v").alias("lid"), F.col("comp").alias("cand")), "cand")
-    sets = settle(fetch(candidates.select("lid")), "sets")
 
-    one = near.groupBy("b").agg(F.min("a").alias("a"))
-    pairs = one.join(sets.select(F.col("lid").alias("b"), F.col("items").alias("y")), "b")
-    pairs = pairs.join(sets.select(F.col("lid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
-    confirmed = settle(pairs.mapInArrow(_confirmed(num, den, to_set), "a long, b long"), "confirmed")
-    parts = _with_roots(components(confirmed)).select(F.col("v").alias("lid"), F.col("comp").alias("part"))
-    parts = settle(candidates.join(parts, "lid", "left").select("lid", "cand", F.coalesce("part", "lid").alias("part")), "parts")
+def _open_groups(parts: DataFrame) -> DataFrame:
+    """(lid, cand, part, main, n, most) of ``parts`` (lid, cand, part) in groups of several parts; main: the largest part.
 
-    # By candidate group: its largest part, which needs no look inside, and all others.
+    Pairs in the main part need no look.
+    """
     sizes = parts.groupBy("cand", "part").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("cand").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"))
-    sizes = sizes.where(F.col("n") > F.col("most.n")).select(
-        "cand",
-        F.col("most.part").alias("main"),
-        F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains"),
-        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("others"),
-    )
-    sizes = settle(sizes, "sizes")
-    open_ = parts.join(sizes, "cand")
+    sizes = sizes.where(F.col("n") > F.col("most.n"))
+    sizes = sizes.select("cand", F.col("most.part").alias("main"), "n", F.col("most.n").alias("most"))
+    return parts.join(sizes, "cand")
+
+
+def _keyed(open_: DataFrame, size: int) -> DataFrame:
+    """Rows of ``_open_groups`` once for each block of pairs (``_KEY``) that needs them, with their ``side``."""
     is_main = F.col("part") == F.col("main")
+    counted = open_.withColumn("mains", F.ceil(F.col("most") / size).cast("int"))
+    counted = counted.withColumn("others", F.ceil((F.col("n") - F.col("most")) / size).cast("int"))
     block = F.pmod(F.xxhash64("lid"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
     others, mains = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("others", "mains"))
 
@@ -318,14 +407,98 @@ def groups(
         others, lambda j: key(F.least(here, j), F.greatest(here, j), 0, F.when(here == j, zero).when(here < j, -1).otherwise(1))
     )
     from_main = F.transform(others, lambda i: key(i, here, 1, F.lit(1)))
-    keyed = open_.withColumn("block", block).select(
+    keyed = counted.withColumn("block", block).select(
         "lid", "cand", "part", F.explode(F.when(is_main, from_main).otherwise(F.concat(with_main, with_others))).alias("k")
     )
-    keyed = keyed.select("lid", "cand", "part", "k.*").join(sets, "lid")
+    return keyed.select("lid", "cand", "part", "k.*")
+
+
+def _linked(keyed: DataFrame, across) -> DataFrame:
+    """Links (a, b) that ``across`` finds in each block."""
     # Most blocks are a few rows, so they go through the task as sorted runs, not as a call each.
     ordered = keyed.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    found = ordered.mapInArrow(_blocks(_across(num, den, batch, miss, to_set)), "a long, b long")
-    links = settle(confirmed.union(found), "links")
+    return ordered.mapInArrow(_blocks(across), "a long, b long")
+
+
+def _in_parts(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """(lid, cand, part) of ``candidates`` (lid, cand): part, the smallest row that ``links`` (a, b) join it to."""
+    parts = _with_roots(components(links)).select(F.col("v").alias("lid"), F.col("comp").alias("part"))
+    return settle(candidates.join(parts, "lid", "left").select("lid", "cand", F.coalesce("part", "lid").alias("part")), "parts")
+
+
+def _part_of(parts: DataFrame, c: str) -> DataFrame:
+    return parts.select(F.col("lid").alias(c), F.col("part").alias(f"part_{c}"))
+
+
+def groups(
+    met_rows: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
+    batch: int = 32,
+    miss: float = 1e-6,
+    to_set: ToSet = as_set,
+) -> DataFrame:
+    """(lid, comp): rows linked with others, directly or over others, with the smallest row so reached; roots too.
+
+    met_rows: of ``met``. fetch: from (lid) to (lid, items); to_set makes an item a sorted array of distinct numbers.
+    Links: equal keys, or den * |intersection| >= num * |union| of the sets.
+    """
+    pair = (F.col("a").alias("lid"), F.col("b").alias("first"))
+    # A task's first row of a key may be another task's copy.
+    copies = met_rows.where(F.col("kind") == COPY).select(*pair)
+    once = copies.select(F.col("lid").alias("first"), F.col("first").alias("root"))
+    copies = copies.join(once, "first", "left").select("lid", F.coalesce("root", "first").alias("first"))
+    copies = settle(copies, "copies")
+
+    def whole(rows: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            own = copies.select(F.col("lid").alias(c), F.col("first").alias("f"))
+            rows = rows.join(own, c, "left").withColumn(c, F.coalesce("f", c)).drop("f")
+        return rows
+
+    def apart(edges: DataFrame) -> DataFrame:
+        return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+    # Most pairs share many bands.
+    edges = met_rows.where(F.col("kind") == EDGE).select("a", "b").distinct()
+    near = settle(apart(whole(edges, "a", "b")), "near")
+    candidates = settle(_with_roots(components(near)).select(F.col("v").alias("lid"), F.col("comp").alias("cand")), "cand")
+    sets = settle(fetch(candidates.select("lid")), "sets")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("lid").alias("b"), F.col("items").alias("y")), "b")
+        pairs = pairs.join(sets.select(F.col("lid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+        return settle(pairs.mapInArrow(_confirmed(num, den, to_set), "a long, b long"), name)
+
+    one = settle(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    links = confirmed(one, "confirmed")
+    parts = _in_parts(candidates, links)
+    rest = near.join(one, ["a", "b"], "left_anti").join(_part_of(parts, "a"), "a").join(_part_of(parts, "b"), "b")
+    rest = rest.where("part_a != part_b")
+    more = confirmed(rest.select("a", "b"), "confirmed")
+    links = settle(links.union(more), "links")
+    parts = _in_parts(candidates, links)
+
+    # Signatures cut candidate groups into those of pairs that may reach the similarity.
+    open_ = settle(_open_groups(parts), "open")
+    signs = settle(open_.select("lid").join(sets, "lid").mapInArrow(_signed(to_set), "lid long, sig binary"), "signs")
+    large = F.col("n") > GROUP
+    member = met_rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("lid"))
+    wide = open_.where(large).select("lid", "part")
+    keyed = _keyed(open_.where(~large), SIGNATURE_BLOCK)
+    if not wide.isEmpty():
+        by_band = whole(member, "lid").join(wide, "lid").select("lid", F.col("band").alias("cand"), "part").distinct()
+        keyed = keyed.unionByName(_keyed(_open_groups(by_band), SIGNATURE_BLOCK))
+    chance = num / den + (1 - num / den) / 256
+    maybe = settle(_linked(keyed.join(signs, "lid"), _possible(chance, batch, miss)), "maybe")
+    # A vertex here is a part.
+    ends = maybe.join(_part_of(parts, "a"), "a").join(_part_of(parts, "b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    joined = _with_roots(components(ends)).select(F.col("v").alias("part"), F.col("comp").alias("cand"))
+    finer = settle(parts.drop("cand").join(joined, "part").select("lid", "cand", "part"), "finer")
+    found = _keyed(_open_groups(finer), BLOCK).join(signs, "lid").join(sets, "lid")
+    found = _linked(found, _across(num, den, batch, miss, to_set))
+    links = settle(links.union(found), "links")
 
     final = _with_roots(components(links)).select(F.col("v").alias("lid"), "comp")
     roots = copies.select("first").distinct().select(F.col("first").alias("lid"))

@@ -34,8 +34,8 @@ from trolley.llm import near
 from trolley.llm.shared import settle, table
 
 BANDS, ROWS = 40, 7
-#: Hashes of words that a worker remembers, and keys of sets that a task has seen.
-MAX_WORDS, MAX_SEEN = 1_000_000, 1_000_000
+#: Hashes of words that a task remembers, and keys of sets that it has seen.
+MAX_WORDS, MAX_SEEN = 300_000, 300_000
 #: Shingles that go through the hash functions at a time.
 CHUNK = 1 << 17
 
@@ -87,25 +87,40 @@ def _signed(size: int, hashes: int, rows: int):
                 signatures.append(near.minhash(np.concatenate(own), starts, hashes))
                 first = last
             signature = np.concatenate(signatures)
-            band = [None] * len(sets)
-            low = [None] * len(sets)
-            for k, b, s in zip(new, near.bands(signature, rows).tolist(), (signature & 0xFF).astype(np.uint8)):
-                band[k], low[k] = b, s.tobytes()
+            band: list = [None] * len(sets)
+            for k, b in zip(new, near.bands(signature, rows)):
+                band[k] = b
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             arrays = [batch.column("row"), pa.array([len(s) for s in sets], pa.int64())]
             arrays += [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-            arrays += [pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "n", "k1", "k2", "bands", "sig"])
+            arrays += [pa.array(band, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "n", "k1", "k2", "bands"])
+        _WORDS.clear()
 
     return run
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``near.meeting`` of rows (lid, k1, k2, bands)."""
+    seen: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        if len(seen) > MAX_SEEN:
+            seen.clear()
+        lid = batch.column("lid").to_numpy()
+        keys = np.stack([batch.column(c).to_numpy() for c in ("k1", "k2")], 1)
+        first = np.array([f if (f := seen.setdefault(k, own)) != own else -1 for k, own in zip(map(tuple, keys.tolist()), lid.tolist())])
+        banded = batch.column("bands").is_valid().to_numpy(zero_copy_only=False)
+        own = batch.column("bands").flatten().to_numpy().reshape(int(banded.sum()), -1)
+        yield near.meeting(keys, lid, first.astype(np.int64), lid[banded], own)
+
+
 def _listed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
             sets = pa.array([np.sort(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("lid"), sets, batch.column("sig")], ["lid", "items", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("lid"), sets], ["lid", "items"])
+        _WORDS.clear()
 
     return run
 
@@ -121,16 +136,16 @@ def linked(docs: DataFrame, size: int, num: int, den: int, bands: int = BANDS, r
     schema = T.StructType([own.schema["row"]])
     for name, kind in (("n", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType())):
         schema = schema.add(name, kind)
-    schema = schema.add("bands", T.ArrayType(T.LongType())).add("sig", T.BinaryType())
+    schema = schema.add("bands", T.ArrayType(T.LongType()))
     signed = own.mapInArrow(_signed(size, bands * rows, rows), schema)
     signed = settle(signed.withColumn("lid", F.monotonically_increasing_id()), "signed")
 
     def fetch(needed: DataFrame) -> DataFrame:
-        found = near.small_join(signed.select("lid", F.col("row.text").cast("string").alias("text"), "sig"), needed, ["lid"])
-        return found.mapInArrow(_listed(size), "lid long, items array<long>, sig binary")
+        found = near.small_join(signed.select("lid", F.col("row.text").cast("string").alias("text")), needed, ["lid"])
+        return found.mapInArrow(_listed(size), "lid long, items array<long>")
 
     items = signed.where("n > 0").select("lid", "k1", "k2", "bands")
-    return signed, near.groups(items, fetch, num, den)
+    return signed, near.groups(near.met(items.mapInArrow(_meeting, near.MEET)), fetch, num, den)
 
 
 def dedupe(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:

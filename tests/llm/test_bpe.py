@@ -45,13 +45,22 @@ def test_small_cache_gives_the_same(monkeypatch, texts):
 
 def test_trie_shares_prefixes():
     bpe = B.Bpe(B.VOCABULARY)
-    bpe.encode_words({"internationalization", "internationalize", "internationally", "inter"})
+    made = bpe.encode_words({"internationalization", "internationalize", "internationally", "inter"})
     for word in ("internationalization", "inter"):
-        k = bpe.words[word]
-        ids = list(bpe.pool[bpe.at[k] : bpe.at[k + 1]])
+        ids = np.frombuffer(made[word], np.uint32)
         assert "".join(bpe.tokens[i] for i in ids) == word + B.END
 
 
+def test_very_long_words(library):
+    """Words of a million letters, two of them with a long prefix in common, in linear time."""
+    rnd = random.Random(2)
+    one = "".join(rnd.choice("abcdeéß") for _ in range(200_000))
+    own = [f"{one}x {one}y", "a" * 1_000_000, "é" * 200_000, "日本" * 100_000]
+    flat, at = B.load(B.VOCABULARY).encode_batch(own)
+    wanted = library.encode_batch(own, add_special_tokens=False)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [w.ids for w in wanted]
+
+
 def test_edge_rows(spark, docs, library):
     rows = B.encode(docs, digest=True).collect()
     assert len(rows) == 10

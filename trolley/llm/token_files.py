@@ -135,7 +135,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, path: str = VOCABULARY
         counts = np.zeros(1 << 16, np.int64)
         end = np.array([end_id], "<u2").tobytes()
         for batch in slices(batches):
-            flat, at = bpe.encode_batch(batch.column("text").to_pylist())
+            flat, at = bpe.encode_batch(batch.column("text"))
             counts += np.bincount(flat, minlength=1 << 16)
             counts[end_id] += batch.num_rows
             flat = flat.astype("<u2")

@@ -1,26 +1,33 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of labelled documents (``EXAMPLES`` of each
-class, in the order of a hash), one of each group of near copies. Terms are
-words and their first letters that go with the label in the examples; document
-frequencies are counted over all documents. Every document is compared with
-all examples through an inverted index in blocks: a block's largest weight of
-each term bounds its cosines, and only blocks whose bound passes the k-th best
-so far are computed, so the neighbours are the exact ones. Distance-weighted
-votes of the neighbours, drawn towards the labels' share, are calibrated on
-the examples themselves, each left out of its own vote.
+The examples are a bounded sample of labelled documents: ``DRAWN`` of each
+class in the order of a hash, without near copies (verified similarity of
+their word sets), at most ``EXAMPLES`` of each class. Every word of theirs is
+a term; document frequencies are counted over all documents. A term's weight
+is its inverse document frequency times a label weight: the squared deviation
+of its share of toxic examples from that of all, in standard errors, plus a
+constant, so that words which go with a label count for more and all count.
+
+Every document is compared with all examples through an inverted index in
+blocks: a block's largest weight of each term bounds its cosines, the blocks of
+the highest bounds are computed first, and then all whose bound passes the
+k-th best so far, so the neighbours are the exact ones. Distance-weighted
+votes of the neighbours, each weighted by its class's share, are calibrated
+on the examples themselves, each left out of its own vote; the nearest examples
+and the shared words are the evidence.
 
 Only the text makes a score. Defined results: null and empty texts and those
-without known terms have no neighbours and get the calibrated score of no
-evidence; equal cosines go to the smaller doc_id; null doc_ids count as held
-out; repeated documents are scored alike; without labels of both classes every
-score is the share of toxic labels (0 without any); an empty table gives an
-empty result; other columns are not read.
+without known words have no neighbours and get the calibrated score of no
+evidence; equal cosines (to 9 digits) go to the smaller doc_id; null doc_ids
+count as held out; of several texts of a labelled doc_id the smallest is
+learned from; labels that disagree count as toxic; repeated documents are
+scored alike; without labels of both classes every score is the share of toxic
+labels (0 without any); an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,154 +38,166 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trolley.llm import near
+from trolley.llm.bpe import ragged
 from trolley.llm.shared import settle, table
 
-#: Labelled documents of each class that are learned from at most, by hash of doc_id.
-EXAMPLES = 2048
+#: Labelled documents of each class that are learned from at most, and drawn before near copies go.
+EXAMPLES, DRAWN = 2048, 3072
 NEIGHBOURS = 15
-#: Examples of a block of the index, and documents compared at a time.
-BLOCK, BATCH = 64, 2048
-#: Terms: first letters besides whole words; examples that hold one at least; standard errors of its share.
-PREFIXES = (4, 5)
-MIN_EXAMPLES, MIN_DEVIATION = 8, 4.0
-#: Vote weight of the labels' share besides the neighbours' cosines.
-PRIOR_WEIGHT = 0.5
+#: Examples of a block of the index, blocks of a document that are computed first, documents compared at a time.
+BLOCK, FIRST, BATCH = 64, 8, 64
+#: What every term weighs besides its label weight.
+PLAIN_WEIGHT = 0.02
+#: Vote weight of the labels' share besides the neighbours' squared cosines.
+PRIOR_WEIGHT = 0.1
+#: Similarity of word sets from which examples are near copies (in hundredths); bands and rows of their signatures.
+COPY, BANDS, ROWS = 80, 20, 4
 FOLDS, HELD_OUT = 5, 0
-#: Words that a worker remembers.
-MAX_WORDS = 500_000
 
 _MARKS = " .,;:!?'\"()[]{}<>|*#$%&-_+=/\\"
 
 
-def terms_of(word: str) -> list[str]:
-    """A word's terms: itself and its beginnings (marked by ``^``)."""
-    word = word.lower().strip(_MARKS)
-    return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)] if word else []
-
-
-def term_counts(text: str | None) -> dict[str, int]:
+def term_counts(text: str | None) -> Counter[str]:
+    """Words in lower case without marks at their ends."""
     out: Counter[str] = Counter()
     for word, n in Counter((text or "").split()).items():
-        for term in terms_of(word):
-            out[term] += n
-    return dict(out)
-
-
-def sketch(text: str) -> int:
-    """Equal for equal texts, and mostly for near copies: the smallest hash of five words."""
-    words = text.lower().split()
-    runs = (" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
-    return min(xxhash.xxh3_64_intdigest(r) for r in runs)
-
-
-@dataclass
-class Example:
-    doc_id: int
-    toxic: int
-    counts: dict[str, int]
-
-
-def choose_terms(rows: DataFrame) -> list[str]:
-    """Terms whose share of toxic examples is far above that of all examples, in order; ``rows``: toxic, terms."""
-    n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not 0 < (toxic or 0) < n:
-        return []
-    share = toxic / n
-    held = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-    held = held.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
-    deviation = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    far = held.where((F.col("bad") >= MIN_EXAMPLES) & (deviation >= MIN_DEVIATION))
-    return sorted(r["term"] for r in far.select("term").collect())  # at most 2 * EXAMPLES hold each, MIN_EXAMPLES at least
-
-
-class Terms:
-    """Finds the terms of a text; remembers the words it has seen."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.number = {t: k for k, t in enumerate(terms)}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> Counter[int]:
-        out: Counter[int] = Counter()
-        known = self.words
-        if len(known) > MAX_WORDS:
-            known.clear()
-        for word, n in Counter((text or "").split()).items():
-            found = known.get(word)
-            if found is None:
-                found = known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-            for k in found:
-                out[k] += n
-        return out
+        out[word.lower().strip(_MARKS)] += n
+    out.pop("", None)
+    return out
+
+
+def without_copies(doc_ids: np.ndarray, toxic: np.ndarray, terms: list[np.ndarray]) -> np.ndarray:
+    """Rows that stay: of each group of near copies of one label the smallest doc_id. terms: sorted distinct numbers."""
+    held = [k for k, t in enumerate(terms) if len(t)]
+    if not held:
+        return np.arange(len(terms))
+    flat = np.concatenate([terms[k] for k in held]).astype(np.uint64)
+    mixed = (flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    starts = np.cumsum([0, *(len(terms[k]) for k in held)])[:-1]
+    keys = near.bands(near.minhash((mixed >> np.uint64(32)).astype(np.uint32), starts, BANDS * ROWS), ROWS)
+    root = list(range(len(terms)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for band in keys.T:
+        by: dict[tuple[int, int], list[int]] = {}
+        for k, key in zip(held, band.tolist()):
+            by.setdefault((key, int(toxic[k])), []).append(k)
+        for own in by.values():
+            for a in own[1:]:
+                for b in own:
+                    if b == a:
+                        break
+                    if top(a) == top(b):
+                        continue
+                    common = len(np.intersect1d(terms[a], terms[b], assume_unique=True))
+                    if 100 * common >= COPY * (len(terms[a]) + len(terms[b]) - common):
+                        root[top(a)] = top(b)
+    best: dict[int, int] = {}
+    for k in sorted(range(len(terms)), key=lambda k: doc_ids[k]):
+        best.setdefault(top(k), k)
+    return np.array(sorted(best.values()), np.int64)
 
 
 @dataclass
 class Model:
+    """Terms with weights, examples in blocks, their postings by (term, example), and the calibration."""
+
     terms: list[str] = field(default_factory=list)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     doc_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: By block: its first example, the terms it holds, their weights (terms by examples).
-    blocks: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # terms by blocks
     share: float = 0.0
     slope: float = 0.0
     offset: float = 0.0
 
-    def vectors(self, counts: list[Counter[int]]) -> np.ndarray:
-        """Unit TF-IDF vectors, (1 + log count) * idf; zero without terms."""
-        out = np.zeros((len(counts), len(self.terms)), np.float32)
-        for row, own in enumerate(counts):
-            for k, n in own.items():
-                out[row, k] = (1 + math.log(n)) * self.idf[k]
-        norm = np.sqrt((out * out).sum(1, keepdims=True))
-        return out / np.maximum(norm, 1e-12)
-
-    def index(self, vectors: np.ndarray) -> None:
-        """Blocks of examples, in order of doc_id within equal strongest terms."""
-        for first in range(0, len(vectors), BLOCK):
-            own = vectors[first : first + BLOCK]
-            held = np.flatnonzero(own.max(0) > 0)
-            self.blocks.append((first, held, np.ascontiguousarray(own[:, held].T)))
-        self.most = np.stack([vectors[f : f + BLOCK].max(0) for f, _, _ in self.blocks], 1) if self.blocks else self.most
-
-    def nearest(self, queries: np.ndarray, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of the exact nearest examples of each query, best first; cosine 0: none."""
-        n, k = len(queries), NEIGHBOURS
-        best, who = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
-        if not self.blocks or not n:
+    def unit(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the entries (owner, term, count) of ``n`` unit vectors."""
+        value = (1 + np.log(count)) * self.weight[term]
+        norm = np.sqrt(np.bincount(owner, value * value, n))
+        return value / np.maximum(norm[owner], 1e-300)
+
+    def index(self, owner: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+        """Postings of the examples' vectors, and for each (term, block) where they start and their largest weight."""
+        order = np.lexsort((owner, term))
+        owner, term, value = owner[order], term[order], value[order]
+        self.post_row, self.post_value = owner.astype(np.int64), value
+        key = term.astype(np.int64) * (1 + self.blocks) + owner // BLOCK
+        self.at = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = (owner // BLOCK)[self.at]
+        self.most = np.maximum.reduceat(value, self.at) if len(value) else value
+        self.of_term = np.searchsorted(term[self.at], np.arange(len(self.terms) + 1))
+        self.at = np.append(self.at, len(value))
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.doc_ids) // BLOCK)
+
+    def nearest(
+        self, owner: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, leave_out: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of the exact nearest examples of ``n`` unit vectors, best first; cosine 0: none."""
+        size, blocks = len(self.doc_ids), self.blocks
+        best, who = np.zeros((n, NEIGHBOURS)), np.full((n, NEIGHBOURS), -1, np.int64)
+        if not size or not len(term):
             return best, who
-        bound = queries @ self.most
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for step in range(len(self.blocks)):
-            block = order[:, step]
-            open_ = np.flatnonzero(bound[np.arange(n), block] * 1.00001 >= np.maximum(best[:, -1], 1e-6))
-            if not len(open_):
-                break  # the bounds fall from step to step, and the k-th best only rises
-            for b in np.unique(block[open_]):
-                rows = open_[block[open_] == b]
-                first, held, weights = self.blocks[b]
-                cosine = queries[np.ix_(rows, held)] @ weights
-                number = np.arange(first, first + weights.shape[1])
-                if leave_out is not None:
-                    cosine[number[None, :] == leave_out[rows][:, None]] = 0
-                both = np.concatenate([best[rows], cosine], 1)
-                name = np.concatenate([who[rows], np.broadcast_to(number, cosine.shape)], 1)
-                name = np.where(both > 0, name, -1)
-                by_id = np.where(name >= 0, self.doc_ids[name], np.iinfo(np.int64).max)
-                top = np.lexsort((by_id, -np.round(both, 6)), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(name, top, 1)
+        width = self.of_term[term + 1] - self.of_term[term]
+        entry = ragged(self.of_term[term], width)
+        owner, value = np.repeat(owner, width), np.repeat(value, width)
+        block = self.block[entry]
+        bound = np.bincount(owner * blocks + block, value * self.most[entry], n * blocks).reshape(n, blocks) * (1 + 1e-9)
+
+        def cosines(chosen: np.ndarray) -> np.ndarray:
+            some = chosen[owner, block]
+            start = self.at[entry[some]]
+            length = self.at[entry[some] + 1] - start
+            place = ragged(start, length)
+            where = np.repeat(owner[some] * size, length) + self.post_row[place]
+            return np.bincount(where, np.repeat(value[some], length) * self.post_value[place], n * size).reshape(n, size)
+
+        def left(found: np.ndarray) -> np.ndarray:
+            if leave_out is not None:
+                found[np.arange(n), leave_out] = 0
+            return found
+
+        chosen = np.zeros((n, blocks), bool)
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        np.put_along_axis(chosen, first, True, 1)
+        found = left(cosines(chosen))
+        k = min(NEIGHBOURS, size)
+        kth = np.partition(found, size - k, axis=1)[:, size - k]
+        rest = ~chosen & (bound > 0) & (bound >= kth[:, None])
+        if rest.any():
+            found = left(found + cosines(rest))
+        # Equal cosines in the order of doc_ids.
+        rank = np.empty(size, np.int64)
+        rank[np.argsort(self.doc_ids, kind="stable")] = np.arange(size)
+        key = -(np.rint(found * 1e9).astype(np.int64) * size + size - 1 - rank)
+        top = np.argpartition(key, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(key, top, 1), axis=1), 1)
+        best[:, :k] = np.take_along_axis(found, top, 1)
+        who[:, :k] = np.where(best[:, :k] > 0, top, -1)
         return best, who
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Cosine-weighted share of toxic neighbours, drawn towards the labels' share."""
-        marks = np.where(who >= 0, self.toxic[who] if len(self.toxic) else 0, 0)
-        return ((best * marks).sum(1) + PRIOR_WEIGHT * self.share) / (best.sum(1) + PRIOR_WEIGHT)
+        """Share of toxic neighbours by squared cosine and the share of their class among all labels, drawn towards the labels' share."""
+        if not len(self.toxic):
+            return np.full(len(best), self.share)
+        mark = np.where(who >= 0, self.toxic[who], 0)
+        weight = best * best * self.class_weight()[who]
+        return ((weight * mark).sum(1) + PRIOR_WEIGHT * self.share) / (weight.sum(1) + PRIOR_WEIGHT)
+
+    def class_weight(self) -> np.ndarray:
+        own = self.toxic.mean()
+        return np.where(self.toxic > 0, self.share / max(own, 1e-9), (1 - self.share) / max(1 - own, 1e-9))
 
     def calibrate(self, votes: np.ndarray) -> None:
         """Logistic curve from votes to labels by Newton's method, classes weighted by their share among all labels."""
-        own = self.toxic.mean()
-        weight = np.where(self.toxic > 0, self.share / own, (1 - self.share) / (1 - own))
+        weight = self.class_weight()
         x = np.stack([votes, np.ones(len(votes))], 1)
         w = np.zeros(2)
         for _ in range(50):
@@ -199,94 +218,118 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS, F.lit(HELD_OUT))
 
 
-def _frequencies(terms: list[str]):
+def _frequencies(terms):
+    """(term, n): documents of the task with each term, and all of them as term -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, total, counts = Terms(terms), 0, np.zeros(len(terms), np.int64)
+        number = {t: k for k, t in enumerate(terms.value)}
+        total, counts = 0, np.zeros(len(number) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total += 1
-                for k in find.counts(text):
-                    counts[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(terms))]), pa.array([total, *counts])], ["term", "n"])
+                found = [number.get(t, -1) for t in term_counts(text)]
+                counts[found] += 1
+        used = np.flatnonzero(counts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], total))], ["term", "n"])
 
     return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        counts = [term_counts(t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("toxic"),
-                pa.array([sketch(t or "") - (1 << 63) for t in texts], pa.int64()),
-                pa.array([list(c) for c in counts], pa.list_(pa.string())),
-                pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())),
-            ],
-            ["doc_id", "toxic", "h", "terms", "counts"],
-        )
-
-
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+        counts = [term_counts(t) for t in batch.column("text").to_pylist()]
+        terms = pa.array([list(c) for c in counts], pa.list_(pa.string()))
+        times = pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), terms, times], ["doc_id", "toxic", "terms", "counts"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, drawn: int = DRAWN) -> Model:
     """A model from labels (doc_id, toxic) outside the held-out fold and the texts of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model(share=totals.get(1, 0) / max(1, sum(totals.values())))
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
-    chosen = settle(chosen[0].union(chosen[1]), "examples")  # at most 2 * examples rows
+    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(drawn) for y in (0, 1)]
+    chosen = settle(chosen[0].union(chosen[1]), "examples")  # at most 2 * drawn rows
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    schema = "doc_id long, toxic int, h long, terms array<string>, counts array<long>"
-    rows = sample.mapInArrow(_counted, schema).dropDuplicates(["doc_id"]).dropDuplicates(["h", "toxic"])
-    rows = settle(rows.drop("h"), "sample")
-    model.terms = choose_terms(rows)
-    if not model.terms:
+    sample = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = sample.mapInArrow(_counted, "doc_id long, toxic int, terms array<string>, counts array<long>").toArrow().combine_chunks()
+    doc_ids, toxic = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    if not 0 < toxic.sum() < len(toxic):
         return model
-    # Of the examples only the counts of these terms come to the driver.
-    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(model.terms))
-    found = [
-        Example(r["doc_id"], r["toxic"], {x["terms"]: x["counts"] for x in r["pairs"]})
-        for r in rows.select("doc_id", "toxic", pairs.alias("pairs")).collect()
-    ]
-    found.sort(key=lambda e: e.doc_id)
-    counts = own.select("text").mapInArrow(_frequencies(model.terms), "term long, n long").groupBy("term").agg(F.sum("n"))
-    counts = dict(map(tuple, counts.collect()))  # one row for each term
-    model.idf = np.array([math.log((1 + counts[-1]) / (1 + counts[k])) + 1 for k in range(len(model.terms))], np.float32)
-    number = {t: k for k, t in enumerate(model.terms)}
-    vectors = model.vectors([Counter({number[t]: n for t, n in e.counts.items() if t in number}) for e in found])
-    held = np.flatnonzero(vectors.any(1))
+    # The driver holds the words of the examples, at most 2 * drawn, and nothing of other documents.
+    words = found.column("terms").combine_chunks()
+    encoded = words.flatten().dictionary_encode()
+    at = words.offsets.to_numpy() - words.offsets[0].as_py()
+    term, count = encoded.indices.to_numpy().astype(np.int64), found.column("counts").combine_chunks().flatten().to_numpy()
+    stay = without_copies(doc_ids, toxic, [np.sort(term[a:b]) for a, b in zip(at, at[1:])])
+    order = {d: k for k, d in enumerate(sorted(doc_ids[stay].tolist(), key=lambda d: xxhash.xxh3_64_intdigest(str(d))))}
+    stay = sorted(stay.tolist(), key=lambda k: order[int(doc_ids[k])])
+    stay = np.array([k for y in (0, 1) for k in [k for k in stay if toxic[k] == y][:examples]], np.int64)
+
+    size = np.diff(at)[stay]
+    place = ragged(at[:-1][stay], size)
+    owner = np.repeat(np.arange(len(stay)), size)
+    used, term = np.unique(term[place], return_inverse=True)
+    count = count[place].astype(float)
+    doc_ids, toxic = doc_ids[stay], toxic[stay].astype(float)
+    model.terms = encoded.dictionary.take(pa.array(used)).to_pylist()
+    held = spark.sparkContext.broadcast(model.terms)
+    counts = own.select("text").mapInArrow(_frequencies(held), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    of = np.zeros(len(used) + 1)  # the last: all documents
+    of[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    n, bad = np.bincount(term, minlength=len(used)), np.bincount(term, toxic[owner], len(used))
+    own_share = toxic.mean()
+    deviation = (bad - n * own_share) / np.sqrt(n * own_share * (1 - own_share) + 1)
+    model.weight = (np.log((1 + of[-1]) / (1 + of[:-1])) + 1) * (deviation**2 + PLAIN_WEIGHT)
+
     # Examples of one strongest term stand together, so that blocks have tight bounds.
-    order = held[np.lexsort((held, vectors[held].argmax(1)))]
-    rest = np.setdiff1d(np.arange(len(found)), held)
-    order = np.concatenate([order, rest])
-    model.doc_ids = np.array([found[k].doc_id for k in order], np.int64)
-    model.toxic = np.array([found[k].toxic for k in order], np.float64)
-    model.index(vectors[order[: len(held)]])
-    votes = model.votes(*model.nearest(vectors[order], np.arange(len(order))))
-    model.calibrate(votes)
+    value = model.unit(owner, term, count, len(stay))
+    strongest = np.full(len(stay), len(used))
+    by = np.lexsort((term, -value, owner))
+    heads = by[np.flatnonzero(np.diff(owner[by], prepend=-1))]
+    strongest[owner[heads]] = term[heads]
+    order = np.lexsort((doc_ids, strongest))
+    place = np.empty(len(stay), np.int64)
+    place[order] = np.arange(len(stay))
+    owner = place[owner]
+    model.doc_ids, model.toxic = doc_ids[order], toxic[order]
+    model.index(owner, term, value)
+    by = np.argsort(owner, kind="stable")
+    owner, term, value = owner[by], term[by], value[by]
+    votes = []
+    for first in range(0, len(stay), BATCH):
+        a, b = np.searchsorted(owner, (first, first + BATCH))
+        n = min(BATCH, len(stay) - first)
+        votes.append(model.votes(*model.nearest(owner[a:b] - first, term[a:b], value[a:b], n, np.arange(first, first + n))))
+    model.calibrate(np.concatenate(votes))
     return model
 
 
 def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        find = Terms(model.terms)
+        number = {t: k for k, t in enumerate(model.terms)}
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first in range(0, len(texts), BATCH):
-                own = [find.counts(t) for t in texts[first : first + BATCH]]
-                best, who = model.nearest(model.vectors(own))
-                near = [
+                counts = [[(k, n) for t, n in term_counts(x).items() if (k := number.get(t)) is not None] for x in texts[first : first + BATCH]]
+                n = len(counts)
+                owner = np.repeat(np.arange(n), [len(c) for c in counts])
+                term, count = np.array([x for c in counts for x in c], np.int64).reshape(-1, 2).T
+                value = model.unit(owner, term, count.astype(float), n)
+                best, who = model.nearest(owner, term, value, n)
+                near_ = [
                     [{"doc_id": int(model.doc_ids[w]), "cosine": float(c), "toxic": int(model.toxic[w])} for c, w in zip(cs, ws) if w >= 0]
                     for cs, ws in zip(best[:, :3], who[:, :3])
                 ]
-                hits = [sorted(model.terms[k] for k in c)[:5] for c in own]
-                key = batch.column("key").slice(first, len(own))
+                ends = np.cumsum([len(c) for c in counts])
+                hits = [[model.terms[term[k]] for k in a + np.argsort(-value[a:b], kind="stable")[:5]] for a, b in zip(np.append(0, ends), ends)]
                 score = pa.array(model.score(model.votes(best, who)), pa.float64())
-                yield pa.RecordBatch.from_arrays([key, score, pa.array(near, EVIDENCE), pa.array(hits, pa.list_(pa.string()))], NAMES)
+                columns = [batch.column("key").slice(first, n), score, pa.array(near_, EVIDENCE), pa.array(hits, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
 
     return run
 
@@ -296,9 +339,9 @@ EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()),
 
 
 def score(docs: DataFrame, model: Model, key: Column) -> DataFrame:
-    """(key, score, nearest, terms): with evidence, the three nearest examples and up to five of the text's terms."""
+    """(key, score, nearest, terms): with evidence, the three nearest examples and the text's five weightiest words."""
     rows = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * EXAMPLES examples
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * EXAMPLES examples and their words
     kind = rows.schema["key"].dataType.simpleString()
     evidence = "array<struct<doc_id:bigint,cosine:double,toxic:bigint>>"
     return rows.mapInArrow(_scored(held), f"key {kind}, score double, nearest {evidence}, terms array<string>")

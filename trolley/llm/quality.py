@@ -119,7 +119,8 @@ def common_words(docs: DataFrame, count: int = COMMON_WORDS) -> DataFrame:
     counts = docs.mapInArrow(_counted, "lang string, word string, n long")
     counts = settle(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     enough = counts.groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= MIN_REFERENCE_WORDS)
-    counts = counts.join(enough.select("lang"), "lang", "left_semi")
+    # A list of languages and no join on them, which would deal out the counts by language.
+    counts = counts.where(F.col("lang").isin([r["lang"] for r in enough.collect()]))
     counts = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
     # Best of the best of each part: no task ranks a whole language.
     for key in (["lang", "salt"], ["lang"]):
@@ -235,7 +236,7 @@ def measure(docs: DataFrame, key: Column, words: int = COMMON_WORDS) -> DataFram
     totals = totals.where(F.col("all_words") >= MIN_REFERENCE_WORDS)
     sizes = {r["lang"]: r["all_words"] for r in totals.collect()}
     references = {lang: (n, np.zeros(CLASSES), np.zeros(words + 1)) for lang, n in sizes.items()}
-    for r in found.join(totals.select("lang"), "lang", "left_semi").collect():
+    for r in found.where(F.col("lang").isin(list(sizes))).collect():
         references[r["lang"]][1 + (r["kind"] == "words")][r["bin"]] = r["n"]
     for n, _, by_word in references.values():
         by_word[words] = n - by_word[:words].sum()

@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and similar lines one stays in the corpus; every document stays."""
-    return _counted(line_dedup.dedupe(docs))
+    """Of equal and similar lines one stays in the corpus; documents that lose all their lines go."""
+    return _counted(line_dedup.dedupe(docs, keep_emptied=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

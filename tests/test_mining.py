@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
+from pyspark.ml.fpm import FPGrowth
 
 from trolley.operators.mining import MiningParams, mine, sweep
 from trolley.plans.study import Study
@@ -238,3 +240,38 @@ def test_hot_item_matches_brute_force_at_any_group_count(make_baskets, num_parti
     for k, v in rules.items():
         assert got[k] == pytest.approx(v, rel=1e-12)
     res.unpersist()
+
+
+@pytest.mark.parametrize(("strict", "loose", "confidence"), [(0.3, 0.05, 0.1), (0.2, 0.19, 0.6), (0.9, 0.03, 0.3), (0.1, 0.1, 0.05)])
+def test_loosened_equals_mining_anew(spark, make_baskets, strict, loose, confidence):
+    """Without a fit: itemsets and rules at a lower support, from those at a higher one."""
+    from trolley.operators.items import item_counts
+
+    rnd = random.Random(int(strict * 100))
+    rows = [sorted({rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))} | ({"hot"} if rnd.random() < 0.9 else set())) for _ in range(250)]
+    baskets = make_baskets(rows).persist()
+    wanted = mine(baskets, MiningParams(loose, confidence))
+    fits = []
+    start = mine(baskets, MiningParams(strict, 0.5))
+    original = FPGrowth.fit
+    try:
+        FPGrowth.fit = lambda self, *a, **k: fits.append(1) or original(self, *a, **k)
+        got = start.loosened(baskets, item_counts(baskets), loose, confidence)
+    finally:
+        FPGrowth.fit = original
+    assert not fits
+    sets = lambda r: sorted((tuple(x["items"]), x["freq"]) for x in r.itemsets.collect())
+    rules = lambda r: sorted((tuple(x["antecedent"]), tuple(x["consequent"]), x["confidence"], x["lift"], x["support"]) for x in r.rules.collect())
+    assert sets(got) == sets(wanted)
+    assert rules(got) == rules(wanted)
+    with pytest.raises(ValueError):
+        got.loosened(baskets, item_counts(baskets), min(1.0, loose * 2), confidence)
+    baskets.unpersist()
+
+
+def test_loosened_without_baskets(spark, make_baskets):
+    from trolley.operators.items import item_counts
+
+    baskets = spark.createDataFrame([], "basket_id long, items array<string>")
+    got = mine(baskets, MiningParams(0.5, 0.5)).loosened(baskets, item_counts(baskets), 0.1, 0.1)
+    assert got.itemsets.collect() == [] and got.rules.collect() == []

@@ -83,38 +83,48 @@ def fold_wide(
         raise ValueError("on_bad_count must be 'raise' or 'drop'")
     cols = item_cols if item_cols is not None else item_columns(wide)
     n = item_count(F.col(f"`{count_col}`"))
-    cells = F.array(*[missing_to_null(F.col(f"`{c}`")) for c in cols]) if cols else F.array().cast("array<string>")
-    kept = F.filter(F.slice(cells, 1, F.greatest(n, F.lit(0))), lambda x: x.isNotNull())
+    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in cols]) if cols else F.array().cast("array<string>")
 
-    items = F.when(
-        n > F.lit(len(cols)),
-        F.raise_error(F.concat(F.lit(f"item count above the {len(cols)} item columns: "), n.cast("string"))),
-    )
-    if EXTRA_COLUMN in wide.columns:
-        items = items.when(
-            F.col(EXTRA_COLUMN).isNotNull(),
-            F.raise_error(F.lit("row has more cells than the header")),
-        )
-    if on_bad_count == "raise":
-        items = items.when(
-            n.isNull(),
-            F.raise_error(
-                F.concat(
-                    F.lit("item count is not a number: "),
-                    F.coalesce(F.col(f"`{count_col}`").cast("string"), F.lit("null")),
-                )
-            ),
+    def read(n: Column) -> Column:
+        items = F.when(
+            n > F.lit(len(cols)),
+            F.raise_error(F.concat(F.lit(f"item count above the {len(cols)} item columns: "), n.cast("string"))),
         )
-    items = items.otherwise(kept)
+        if EXTRA_COLUMN in wide.columns:
+            items = items.when(
+                F.col(EXTRA_COLUMN).isNotNull(),
+                F.raise_error(F.lit("row has more cells than the header")),
+            )
+        if on_bad_count == "raise":
+            items = items.when(
+                n.isNull(),
+                F.raise_error(
+                    F.concat(
+                        F.lit("item count is not a number: "),
+                        F.coalesce(F.col(f"`{count_col}`").cast("string"), F.lit("null")),
+                    )
+                ),
+            )
+        given = F.slice(cells, 1, F.greatest(n, F.lit(0)))
+        return items.otherwise(F.filter(given, lambda x: missing_to_null(x).isNotNull()))
+
+    # The count is a lambda's variable, so it is read from its cell once.
+    items = F.transform(F.array(n), read)
 
     if id_col:
         basket_id = F.col(f"`{id_col}`").cast(id_type) if id_type else F.col(f"`{id_col}`")
     else:
         basket_id = F.monotonically_increasing_id()
-    out = wide.select(basket_id.alias("basket_id"), items.alias("items"))
-    if on_bad_count == "drop":
-        out = out.where(F.col("items").isNotNull())
-    return out.where(F.size("items") > 0)
+    return wide.select(basket_id.alias("basket_id"), _if(items, lambda x: F.size(x) > 0).alias("items"))
+
+
+def _if(values: Column, keep) -> Column:
+    """The one element of ``values``, for rows where ``keep`` holds for it.
+
+    A generator and no filter behind a projection, which Catalyst would push
+    below it together with a second copy of the expression.
+    """
+    return F.explode(F.filter(values, keep))
 
 
 def bad_count_rows(wide: DataFrame, count_col: str = COUNT_COLUMN) -> DataFrame:
@@ -136,7 +146,8 @@ def clean(
     if drop_blank:
         items = F.filter(items, lambda x: x != F.lit(""))
     others = [c for c in baskets.columns if c != items_col]
-    return baskets.select(*others, F.sort_array(items).alias(items_col)).where(F.size(items_col) >= min_size)
+    kept = _if(F.array(F.sort_array(items)), lambda x: F.size(x) >= min_size)
+    return baskets.select(*others, kept.alias(items_col))
 
 
 def from_lines(

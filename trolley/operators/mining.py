@@ -7,6 +7,9 @@ transactions are shuffled by item group and each group's FP-tree is grown in
 its own task. Rules come from Spark's rule generator (a join of itemsets with
 their antecedents).
 
+A mined result answers stricter thresholds by filtering and looser ones by
+counting what it doesn't know yet (``MiningResult.filtered``, ``loosened``).
+
 Measures, with N the number of baskets mined (null ``items`` rows are skipped
 and leave N):
 
@@ -88,6 +91,20 @@ class MiningResult:
         )
         return MiningResult(itemsets, rules, self.n_baskets, p)
 
+    def loosened(
+        self, baskets: DataFrame, item_counts: DataFrame, min_support: float, min_confidence: float, items_col: str = "items"
+    ) -> "MiningResult":
+        """The result at looser thresholds, counting only itemsets that aren't known yet.
+
+        baskets: those that were mined; item_counts: ``(item, count)`` over them.
+        """
+        p = MiningParams(min_support, min_confidence, self.params.num_partitions)
+        if min_support > self.params.min_support:
+            raise ValueError("the support is stricter than that of the mined result")
+        itemsets = _extended(self.itemsets, baskets, item_counts, p.min_count(self.n_baskets), items_col)
+        rules = materialize(rules_of(itemsets, self.n_baskets, min_confidence))
+        return MiningResult(itemsets, rules, self.n_baskets, p)
+
 
 def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", checkpoint: bool = True) -> MiningResult:
     """Mine ``baskets`` (rows of unique-item arrays) for itemsets and rules.
@@ -144,6 +161,72 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
     return MiningResult(itemsets, rules, n, params)
 
 
+def _candidates(frequent: DataFrame, size: int) -> DataFrame:
+    """(items): sets of ``size`` items all whose subsets of one item less are among ``frequent`` (sets of size - 1, sorted)."""
+    head, tail = F.slice("items", 1, size - 2), F.get("items", F.lit(size - 2))
+    sets = frequent.select(head.alias("head"), tail.alias("tail"))
+    pairs = sets.join(sets.select("head", F.col("tail").alias("other")), "head").where("tail < other")
+    made = pairs.select(F.concat("head", F.array("tail", "other")).alias("items"))
+    if size == 2:
+        return made
+    # The two sets that made a candidate are frequent; the others leave out one item of the head.
+    left_out = F.explode(F.slice("items", 1, size - 2)).alias("out")
+    subsets = made.select("items", left_out).select("items", F.array_remove("items", F.col("out")).alias("subset"))
+    known = subsets.join(frequent.select(F.col("items").alias("subset")), "subset")
+    return known.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size - 2).select("items")
+
+
+def _extended(known: DataFrame, baskets: DataFrame, item_counts: DataFrame, least: int, items_col: str) -> DataFrame:
+    """(items, freq) of all itemsets with ``least`` baskets or more, from those ``known`` at a higher count.
+
+    Level by level: candidates are joined from the frequent sets one item
+    smaller, known or new; those that are known need no counting. A candidate
+    meets the baskets of its rarest item, so a hot item brings its baskets
+    into play only for sets of items that are as frequent.
+    """
+    counts = item_counts.where(F.col("count") >= least).select("item", "count")
+    counts = materialize(counts)
+    keep = counts.agg(F.collect_set("item")).scalar()  # at most mean basket size / min_support items
+    held = baskets.select(F.sort_array(F.array_intersect(items_col, keep)).alias("items")).where(F.size("items") > 1)
+    # Equal baskets are compared once.
+    held = materialize(held.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
+    found = counts.select(F.array("item").alias("items"), F.col("count").cast("long").alias("freq"))
+    level, size = found, 1
+    while True:
+        size += 1
+        old = known.where(F.size("items") == size).select("items", "freq")
+        new = _candidates(level, size).join(old, "items", "left_anti")
+        rarest = new.select("items", F.explode("items").alias("item")).join(counts, "item")
+        rarest = rarest.groupBy("items").agg(F.min_by("item", F.struct("count", "item")).alias("item"))
+        by_item = held.select(F.col("items").alias("basket"), "n", F.explode("items").alias("item"))
+        by_item = by_item.where(F.size("basket") >= size)
+        met = by_item.join(rarest, "item").where(F.size(F.array_except("items", "basket")) == 0)
+        counted = met.groupBy("items").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least)
+        level = materialize(old.unionByName(counted.select("items", "freq")))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return materialize(found)
+
+
+def rules_of(itemsets: DataFrame, n_baskets: int, min_confidence: float) -> DataFrame:
+    """Rules ``(antecedent, consequent, confidence, lift, support)`` of itemsets closed under subsets; one item as consequent."""
+    n = F.lit(float(n_baskets))
+    own = itemsets.where(F.size("items") > 1).select("items", "freq", F.explode("items").alias("item"))
+    own = own.select(F.array_remove("items", F.col("item")).alias("antecedent"), F.array("item").alias("consequent"), "freq")
+    of = lambda side: itemsets.select(F.col("items").alias(side), F.col("freq").cast("double").alias(f"{side}_freq"))
+    own = own.join(of("antecedent"), "antecedent").join(of("consequent"), "consequent")
+    confidence = F.col("freq") / F.col("antecedent_freq")
+    rules = own.select("antecedent", "consequent", confidence.alias("confidence"), "consequent_freq", "freq")
+    return rules.where(F.col("confidence") >= min_confidence).select(
+        "antecedent",
+        "consequent",
+        "confidence",
+        (F.col("confidence") / (F.col("consequent_freq") / n)).alias("lift"),
+        (F.col("freq") / n).alias("support"),
+    )
+
+
 def sweep(
     baskets: DataFrame,
     settings: list[tuple[float, float]],

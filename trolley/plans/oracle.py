@@ -281,6 +281,9 @@ from (select b, count(*)::bigint as basket_size from x group by b) group by bask
         "frequent_itemsets": _mined()
         + "select array_to_string(items, ', ') as items, len(items)::bigint as size, freq::bigint as freq from fi",
         "association_rules": _mined() + "select antecedent, consequent, confidence, lift, support from rl",
+        "frequent_itemsets_loosened": _mined()
+        + "select array_to_string(items, ', ') as items, len(items)::bigint as size, freq::bigint as freq from fi",
+        "association_rules_loosened": _mined() + "select antecedent, consequent, confidence, lift, support from rl",
         "mine_sweep": _sweep(),
         "top_itemsets": _mined()
         + """

@@ -1,6 +1,8 @@
 """One basket study: lines → clean baskets → item counts → mined tables.
 
-A study is built lazily and kept per (application, folder, spec): the clean
+A study is built lazily and kept per (application, folder, spec) and state of
+the input files (paths, lengths, modification times): a table that was written
+anew gives a new study, and the one of the old files is released. The clean
 baskets and the mined tables are checkpointed once (and kept cached), the
 item counts are cached, and every dashboard query reads them. Baskets and
 item counts depend on the source and the item alone: studies that differ in
@@ -50,7 +52,6 @@ class Study:
         self._counts: DataFrame | None = None
         self._mined: MiningResult | None = None
         self._memo: dict[str, DataFrame] = {}
-        self.handles: list[DataFrame] = []
         self.folders: list[str] = []  # written under the shared folder; removed by release()
         self._lock = threading.RLock()
         self._given: DataFrame | None = None
@@ -112,14 +113,13 @@ class Study:
             return self._memo[key]
 
     def release(self) -> None:
-        for df in (self._baskets, self._counts, *self.handles):
+        for df in (self._baskets, self._counts):
             if df is not None:
                 df.unpersist(blocking=False)
         if self._mined is not None:
             self._mined.unpersist()
         self._baskets = self._counts = self._mined = None
         self._memo.clear()
-        self.handles.clear()
         for folder in self.folders:
             delete_path(self.spark, folder)
         self.folders.clear()
@@ -150,21 +150,25 @@ _GUARD = threading.Lock()
 
 
 def study(spark: SparkSession, sf_dir: str, spec: BasketSpec = DEFAULT_SPEC) -> Study:
-    """The study for this session's application, folder and spec.
+    """The study for this session's application, folder and spec, of the files as they are now.
 
     Studies of one source and item share the baskets of the first; entries of
-    applications that have stopped are dropped."""
+    applications that have stopped are dropped, those of files that have
+    changed since are released."""
     app, folder = spark.sparkContext.applicationId, sf_dir.rstrip("/")
     lines = BasketSpec(source=spec.source, item=spec.item)
+    state = tables.state(spark, sf_dir, spec.source)
     with _GUARD:
         for key in [k for k in _STUDIES if k[0] != app]:
             del _STUDIES[key]
-        base = _STUDIES.get((app, folder, lines))
+        for key in [k for k in _STUDIES if k[1] == folder and k[2].source == spec.source and k[3] != state]:
+            _STUDIES.pop(key).release()
+        base = _STUDIES.get((app, folder, lines, state))
         if base is None:
-            base = _STUDIES[app, folder, lines] = Study(spark, sf_dir, lines)
-        found = _STUDIES.get((app, folder, spec))
+            base = _STUDIES[app, folder, lines, state] = Study(spark, sf_dir, lines)
+        found = _STUDIES.get((app, folder, spec, state))
         if found is None:
-            found = _STUDIES[app, folder, spec] = Study(spark, sf_dir, spec, base)
+            found = _STUDIES[app, folder, spec, state] = Study(spark, sf_dir, spec, base)
         return found
 
 

@@ -9,6 +9,9 @@ whose skewed partitions AQE splits.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,25 @@ from pyspark.sql import functions as F
 PART_ITEM_COLUMNS = ("p_brand", "p_type", "p_name")
 
 
+# Tables that each source reads.
+SOURCE_TABLES = {"orders": ("lineitem", "part"), "events": ("events",)}
+
+
+def state(spark: SparkSession, sf_dir: str, source: str) -> str:
+    """A hash of the path, length and modification time of every file a source reads.
+
+    Two calls to the file system for each table, whatever its number of files."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = hashlib.sha256()
+    for name in SOURCE_TABLES.get(source, ()):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = jvm.org.apache.commons.lang3.ArrayUtils.toString(path.getFileSystem(conf).listStatus(path))
+        for found in re.findall(r"path=([^;]*)|length=(\d+)|modification_time=(\d+)", files):
+            seen.update(repr(found).encode())
+    return seen.hexdigest()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

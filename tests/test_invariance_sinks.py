@@ -84,3 +84,26 @@ def test_views_invariant_under_repartitioning(spark):
         return got
 
     assert views(lines) == views(shuffled)
+
+
+def test_one_csv_file(spark, tmp_path):
+    """One file with one header, its rows in the parts' order; written anew, refused, left, and without rows."""
+    import csv as python_csv
+
+    import pytest
+
+    rows = [(f'say "{k}", twice\nor more', k, None if k % 3 else 0.5 * k) for k in range(100)]
+    frame = spark.createDataFrame(rows, "label string, n long, x double").coalesce(1).repartition(5, "n").sortWithinPartitions("n")
+    path = tmp_path / "rules.csv"
+    sinks.write_csv_file(frame, str(path))
+    assert path.is_file() and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["rules.csv"]
+    with open(path, newline="") as file:
+        got = list(python_csv.reader(file))
+    assert got[0] == ["label", "n", "x"] and len(got) == 101
+    assert sorted((a, int(n), float(x) if x else None) for a, n, x in got[1:]) == sorted(rows, key=lambda r: r[0])
+    sinks.write_csv_file(frame.limit(0), str(path))
+    assert path.read_text() == "label,n,x\n"
+    sinks.write_csv_file(frame, str(path), mode="ignore")
+    assert path.read_text() == "label,n,x\n"
+    with pytest.raises(FileExistsError):
+        sinks.write_csv_file(frame, str(path), mode="error")

@@ -53,3 +53,24 @@ def test_cooccurrence_has_no_nested_loop(spark):
     c = operator_counts(df)
     assert c["nested_loop"] == 0
     s.release()
+
+
+def test_wide_cells_are_read_once(spark):
+    """One cell expression in the whole plan: filters bring no second copy of it."""
+    from trolley.plans.catalog import wide_cells_with_gaps
+
+    df = wide_cells_with_gaps(spark, SF)
+    execute(df)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("raise_error") <= 2 and plan.upper().count(" INSET ") + plan.upper().count(" IN (") <= 4
+    assert plan.count("slice(") == 1
+
+
+def test_median_neither_sorts_nor_shuffles_the_column(spark):
+    from trolley.functions.quantile import exact_median
+
+    values = spark.range(5000).selectExpr("cast(id * 7 % 1001 as double) as x")
+    df = exact_median(values, "x")
+    assert df.first()[0] == values.selectExpr("percentile(x, 0.5)").first()[0]
+    plan = df._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "REPARTITION" not in plan

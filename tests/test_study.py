@@ -66,3 +66,21 @@ def test_wide_csv_study_options(spark, tmp_path):
     s = wide_csv_study(spark, str(p), MiningParams(0.1, 0.1), multi_line=True, on_bad_count="drop")
     assert sorted(r["items"] for r in s.baskets.collect()) == [["a\nb", "c"], ["f", "g"]]
     s.release()
+
+
+def test_a_table_written_anew_is_seen(spark, tmp_path):
+    """The same folder with other files gives another study; the old one's tables are released."""
+    from trolley.plans.study import BasketSpec, release_all, study
+
+    def write(rows):
+        spark.createDataFrame(rows, "user_id long, event_type string").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+
+    spec = BasketSpec(source="events", item="event_type", min_support=0.1, min_confidence=0.1)
+    write([(1, "a"), (1, "b"), (2, "a"), (2, "b")])
+    first = study(spark, str(tmp_path), spec)
+    assert first.mined.n_baskets == 2 and study(spark, str(tmp_path), spec) is first
+    write([(1, "a"), (1, "c"), (2, "c"), (2, "a"), (3, "a"), (3, "c")])
+    second = study(spark, str(tmp_path), spec)
+    assert second is not first and second.mined.n_baskets == 3
+    assert sorted(r["item"] for r in second.item_counts.collect()) == ["a", "c"]
+    release_all()

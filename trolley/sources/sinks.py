@@ -12,6 +12,7 @@ import csv
 import io
 import uuid
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def write_csv_file(frame: DataFrame, path: str, mode: str = "overwrite") -> None
 
 def _join(spark, fs, whole, parts: list) -> None:
     """Append the files ``parts`` to the file ``whole``."""
-    from py4j.protocol import Py4JJavaError
-
     if not parts:
         return
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
@@ -87,9 +86,8 @@ def _join(spark, fs, whole, parts: list) -> None:
     try:
         fs.concat(whole, array)
         return
-    except Py4JJavaError as error:
-        if "UnsupportedOperationException" not in str(error.java_exception):
-            raise
+    except UnsupportedOperationException:  # a file system without it
+        pass
     head = jvm.org.apache.hadoop.fs.Path(whole.toString() + ".head")
     fs.rename(whole, head)
     out = fs.create(whole)

@@ -275,3 +275,38 @@ def test_loosened_without_baskets(spark, make_baskets):
     baskets = spark.createDataFrame([], "basket_id long, items array<string>")
     got = mine(baskets, MiningParams(0.5, 0.5)).loosened(baskets, item_counts(baskets), 0.1, 0.1)
     assert got.itemsets.collect() == [] and got.rules.collect() == []
+
+
+@pytest.mark.parametrize(("support", "rows"), [(0.05, 100), (0.02, 150), (0.3, 60), (0.1, 1000), (0.6, 1)])
+def test_projected_items_give_the_same(spark, make_baskets, support, rows):
+    """Oversized items mined apart: the itemsets and rules of FP-growth, with one item in every basket."""
+    rnd = random.Random(rows)
+    baskets = [sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6))} | {"all"} | ({"most"} if rnd.random() < 0.7 else set())) for _ in range(220)]
+    frame = make_baskets(baskets).persist()
+    wanted = mine(frame, MiningParams(support, 0.2))
+    got = mine(frame, MiningParams(support, 0.2, num_partitions=3, max_group_rows=rows))
+    assert itemsets_of(got) == itemsets_of(wanted) and got.itemsets.count() == wanted.itemsets.count()
+    assert rules_of(got) == rules_of(wanted)
+    frame.unpersist()
+
+
+def test_no_item_group_is_as_large_as_its_baskets(spark, make_baskets, monkeypatch):
+    """What FP-growth is given holds no item in more baskets than the bound, but by itself in its own projection."""
+    frame = make_baskets([["all", chr(97 + k % 20), chr(97 + (k * 7 + 3) % 20)] for k in range(200)])
+    largest = []
+    original = FPGrowth.fit
+
+    def fit(self, data, *more):
+        counts = data.selectExpr("explode(items) as item").groupBy("item").count()
+        largest.append(max((r["count"] for r in counts.collect()), default=0))
+        return original(self, data, *more)
+
+    monkeypatch.setattr(FPGrowth, "fit", fit)
+    mine(frame, MiningParams(0.02, 0.2, max_group_rows=50))
+    assert len(largest) == 2 and max(largest) <= 50
+
+
+def test_projected_without_baskets(spark):
+    baskets = spark.createDataFrame([], "basket_id long, items array<string>")
+    got = mine(baskets, MiningParams(0.5, 0.5, max_group_rows=3))
+    assert got.itemsets.collect() == [] and got.rules.collect() == []

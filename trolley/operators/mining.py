@@ -23,6 +23,7 @@ one item.
 
 from __future__ import annotations
 
+import functools
 import logging
 import math
 from dataclasses import dataclass
@@ -40,11 +41,16 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class MiningParams:
-    """Thresholds; any value in (0, 1] is accepted."""
+    """Thresholds; any value in (0, 1] is accepted.
+
+    ``max_group_rows``: an item in more baskets than this is projected out
+    before FP-growth, so no item group is as large as its baskets.
+    """
 
     min_support: float = DEFAULT_MIN_SUPPORT
     min_confidence: float = DEFAULT_MIN_CONFIDENCE
     num_partitions: int | None = None
+    max_group_rows: int | None = None
 
     def __post_init__(self) -> None:
         for name in ("min_support", "min_confidence"):
@@ -53,6 +59,8 @@ class MiningParams:
                 raise ValueError(f"{name} must be in (0, 1], got {v!r}")
         if self.num_partitions is not None and self.num_partitions < 1:
             raise ValueError("num_partitions must be positive")
+        if self.max_group_rows is not None and self.max_group_rows < 1:
+            raise ValueError("max_group_rows must be positive")
 
     def min_count(self, n_baskets: int) -> int:
         """Smallest frequency a frequent itemset needs (same double arithmetic as FP-growth)."""
@@ -139,6 +147,13 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
         int(mean / params.min_support),
     )
 
+    if params.max_group_rows:
+        itemsets = _projected(data, params, n, items_col)
+        rules = materialize(rules_of(itemsets, n, params.min_confidence), reliable=checkpoint)
+        if owned is not None:
+            owned.unpersist(blocking=False)
+        return MiningResult(itemsets, rules, n, params)
+
     fp = FPGrowth(itemsCol=items_col, minSupport=params.min_support, minConfidence=params.min_confidence)
     if params.num_partitions:
         fp = fp.setNumPartitions(params.num_partitions)
@@ -161,6 +176,44 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
     return MiningResult(itemsets, rules, n, params)
 
 
+def _projected(data: DataFrame, params: MiningParams, n: int, items_col: str) -> DataFrame:
+    """(items, freq) as FP-growth finds them, with oversized items projected out first.
+
+    FP-growth's task for an item holds the prefixes of all baskets with it, and
+    no setting splits that. So an item h in more than ``max_group_rows``
+    baskets is taken out: itemsets with h are those of the baskets that hold
+    it, mined without it, each with h added, and the rest are mined without h.
+    Inside the first, FP-growth's tasks are pairs (h, next item).
+    """
+    least = params.min_count(n)
+    items = data.where(F.col(items_col).isNotNull()).select(F.col(items_col).alias("items"))
+    counts = items.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    # At most (mean basket size) * baskets / max_group_rows items.
+    heavy = counts.where(F.col("n") > params.max_group_rows).orderBy(F.desc("n"), "item").collect()
+    found = []
+    out = F.array().cast(items.schema["items"].dataType)
+    for h in [*heavy, None]:
+        own = items.where(F.array_contains("items", h["item"])) if h else items
+        out_now = F.concat(out, F.array(F.lit(h["item"]))) if h else out
+        size = h["n"] if h else n
+        if size >= least > 0:
+            fp = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / size))
+            if params.num_partitions:
+                fp = fp.setNumPartitions(params.num_partitions)
+            rest = own.select(F.array_except("items", out_now).alias("items")).persist(StorageLevel.MEMORY_AND_DISK)
+            sets = fp.fit(rest).freqItemsets.select("items", F.col("freq").cast("long").alias("freq"))
+            if h:
+                none = F.array().cast(items.schema["items"].dataType).alias("items")
+                sets = sets.unionByName(data.sparkSession.range(1).select(none, F.lit(size).cast("long").alias("freq")))
+                sets = sets.select(F.concat("items", F.array(F.lit(h["item"]))).alias("items"), "freq")
+            found.append(materialize(sets.select(F.sort_array("items").alias("items"), "freq")))
+            rest.unpersist(blocking=False)
+        out = out_now
+    if not found:
+        return items.select("items", F.lit(0).cast("long").alias("freq")).limit(0)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def _candidates(frequent: DataFrame, size: int) -> DataFrame:
     """(items): sets of ``size`` items all whose subsets of one item less are among ``frequent`` (sets of size - 1, sorted)."""
     head, tail = F.slice("items", 1, size - 2), F.get("items", F.lit(size - 2))

@@ -177,30 +177,34 @@ class Bpe:
         node where it starts.
         """
         states, nodes = [-1], [self.root]  # by depth along the path: last token, automaton node
-        path, size, fitting, pack = "", self.size, self.fitting, array
+        path, size, fitting, pack, push, push_node = "", self.size, self.fitting, array, states.append, nodes.append
         out: dict[str, bytes] = {}
         for word in sorted(words):
-            depth, end = 0, min(len(states), len(word)) - 1
-            while depth < end and path[depth] == word[depth]:
+            depth, most = 0, min(len(states), len(word)) - 1
+            while depth < most and path[depth] == word[depth]:
                 depth += 1
             del states[depth + 1 :], nodes[depth + 1 :]
             node, path = nodes[-1], word
-            end = len(word) - 1
-            for letter in word[depth:] if depth else word:
+            for letter in word[depth:-1]:
                 node = node[letter]
-                candidates = node.inside if depth < end else node.at_end
                 depth += 1
-                for token, length, memo in candidates:
+                for token, length, memo in node.inside:
                     if length == depth:
                         break
                     left = states[depth - length]
                     ok = memo.get(left)
                     if fitting(left, token, memo) if ok is None else ok:
                         break
-                states.append(token)
-                nodes.append(node)
-            token = states.pop()  # it ends this word only
-            nodes.pop()
+                push(token)
+                push_node(node)
+            depth += 1
+            for token, length, memo in node[word[-1]].at_end:  # it ends this word only
+                if length == depth:
+                    break
+                left = states[depth - length]
+                ok = memo.get(left)
+                if fitting(left, token, memo) if ok is None else ok:
+                    break
             ids, depth = [token], depth - size[token]
             while depth:
                 ids.append(states[depth])

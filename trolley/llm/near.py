@@ -387,7 +387,7 @@ def _open_groups(parts: DataFrame) -> DataFrame:
     sizes = sizes.groupBy("cand").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"))
     sizes = sizes.where(F.col("n") > F.col("most.n"))
     sizes = sizes.select("cand", F.col("most.part").alias("main"), "n", F.col("most.n").alias("most"))
-    return parts.join(sizes, "cand")
+    return small_join(parts, settle(sizes, "sizes"), ["cand"])
 
 
 def _keyed(open_: DataFrame, size: int) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trolley.llm import near
 from trolley.llm.shared import settle, table
 
 #: Documents of its language that a kept term is in, at least.
@@ -243,7 +244,8 @@ def divergence(kept: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.select("lang", "v", size, F.xxhash64("term").alias("h"), "cells")
     blocks = numbered.groupBy("lang", "term").agg(F.first("all").alias("all")).groupBy("lang", size)
     blocks = blocks.agg(F.ceil(F.count(F.lit(1)) / BLOCK_TERMS).alias("blocks"))
-    rows = rows.join(blocks, ["lang", "size"]).withColumn("block", F.pmod("h", F.col("blocks")))
+    # At most 64 rows for a language: no shuffle of all terms by so few keys.
+    rows = near.small_join(rows, settle(blocks, "audit-blocks"), ["lang", "size"]).withColumn("block", F.pmod("h", F.col("blocks")))
 
     def of(c: Column) -> Column:
         return F.floor(c / BLOCK_SOURCES).cast("int")

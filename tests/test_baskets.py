@@ -213,3 +213,28 @@ def test_counts_that_are_no_decimal_numbers(spark, cell):
         fold_wide(rows).collect()
     got = sorted(r["items"] for r in fold_wide(rows, on_bad_count="drop").collect())
     assert got == [["c", "d"], ["e"]]
+
+
+def test_chunked_wide_rows(spark):
+    """Long, short, null and single-line baskets, equal lines and null items, in rows of five cells."""
+    from trolley.operators.baskets import CHUNK_COLUMN, clean, clean_chunks, fold_chunks, to_wide_chunks
+
+    rows = [(1, k, f" Item {k % 40} ") for k in range(503)] + [(2, 0, "a"), (2, 0, "a"), (2, 1, None), (3, 0, "x")]
+    rows += [(None, k, "n") for k in range(7)]
+    lines = spark.createDataFrame(rows, "basket long, line long, item string").repartition(6)
+    wide = to_wide_chunks(lines, "basket", "item", ["line", "item"], 5)
+    assert [c for c in wide.columns if c.startswith("Item ")] == [f"Item {k}" for k in range(1, 6)]
+    got = {}
+    for r in wide.collect():
+        cells = [r[f"Item {k}"] for k in range(1, 6)][: r["Item(s)"]]
+        assert r["Item(s)"] <= 5
+        got.setdefault(r["basket"], {})[r[CHUNK_COLUMN]] = cells
+    flat = {b: [x for k in range(len(c)) for x in c[k]] for b, c in got.items()}
+    assert all(len(x) == 5 for c in got.values() for k, x in c.items() if k + 1 < len(c))
+    order = lambda r: (r[1], r[2] is not None, r[2] or "")
+    assert flat == {b: [r[2] for r in sorted((r for r in rows if r[0] == b), key=order)] for b in (1, 2, 3, None)}
+    chunks = fold_chunks(wide, "basket")
+    whole = spark.createDataFrame([(b, [x for x in xs if x is not None]) for b, xs in flat.items() if b is not None], "basket_id long, items array<string>")
+    key = lambda r: (r["basket_id"], tuple(r["items"]))
+    assert sorted(map(key, clean_chunks(chunks).collect())) == sorted(map(key, clean(whole).collect()))
+    assert to_wide_chunks(lines.limit(0), "basket", "item", ["line"], 5).collect() == []

@@ -9,6 +9,8 @@ where ``items`` is an ``array<string>``.
   of distinct items, not by its rows).
 * ``fold_wide`` — one row per basket with a count column and ``Item 1`` …
   ``Item k`` columns (the reference's CSV layout). Narrow: no shuffle.
+* ``fold_chunks`` — the same for baskets too long for a row, laid out in rows
+  of a fixed width (``to_wide_chunks``).
 * ``clean`` — trims, lower-cases, de-duplicates and keeps baskets with more
   than one item; set semantics, items stored sorted.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.fixed import COUNT_COLUMN, ITEM_COLUMN_PATTERN, MIN_BASKET_SIZE, NA_WORDS
@@ -192,3 +194,57 @@ def to_wide(lines: DataFrame, basket_col: str, item_col: str, order_cols: list[s
         F.size("cells").cast("long").alias(COUNT_COLUMN),
         *[F.get("cells", F.lit(p - 1)).alias(f"Item {p}") for p in range(1, width + 1)],
     )
+
+
+CHUNK_COLUMN = "Chunk"
+
+
+def to_wide_chunks(lines: DataFrame, basket_col: str, item_col: str, order_cols: list[str], width: int) -> DataFrame:
+    """``to_wide`` for baskets of any size: rows of at most ``width`` cells, numbered from 0 in each basket
+    (``Chunk``), each with its own ``Item(s)`` and ``Item 1`` … ``Item width``.
+
+    Lines are range-partitioned by basket and order, so a hot basket spreads
+    over tasks; a line's place is its place in its partition plus the basket's
+    lines in earlier partitions, from one count for each (basket, partition).
+    No task and no row holds a basket.
+    """
+    if width < 1:
+        raise ValueError("width must be positive")
+    own = lines.select(F.col(basket_col).alias("b"), F.col(item_col).alias("cell"), F.struct(*order_cols).alias("o"))
+    # Equal lines part by a number that is fixed once.
+    held = materialize(own.withColumn("row", F.monotonically_increasing_id()))
+    ranged = materialize(held.repartitionByRange("b", "o", "row").withColumn("part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("part", "b").orderBy("o", "row"))
+    counts = ranged.groupBy("b", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("b", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    before = before.select(F.col("b").alias("b_"), F.col("part").alias("part_"), "before")
+    same = F.col("b").eqNullSafe(F.col("b_")) & (F.col("part") == F.col("part_"))
+    placed = ranged.withColumn("inside", inside).join(before, same)
+    place = F.col("before") + F.col("inside") - 1
+    placed = placed.select("b", F.floor(place / width).alias("chunk"), (place % width).cast("int").alias("at"), "cell")
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("at", "cell"))), lambda x: x["cell"])
+    rows = placed.groupBy("b", "chunk").agg(cells.alias("cells"))
+    return rows.select(
+        F.col("b").alias(basket_col),
+        F.col("chunk").alias(CHUNK_COLUMN),
+        F.size("cells").cast("long").alias(COUNT_COLUMN),
+        *[F.get("cells", F.lit(k)).alias(f"Item {k + 1}") for k in range(width)],
+    )
+
+
+def fold_chunks(wide: DataFrame, id_col: str, **options) -> DataFrame:
+    """``fold_wide`` of ``to_wide_chunks``' rows: ``(basket_id, chunk, items)``; options are ``fold_wide``'s.
+
+    The chunks of a basket stay apart; ``clean_chunks`` joins them without a raw list of the whole basket.
+    """
+    key = F.struct(F.col(f"`{id_col}`").alias("basket_id"), F.col(f"`{CHUNK_COLUMN}`").cast("long").alias("chunk"))
+    name = "_basket_chunk"
+    folded = fold_wide(wide.withColumn(name, key), id_col=name, id_type=None, **options)
+    return folded.select("basket_id.basket_id", "basket_id.chunk", "items")
+
+
+def clean_chunks(chunks: DataFrame, min_size: int = MIN_BASKET_SIZE, drop_blank: bool = False) -> DataFrame:
+    """Clean baskets of ``(basket_id, chunk, items)``: what ``clean`` makes of each whole basket."""
+    lines = chunks.select("basket_id", F.explode("items").alias("item"))
+    return from_lines(lines, "basket_id", "item", min_size, drop_blank)

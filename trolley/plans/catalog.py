@@ -24,6 +24,8 @@ from trolley.sources.wide_csv import read_wide_csv
 
 # Parameters of the registered queries.
 SWEEP_SETTINGS = [(0.005, 0.1), (0.01, 0.2), (0.02, 0.3), (0.05, 0.5)]
+# Cells of a row in the chunked wide layout.
+CHUNK_WIDTH = 64
 # Support of the mined tables that the loosened ones start from.
 LOOSER_FROM = 0.01
 SEARCH_NEEDLE = "Brand#3"
@@ -299,11 +301,29 @@ def wide_cells_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold_wide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's lines as one long basket, in rows of ``CHUNK_WIDTH`` cells and folded back:
+    ``(basket_id, chunk, n_items, items)``."""
+
+    def build(_s) -> DataFrame:
+        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+            "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("item")
+        )
+        wide = B.to_wide_chunks(lines, "l_suppkey", "item", ["l_orderkey", "l_linenumber", "item"], CHUNK_WIDTH)
+        return B.fold_chunks(wide, "l_suppkey")
+
+    folded = study(spark, sf_dir).memo("wide_chunks", build)
+    return folded.select(
+        "basket_id", "chunk", F.size("items").cast("long").alias("n_items"), F.array_join("items", ", ").alias("items")
+    )
+
+
 def QUERIES() -> dict[str, Query]:
     return {
         "fold_wide_baskets": fold_wide_baskets,
         "wide_csv_baskets": wide_csv_baskets,
         "wide_cells_with_gaps": wide_cells_with_gaps,
+        "fold_wide_chunks": fold_wide_chunks,
         "clean_baskets": clean_baskets,
         "overview": overview,
         "item_counts": item_counts,

@@ -9,6 +9,7 @@ histograms by the same placement rule written in SQL. Views ``lineitem``,
 from __future__ import annotations
 
 from trolley.plans.catalog import (
+    CHUNK_WIDTH,
     DEFAULTS_SPEC,
     EVENT_SPEC,
     EXPLORE_MIN_LIFT,
@@ -219,6 +220,14 @@ select l_orderkey as basket_id, count(*)::bigint as n_items,
        string_agg(p_brand, ', ' order by l_linenumber, p_brand) as items
 from lineitem join part on l_partkey = p_partkey
 group by l_orderkey""",
+        "fold_wide_chunks": f"""
+with r as (
+  select l_suppkey, l_partkey, l_orderkey, l_linenumber,
+         row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey::varchar) - 1 as place
+  from lineitem)
+select l_suppkey as basket_id, place // {CHUNK_WIDTH} as chunk, count(*)::bigint as n_items,
+       string_agg(l_partkey::varchar, ', ' order by place) as items
+from r group by l_suppkey, place // {CHUNK_WIDTH}""",
         "wide_cells_with_gaps": """
 with c as (
   select (l_orderkey * 10 + l_linenumber)::bigint as basket_id, l_linenumber % 5 as n,

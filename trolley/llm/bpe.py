@@ -34,13 +34,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm.shared import table
+from trolley.llm.shared import slices, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words that a worker remembers: the newest, and as many before them.
 MAX_WORDS = 300_000
-#: Texts that are encoded at a time.
-ROWS = 2_000
 #: Remembered outcomes for pairs of tokens.
 MAX_PAIRS = 1_000_000
 
@@ -308,13 +306,6 @@ def load(path: str) -> Bpe:
 # Spark ------------------------------------------------------------------
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of ``ROWS`` rows."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, ROWS):
-            yield batch.slice(first, ROWS)
-
-
 def _encoded(path: str, keep_ids: bool, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trolley.llm import near
-from trolley.llm.shared import free_name, settle, table
+from trolley.llm.shared import free_name, settle, slices, table
 
 SHINGLE = 5
 NUM, DEN = 85, 100
 #: Short shingles are often shared by lines that aren't alike, so bands are long, or such lines would be candidates.
 BANDS, ROWS = 30, 7
-#: Characters that go through the hash functions at a time, documents that a task works on at once, keys that it has seen.
-CHUNK, ROWS_AT_ONCE, MAX_SEEN = 1 << 17, 2_000, 300_000
+#: Characters that go through the hash functions at a time, and keys that a task has seen.
+CHUNK, MAX_SEEN = 1 << 17, 300_000
 
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -115,29 +115,28 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``near.meeting`` of the lines of (rid, text): a line's number is the document's and its position."""
     seen: dict[bytes, int] = {}
-    for batch in batches:
-        for part in range(0, batch.num_rows, ROWS_AT_ONCE):
-            rid, texts = (batch.column(c).slice(part, ROWS_AT_ONCE).to_pylist() for c in ("rid", "text"))
-            if len(seen) > MAX_SEEN:
-                seen.clear()
-            lid, keys, first, banded, own = [], [], [], [], []
-            for at, text in zip(rid, texts):
-                for number, line in enumerate((text or "").split("\n"), at):
-                    line = plain(line)
-                    if not line:
-                        continue
-                    key = xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
-                    earlier = seen.setdefault(key, number)
-                    lid.append(number)
-                    keys.append(key)
-                    first.append(earlier if earlier != number else -1)
-                    # A line under a shingle's length is like its copies only, and those are found by the key.
-                    if earlier == number and len(line) >= SHINGLE:
-                        banded.append(number)
-                        own.append(line)
-            halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            numbers = [np.array(x, np.int64) for x in (lid, first, banded)]
-            yield near.meeting(halves, *numbers, near.bands(signatures(own), ROWS))
+    for batch in slices(batches):
+        rid, texts = (batch.column(c).to_pylist() for c in ("rid", "text"))
+        if len(seen) > MAX_SEEN:
+            seen.clear()
+        lid, keys, first, banded, own = [], [], [], [], []
+        for at, text in zip(rid, texts):
+            for number, line in enumerate((text or "").split("\n"), at):
+                line = plain(line)
+                if not line:
+                    continue
+                key = xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
+                earlier = seen.setdefault(key, number)
+                lid.append(number)
+                keys.append(key)
+                first.append(earlier if earlier != number else -1)
+                # A line under a shingle's length is like its copies only, and those are found by the key.
+                if earlier == number and len(line) >= SHINGLE:
+                    banded.append(number)
+                    own.append(line)
+        halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+        numbers = [np.array(x, np.int64) for x in (lid, first, banded)]
+        yield near.meeting(halves, *numbers, near.bands(signatures(own), ROWS))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

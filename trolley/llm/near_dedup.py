@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trolley.llm import near
-from trolley.llm.shared import settle, table
+from trolley.llm.shared import settle, slices, table
 
 BANDS, ROWS = 40, 7
 #: Hashes of words that a task remembers, and keys of sets that it has seen.
@@ -65,7 +65,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 def _signed(size: int, hashes: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             if len(seen) > MAX_SEEN:
@@ -116,7 +116,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _listed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
             sets = pa.array([np.sort(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("lid"), sets], ["lid", "items"])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from trolley.llm.shared import settle, table
+from trolley.llm.shared import settle, slices, table
 
 #: Common words of a language's histogram (the rest is one bin).
 COMMON_WORDS = 100
@@ -103,7 +103,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
         counts.clear()
 
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             counts.setdefault(lang, Counter()).update((text or "").encode("utf-8", "replace").split())
         if sum(map(len, counts.values())) > FLUSH_WORDS:
@@ -135,7 +135,7 @@ def _measured(common: dict[str, list[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {lang: {w: k for k, w in enumerate(words)} for lang, words in common.items()}
         known: dict[str, dict[bytes, int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {c: [] for c in MEASURES}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8", "replace")

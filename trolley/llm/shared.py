@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.session import delete_path, shared_path
@@ -34,6 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def relax() -> None:
+    """Give back memory that Arrow and the C library keep unused: a Python worker goes on to other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows, so that texts of a few are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+    relax()
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, compared without case."""
     taken = {c.lower() for c in df.columns}

@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm.bpe import VOCABULARY, load, slices
-from trolley.llm.shared import settle, table
+from trolley.llm.bpe import VOCABULARY, load
+from trolley.llm.shared import settle, slices, table
 from trolley.session import shared_path
 
 MAX_BITS = 16

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm import near
 from trolley.llm.bpe import ragged
-from trolley.llm.shared import settle, table
+from trolley.llm.shared import settle, slices, table
 
 #: Labelled documents of each class that are learned from at most, and drawn before near copies go.
 EXAMPLES, DRAWN = 2048, 3072
@@ -224,7 +224,7 @@ def _frequencies(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {t: k for k, t in enumerate(terms.value)}
         total, counts = 0, np.zeros(len(number) + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 total += 1
                 found = [number.get(t, -1) for t in term_counts(text)]
@@ -312,7 +312,7 @@ def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         number = {t: k for k, t in enumerate(model.terms)}
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for first in range(0, len(texts), BATCH):
                 counts = [[(k, n) for t, n in term_counts(x).items() if (k := number.get(t)) is not None] for x in texts[first : first + BATCH]]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ def _vectors(rng, n, terms=40):
 @pytest.mark.parametrize(("n", "first"), [(0, 8), (1, 8), (70, 1), (500, 1), (500, 8), (900, 3)])
 def test_neighbours_are_exact(monkeypatch, n, first):
     monkeypatch.setattr(T, "FIRST", first)
+    monkeypatch.setattr(T, "DENSE", 0.15 if n % 100 == 0 else 2.0)
     rng = np.random.default_rng(n)
     examples, queries = _vectors(rng, n), _vectors(rng, 120)
     best, who = _model(examples).nearest(*_entries(queries), 120)
@@ -70,9 +72,26 @@ def test_near_copies_leave_the_smallest_id():
     assert T.without_copies(ids, toxic, words).tolist() == [1, 2, 3, 4]
 
 
+def plain_counts(text) -> Counter:
+    out = Counter(w.lower().strip(T._MARKS) for w in (text or "").split())
+    out.pop("", None)
+    return out
+
+
+def test_term_counts():
+    texts = ["", None, "One two, TWO (two) -- é É", "  ", "...", "a\tb\nc a"]
+    owner, term, count, words = T.term_counts(pa.array(texts))
+    got = [Counter() for _ in texts]
+    for o, t, n in zip(owner, term, count):
+        got[o][words[t].as_py()] = n
+    assert got == [plain_counts(t) for t in texts]
+    assert [len(x) for x in T.known_counts(pa.array(texts), pa.array(["two", "zzz"]))] == [1, 1, 1]
+    assert len(T.term_counts(pa.array([], pa.string()))[0]) == 0
+
+
 def brute_model(docs, labels):
     """Weights and unit vectors of all labelled documents outside the fold, from the definitions."""
-    counts = {d: T.term_counts(t) for d, t in docs}
+    counts = {d: plain_counts(t) for d, t in docs}
     train = sorted(d for d in labels if d in counts and zlib.crc32(str(d).encode()) % 5)
     of: Counter = Counter()
     for c in counts.values():

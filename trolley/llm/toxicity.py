@@ -28,12 +28,12 @@ are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +46,9 @@ from trolley.llm.shared import settle, slices, table
 EXAMPLES, DRAWN = 2048, 3072
 NEIGHBOURS = 15
 #: Examples of a block of the index, blocks of a document that are computed first, documents compared at a time.
-BLOCK, FIRST, BATCH = 64, 8, 64
+BLOCK, FIRST, BATCH = 64, 8, 128
+#: Share of the examples from which a term is frequent.
+DENSE = 0.05
 #: What every term weighs besides its label weight.
 PLAIN_WEIGHT = 0.02
 #: Vote weight of the labels' share besides the neighbours' squared cosines.
@@ -58,13 +60,26 @@ FOLDS, HELD_OUT = 5, 0
 _MARKS = " .,;:!?'\"()[]{}<>|*#$%&-_+=/\\"
 
 
-def term_counts(text: str | None) -> Counter[str]:
-    """Words in lower case without marks at their ends."""
-    out: Counter[str] = Counter()
-    for word, n in Counter((text or "").split()).items():
-        out[word.lower().strip(_MARKS)] += n
-    out.pop("", None)
-    return out
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Words in lower case without marks at their ends: (text, term, count) of each that a text has, by text, and the terms."""
+    words = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    flat = pc.utf8_trim(words.flatten(), characters=_MARKS).dictionary_encode()
+    owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    size = max(1, len(flat.dictionary))
+    key, count = np.unique(owner * size + flat.indices.to_numpy(), return_counts=True)
+    owner, term = np.divmod(key, size)
+    word = pc.greater(pc.binary_length(flat.dictionary), 0).to_numpy(zero_copy_only=False)
+    some = word[term] if len(term) else np.zeros(0, bool)
+    return owner[some], term[some], count[some], flat.dictionary
+
+
+def known_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number in ``terms``, count) of the known words of the texts, by text."""
+    owner, term, count, own = term_counts(texts)
+    number = pc.fill_null(pc.index_in(own, value_set=terms), -1).to_numpy()
+    number = number[term] if len(term) else np.zeros(0, np.int64)
+    known = number >= 0
+    return owner[known], number[known].astype(np.int64), count[known]
 
 
 def without_copies(doc_ids: np.ndarray, toxic: np.ndarray, terms: list[np.ndarray]) -> np.ndarray:
@@ -122,7 +137,18 @@ class Model:
         return value / np.maximum(norm[owner], 1e-300)
 
     def index(self, owner: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
-        """Postings of the examples' vectors, and for each (term, block) where they start and their largest weight."""
+        """Postings of the examples' vectors, and for each (term, block) where they start and their largest weight.
+
+        Terms of ``DENSE`` of the examples or more have their weights in a matrix of terms by examples instead.
+        """
+        held = np.bincount(term, minlength=len(self.terms))
+        dense = np.flatnonzero(held >= max(2, DENSE * len(self.doc_ids)))
+        self.dense_row = np.full(len(self.terms), -1)
+        self.dense_row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), len(self.doc_ids)))
+        row = self.dense_row[term]
+        self.dense[row[row >= 0], owner[row >= 0]] = value[row >= 0]
+        owner, term, value = owner[row < 0], term[row < 0], value[row < 0]
         order = np.lexsort((owner, term))
         owner, term, value = owner[order], term[order], value[order]
         self.post_row, self.post_value = owner.astype(np.int64), value
@@ -145,11 +171,18 @@ class Model:
         best, who = np.zeros((n, NEIGHBOURS)), np.full((n, NEIGHBOURS), -1, np.int64)
         if not size or not len(term):
             return best, who
+        # What frequent terms add is computed for all examples at once; the largest of it in each block bounds the rest.
+        row = self.dense_row[term]
+        query = np.zeros((n, len(self.dense)))
+        query[owner[row >= 0], row[row >= 0]] = value[row >= 0]
+        base = query @ self.dense
+        owner, term, value = owner[row < 0], term[row < 0], value[row < 0]
         width = self.of_term[term + 1] - self.of_term[term]
         entry = ragged(self.of_term[term], width)
         owner, value = np.repeat(owner, width), np.repeat(value, width)
         block = self.block[entry]
-        bound = np.bincount(owner * blocks + block, value * self.most[entry], n * blocks).reshape(n, blocks) * (1 + 1e-9)
+        bound = np.bincount(owner * blocks + block, value * self.most[entry], n * blocks).reshape(n, blocks)
+        bound = (bound + np.maximum.reduceat(base, np.arange(0, size, BLOCK), axis=1)) * (1 + 1e-9)
 
         def cosines(chosen: np.ndarray) -> np.ndarray:
             some = chosen[owner, block]
@@ -167,9 +200,10 @@ class Model:
         chosen = np.zeros((n, blocks), bool)
         first = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
         np.put_along_axis(chosen, first, True, 1)
-        found = left(cosines(chosen))
+        found = left(base + cosines(chosen))
         k = min(NEIGHBOURS, size)
         kth = np.partition(found, size - k, axis=1)[:, size - k]
+        # Other blocks hold only what frequent terms add, which is not above their bounds.
         rest = ~chosen & (bound > 0) & (bound >= kth[:, None])
         if rest.any():
             found = left(found + cosines(rest))
@@ -222,24 +256,26 @@ def _frequencies(terms):
     """(term, n): documents of the task with each term, and all of them as term -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: k for k, t in enumerate(terms.value)}
-        total, counts = 0, np.zeros(len(number) + 1, np.int64)
+        own = pa.array(terms.value, pa.string())
+        total, counts = 0, np.zeros(len(own), np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                total += 1
-                found = [number.get(t, -1) for t in term_counts(text)]
-                counts[found] += 1
-        used = np.flatnonzero(counts[:-1])
+            total += batch.num_rows
+            counts += np.bincount(known_counts(batch.column(0), own)[1], minlength=len(own))
+        used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], total))], ["term", "n"])
 
     return run
 
 
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [term_counts(t) for t in batch.column("text").to_pylist()]
-        terms = pa.array([list(c) for c in counts], pa.list_(pa.string()))
-        times = pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+    for batch in slices(batches):
+        owner, term, count, words = term_counts(batch.column("text"))
+        terms = _lists(owner, batch.num_rows, words.take(pa.array(term)))
+        times = _lists(owner, batch.num_rows, pa.array(count, pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), terms, times], ["doc_id", "toxic", "terms", "counts"])
 
 
@@ -311,31 +347,32 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, drawn: i
 def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        number = {t: k for k, t in enumerate(model.terms)}
+        terms = pa.array(model.terms, pa.string())
         for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            for first in range(0, len(texts), BATCH):
-                counts = [[(k, n) for t, n in term_counts(x).items() if (k := number.get(t)) is not None] for x in texts[first : first + BATCH]]
-                n = len(counts)
-                owner = np.repeat(np.arange(n), [len(c) for c in counts])
-                term, count = np.array([x for c in counts for x in c], np.int64).reshape(-1, 2).T
-                value = model.unit(owner, term, count.astype(float), n)
-                best, who = model.nearest(owner, term, value, n)
-                near_ = [
-                    [{"doc_id": int(model.doc_ids[w]), "cosine": float(c), "toxic": int(model.toxic[w])} for c, w in zip(cs, ws) if w >= 0]
-                    for cs, ws in zip(best[:, :3], who[:, :3])
-                ]
-                ends = np.cumsum([len(c) for c in counts])
-                hits = [[model.terms[term[k]] for k in a + np.argsort(-value[a:b], kind="stable")[:5]] for a, b in zip(np.append(0, ends), ends)]
-                score = pa.array(model.score(model.votes(best, who)), pa.float64())
-                columns = [batch.column("key").slice(first, n), score, pa.array(near_, EVIDENCE), pa.array(hits, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, NAMES)
+            owner, term, count = known_counts(batch.column("text"), terms)
+            value = model.unit(owner, term, count.astype(float), batch.num_rows)
+            # The weightiest words of each text.
+            order = np.lexsort((term, -value, owner))
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            heads = order[rank < 5]
+            hits = _lists(owner[heads], batch.num_rows, terms.take(pa.array(term[heads])))
+            best, who = np.zeros((batch.num_rows, NEIGHBOURS)), np.full((batch.num_rows, NEIGHBOURS), -1)
+            for first in range(0, batch.num_rows, BATCH):
+                n = min(BATCH, batch.num_rows - first)
+                a, b = np.searchsorted(owner, (first, first + n))
+                best[first : first + n], who[first : first + n] = model.nearest(owner[a:b] - first, term[a:b], value[a:b], n)
+            row, place = np.nonzero(who[:, :3] >= 0)
+            example = who[row, place]
+            fields = [model.doc_ids[example], best[row, place], model.toxic[example].astype(np.int64)] if len(row) else [[], [], []]
+            fields = [pa.array(x, t) for x, t in zip(fields, (pa.int64(), pa.float64(), pa.int64()))]
+            near_ = _lists(row, batch.num_rows, pa.StructArray.from_arrays(fields, ["doc_id", "cosine", "toxic"]))
+            score = pa.array(model.score(model.votes(best, who)), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), score, near_, hits], NAMES)
 
     return run
 
 
 NAMES = ["key", "score", "nearest", "terms"]
-EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int64())]))
 
 
 def score(docs: DataFrame, model: Model, key: Column) -> DataFrame:

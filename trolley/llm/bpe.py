@@ -269,7 +269,7 @@ class Bpe:
         flat, sizes = [], []
         for part in (lists, others):
             words = part.flatten().dictionary_encode()
-            ids = self.ids_of(words.dictionary.to_pylist())
+            ids = self.ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
             length = np.array([len(x) >> 2 for x in ids], np.int64)
             pool, at = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(length) - length
             where = words.indices.to_numpy()

@@ -52,8 +52,8 @@ _UNICODE = regex.compile(
     r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}"
     r"|[^\x09-\x0d\x20\x85\xa0  -     　\p{L}\p{N}]+"
 )
-#: str.split() takes these as white space; the tokenizer's pattern does not.
-_NO_SPACE = re.compile("[\x1c-\x1f]")
+#: Parts of special tokens, and what Arrow takes for white space and the tokenizer's pattern doesn't.
+_ODD = r"<\||[\x1c-\x1f]"
 
 
 def byte_letters() -> list[str]:
@@ -235,7 +235,7 @@ class Bpe:
             for w in special:
                 del plain[w]
             made = self.encode_words(set(plain.values()))
-            now.update((w, made[x]) for w, x in plain.items())
+            now.update(zip(plain, map(made.__getitem__, plain.values())))
         return [now[w] for w in words]
 
     def words_of(self, text: str) -> list[str]:
@@ -262,7 +262,8 @@ class Bpe:
         once = held.fill_null("").dictionary_encode()
         own, distinct = once.indices.to_numpy(), once.dictionary
         # Arrow lowers and parts texts of Latin-1 characters alike; the rest goes text by text.
-        simple = np.array([is_latin(t) and "<|" not in t and not _NO_SPACE.search(t) for t in distinct.to_pylist()], bool)
+        odd = pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False)
+        simple = np.array([not x and is_latin(t) for x, t in zip(odd, distinct.to_pylist())], bool)
         parted = pc.replace_substring_regex(pc.utf8_lower(distinct.filter(pa.array(simple))), _LATIN_REST, r" \0 ")
         lists = pc.utf8_split_whitespace(parted)
         others = pa.array([self.words_of(t) for t in distinct.filter(pa.array(~simple)).to_pylist()], lists.type)

@@ -41,7 +41,7 @@ MAX_BITS = 16
 CHECKPOINT = 128
 END_ID = 2
 #: Ids of a block at least (whole documents), and of a file on average.
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 18
 FILE_TOKENS = 1 << 22
 
 

@@ -73,14 +73,9 @@ def test_joint_tables_are_the_product_of_one_hot_columns():
     row, column = np.nonzero(hot)
     left, right = np.arange(11) < 7, np.arange(11) >= 4
     for most in (2, 5, 11):
-        source_audit_tile = source_audit.TILE_COLUMNS
-        source_audit.TILE_COLUMNS = most
-        try:
-            product = np.zeros((11, 11), np.int64)
-            for i, j, n in source_audit.joint_tables(column, row, left, right):
-                np.add.at(product, (i, j), n)
-        finally:
-            source_audit.TILE_COLUMNS = source_audit_tile
+        product = np.zeros((11, 11), np.int64)
+        for i, j, n in source_audit.joint_tables(column, row, left, right, most):
+            np.add.at(product, (i, j), n)
         assert (product == np.where(np.outer(left, right), hot.T.astype(int) @ hot.astype(int), 0)).all()
 
 

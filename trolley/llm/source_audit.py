@@ -99,12 +99,14 @@ def price(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def joint_tables(column: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def joint_tables(
+    column: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = TILE_COLUMNS
+) -> Iterator[tuple[np.ndarray, ...]]:
     """Cells (i, j, n) of the product of a one-hot matrix's columns ``left`` with its columns ``right``, tile by tile.
 
     column, row: where the matrix has ones, sorted by row; left, right: for
     each column whether it is a factor on that side. A tile is as many rows as
-    have ``TILE_COLUMNS`` columns at most (or one row).
+    have ``most`` columns at most (or one row).
     """
     cuts = np.concatenate([np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]]) if len(row) else np.array([0])
     stack = [(0, len(cuts) - 1)]
@@ -114,7 +116,7 @@ def joint_tables(column: np.ndarray, row: np.ndarray, left: np.ndarray, right: n
             continue
         a, b = cuts[first], cuts[last]
         used, own = np.unique(column[a:b], return_inverse=True)
-        if len(used) > TILE_COLUMNS and last - first > 1:
+        if len(used) > most and last - first > 1:
             middle = (first + last) // 2
             stack += [(first, middle), (middle, last)]
             continue
@@ -126,79 +128,83 @@ def joint_tables(column: np.ndarray, row: np.ndarray, left: np.ndarray, right: n
         yield used[i[x]], used[j[y]], product[x, y].astype(np.int64)
 
 
-def _priced(key: tuple, rows: pa.Table) -> pa.Table:
-    """What one block of rows adds to each pair of two blocks of sources: (lang, g, h, value), both ways round.
+def _priced(width: int, tile: int):
+    """Function of one block of rows: what it adds to each pair of two blocks of ``width`` sources, both ways round.
 
     Rows with ``cells``: a term's (source, count, total of the source).
     Rows with ``n``: how many terms a source has at a level (level null: only that the source exists).
     """
-    lang, x, y = (k.as_py() for k in key[:3])
-    v = rows.column("v")[0].as_py()
-    cells = rows.column("cells").combine_chunks()
-    margin = cells.is_null().to_numpy(zero_copy_only=False)
-    out: dict[tuple[int, int], int] = {}
-
-    def added(g: np.ndarray, h: np.ndarray, values: np.ndarray) -> None:
-        wide = int(h.max()) + 1
-        keys, place = np.unique(g * wide + h, return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, place, values)
-        for k, s in zip(keys.tolist(), sums.tolist()):
-            pair = k // wide, k % wide
-            out[pair] = out.get(pair, 0) + s
-
-    if margin.any():
-        own = rows.filter(pa.array(margin)).to_pydict()
-        at = np.array(own["g"], np.int64)
-        level = np.array([c or 0 for c in own["level"]], np.int64)
-        total, n = np.array(own["total"], np.int64), np.array(own["n"], np.int64)
-        sources, first, place = np.unique(at, return_index=True, return_inverse=True)
-        empty = total[first] + v
-        zero = share(np.zeros(len(sources), np.int64), empty) if v else None
-        for k, g in enumerate(sources.tolist()):
-            others = np.flatnonzero((sources // BLOCK_SOURCES == (y if g // BLOCK_SOURCES == x else x)) & (sources != g))
-            if x != y and g // BLOCK_SOURCES == y or not len(others):
-                continue
-            mine, theirs = place == k, np.isin(place, others)
-            values = np.zeros((2, len(others)), np.int64)
-            if v:
-                both = ((zero[k], zero[others]), (zero[others], zero[k]))
-                values += v * np.stack([price(p, q) for p, q in both])
-                p = share(level[mine], total[mine] + v)[:, None]
-                values[0] += (n[mine][:, None] * (price(p, zero[others]) - price(zero[k], zero[others]))).sum(0)
-                values[1] += (n[mine][:, None] * (price(zero[others], p) - price(zero[others], zero[k]))).sum(0)
-                q, to = share(level[theirs], total[theirs] + v), np.searchsorted(others, place[theirs])
-                zeros = zero[others][to]
-                np.add.at(values[0], to, n[theirs] * (price(zero[k], q) - price(zero[k], zeros)))
-                np.add.at(values[1], to, n[theirs] * (price(q, zero[k]) - price(zeros, zero[k])))
-            for h, there, back in zip(sources[others].tolist(), *values.tolist()):
-                out[g, h] = out.get((g, h), 0) + there
-                if x != y:
-                    out[h, g] = out.get((h, g), 0) + back
-    if not margin.all():
-        lists = cells.filter(pa.array(~margin))
-        entry = lists.flatten()
-        g, level, total = (entry.field(c).to_numpy() for c in ("g", "n", "total"))
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        order = np.lexsort((level, g))
-        new = np.concatenate([[True], (np.diff(g[order]) != 0) | (np.diff(level[order]) != 0)])
-        column = np.empty(len(g), np.int64)
-        column[order] = np.cumsum(new) - 1
-        at = g[order][new].astype(np.int64)
-        p = share(level[order][new], total[order][new] + v)
-        zero = share(np.zeros(len(p), np.int64), total[order][new] + v)
-        left, right = at // BLOCK_SOURCES == x, at // BLOCK_SOURCES == y
-        for i, j, n in joint_tables(column, row, left, right):
-            apart = at[i] != at[j]
-            i, j, n = i[apart], j[apart], n[apart]
-            for a, b in ((i, j), (j, i))[: 1 + (x != y)]:
-                if len(a):
-                    cell = price(p[a], p[b]) - price(p[a], zero[b]) - price(zero[a], p[b]) + price(zero[a], zero[b])
-                    added(at[a], at[b], n * cell)
-    pairs = list(out)
-    arrays = [pa.array([lang] * len(pairs), pa.string()), pa.array([a for a, _ in pairs], pa.int64())]
-    arrays += [pa.array([b for _, b in pairs], pa.int64()), pa.array(out.values(), pa.int64())]
-    return pa.Table.from_arrays(arrays, ["lang", "g", "h", "value"])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        lang, x, y = (k.as_py() for k in key[:3])
+        v = rows.column("v")[0].as_py()
+        cells = rows.column("cells").combine_chunks()
+        margin = cells.is_null().to_numpy(zero_copy_only=False)
+        out: dict[tuple[int, int], int] = {}
+
+        def added(g: np.ndarray, h: np.ndarray, values: np.ndarray) -> None:
+            wide = int(h.max()) + 1
+            keys, place = np.unique(g * wide + h, return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, place, values)
+            for k, s in zip(keys.tolist(), sums.tolist()):
+                pair = k // wide, k % wide
+                out[pair] = out.get(pair, 0) + s
+
+        if margin.any():
+            own = rows.filter(pa.array(margin)).to_pydict()
+            at = np.array(own["g"], np.int64)
+            level = np.array([c or 0 for c in own["level"]], np.int64)
+            total, n = np.array(own["total"], np.int64), np.array(own["n"], np.int64)
+            sources, first, place = np.unique(at, return_index=True, return_inverse=True)
+            empty = total[first] + v
+            zero = share(np.zeros(len(sources), np.int64), empty) if v else None
+            for k, g in enumerate(sources.tolist()):
+                others = np.flatnonzero((sources // width == (y if g // width == x else x)) & (sources != g))
+                if x != y and g // width == y or not len(others):
+                    continue
+                mine, theirs = place == k, np.isin(place, others)
+                values = np.zeros((2, len(others)), np.int64)
+                if v:
+                    both = ((zero[k], zero[others]), (zero[others], zero[k]))
+                    values += v * np.stack([price(p, q) for p, q in both])
+                    p = share(level[mine], total[mine] + v)[:, None]
+                    values[0] += (n[mine][:, None] * (price(p, zero[others]) - price(zero[k], zero[others]))).sum(0)
+                    values[1] += (n[mine][:, None] * (price(zero[others], p) - price(zero[others], zero[k]))).sum(0)
+                    q, to = share(level[theirs], total[theirs] + v), np.searchsorted(others, place[theirs])
+                    zeros = zero[others][to]
+                    np.add.at(values[0], to, n[theirs] * (price(zero[k], q) - price(zero[k], zeros)))
+                    np.add.at(values[1], to, n[theirs] * (price(q, zero[k]) - price(zeros, zero[k])))
+                for h, there, back in zip(sources[others].tolist(), *values.tolist()):
+                    out[g, h] = out.get((g, h), 0) + there
+                    if x != y:
+                        out[h, g] = out.get((h, g), 0) + back
+        if not margin.all():
+            lists = cells.filter(pa.array(~margin))
+            entry = lists.flatten()
+            g, level, total = (entry.field(c).to_numpy() for c in ("g", "n", "total"))
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((level, g))
+            new = np.concatenate([[True], (np.diff(g[order]) != 0) | (np.diff(level[order]) != 0)])
+            column = np.empty(len(g), np.int64)
+            column[order] = np.cumsum(new) - 1
+            at = g[order][new].astype(np.int64)
+            p = share(level[order][new], total[order][new] + v)
+            zero = share(np.zeros(len(p), np.int64), total[order][new] + v)
+            left, right = at // width == x, at // width == y
+            for i, j, n in joint_tables(column, row, left, right, tile):
+                apart = at[i] != at[j]
+                i, j, n = i[apart], j[apart], n[apart]
+                for a, b in ((i, j), (j, i))[: 1 + (x != y)]:
+                    if len(a):
+                        cell = price(p[a], p[b]) - price(p[a], zero[b]) - price(zero[a], p[b]) + price(zero[a], zero[b])
+                        added(at[a], at[b], n * cell)
+        pairs = list(out)
+        arrays = [pa.array([lang] * len(pairs), pa.string()), pa.array([a for a, _ in pairs], pa.int64())]
+        arrays += [pa.array([b for _, b in pairs], pa.int64()), pa.array(out.values(), pa.int64())]
+        return pa.Table.from_arrays(arrays, ["lang", "g", "h", "value"])
+
+    return run
 
 
 def count_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +281,7 @@ def divergence(kept: DataFrame, sources: DataFrame) -> DataFrame:
         "g", "level", "n", "total",
     )
     key = ("lang", "x", "y", "size", "block")
-    parts = rows.unionByName(margins).groupBy(*key).applyInArrow(_priced, "lang string, g long, h long, value long")
+    parts = rows.unionByName(margins).groupBy(*key).applyInArrow(_priced(BLOCK_SOURCES, TILE_COLUMNS), "lang string, g long, h long, value long")
     total = F.sum(F.col("value").cast("decimal(38,0)")).cast("long")
     return parts.groupBy("lang", "g", "h").agg(total.alias("value"))
 

@@ -1,11 +1,12 @@
-"""Frequent itemsets and association rules (Spark ML FP-growth).
+"""Frequent itemsets and association rules by pattern growth.
 
-Mining runs on Spark's parallel FP-growth: single-item counts are reduced
-across the cluster and only the frequent ones (at most
-``mean basket size / min_support`` of them) reach the driver; conditional
-transactions are shuffled by item group and each group's FP-tree is grown in
-its own task. Rules come from Spark's rule generator (a join of itemsets with
-their antecedents).
+Single-item counts are reduced across the cluster; baskets shrink to their
+frequent items (at most ``mean basket size / min_support`` of them) and equal
+ones become one row with a count. Patterns then grow by one item a level: a
+row is a pattern, what follows it in a basket, and the baskets alike. No task
+holds an item's baskets, and the work follows different baskets, not all.
+Where a bound on an item's baskets is asked for, Spark ML's FP-growth mines
+the projections. Rules are a join of itemsets with their antecedents.
 
 A mined result answers stricter thresholds by filtering and looser ones by
 counting what it doesn't know yet (``MiningResult.filtered``, ``loosened``).
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.fixed import DEFAULT_MIN_CONFIDENCE, DEFAULT_MIN_SUPPORT
@@ -117,24 +118,21 @@ class MiningResult:
 def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", checkpoint: bool = True) -> MiningResult:
     """Mine ``baskets`` (rows of unique-item arrays) for itemsets and rules.
 
-    An uncached input is persisted for the passes FP-growth makes over it. Both
+    An uncached input is persisted for the passes made over it. Both
     outputs are materialised (checkpointed when the cluster names a checkpoint
     folder): the rules table is an RDD-backed scan that pruning and pushdown
     cannot reach into, and recomputing it would re-run the mining.
     """
-    # FP-growth persists its own copy of an uncached input; a cached input
-    # (the usual case: a study's baskets) is read from the cache on each of
-    # its passes. (Spark's RDD-level miner still logs "Input data is not
-    # cached" then: it sees the RDD it derives, not the cached DataFrame.)
+    # A cached input (the usual case: a study's baskets) is read from the cache on each pass.
     owned = None
     level = baskets.storageLevel
     if level.useMemory or level.useDisk:
         data = baskets
     else:
         data = owned = baskets.select(items_col).persist(StorageLevel.MEMORY_AND_DISK)
-    # One pass: N, and the mean basket size that bounds what FP-growth sends
-    # to the driver (item frequencies sum to N × mean, so at most
-    # mean / min_support items can reach the minimum count).
+    # One pass: N, and the mean basket size that bounds the frequent items
+    # (item frequencies sum to N × mean, so at most mean / min_support items
+    # can reach the minimum count).
     stats = data.where(F.col(items_col).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.size(items_col)).alias("mean")
     ).first()
@@ -154,28 +152,62 @@ def mine(baskets: DataFrame, params: MiningParams, items_col: str = "items", che
             owned.unpersist(blocking=False)
         return MiningResult(itemsets, rules, n, params)
 
-    fp = FPGrowth(itemsCol=items_col, minSupport=params.min_support, minConfidence=params.min_confidence)
-    if params.num_partitions:
-        fp = fp.setNumPartitions(params.num_partitions)
-    model = fp.fit(data)
-
-    raw_sets = model.freqItemsets.persist(StorageLevel.MEMORY_AND_DISK)
-    itemsets = raw_sets.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("freq"))
-    rules = model.associationRules.select(
-        F.sort_array("antecedent").alias("antecedent"),
-        F.col("consequent"),
-        F.col("confidence"),
-        F.col("lift"),
-        F.col("support"),
-    )
-    itemsets = materialize(itemsets, reliable=checkpoint)
-    rules = materialize(rules, reliable=checkpoint)
-    raw_sets.unpersist(blocking=False)
+    itemsets = _grown(data, params, n, items_col, checkpoint)
+    rules = materialize(rules_of(itemsets, n, params.min_confidence), reliable=checkpoint)
     if owned is not None:
         owned.unpersist(blocking=False)
     return MiningResult(itemsets, rules, n, params)
 
 
+def _grown(data: DataFrame, params: MiningParams, n: int, items_col: str, checkpoint: bool) -> DataFrame:
+    """(items, freq) of all itemsets of the minimum count, level by level.
+
+    A row of a level is (items, rest, n): a frequent itemset, the items that
+    stand after it in ``n`` baskets and may extend it. Extensions are counted
+    before rows of the next level are made, and only frequent ones make any.
+    """
+    least, num_partitions = params.min_count(n), params.num_partitions
+    col = F.col(items_col)
+    is_set = F.size(F.array_distinct(col)) == F.size(col)
+    given = F.when(~is_set, F.raise_error(F.lit("items of a basket must be unique"))).otherwise(col)
+    given = data.where(col.isNotNull()).select(given.alias("items"))
+    counts = given.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
+    counts = materialize(counts.where(F.col("freq") >= least), reliable=False)
+    found = [counts.select(F.array("item").alias("items"), "freq")]
+    keep = counts.agg(F.collect_set("item")).scalar()  # at most mean basket size / min_support items
+    held = given.select(F.sort_array(F.array_intersect("items", keep)).alias("rest")).where(F.size("rest") > 1)
+    held = held.groupBy("rest").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(held.repartition(num_partitions, "rest") if num_partitions else held, reliable=False)
+    kept = [counts, held]
+
+    def extended(rows: DataFrame, items: Column) -> DataFrame:
+        """Rows of the next level: each item of ``rest`` joins the itemset, and those after it stay."""
+        each = rows.select(items.alias("before"), "rest", "n", F.posexplode("rest").alias("pos", "item"))
+        left = F.slice("rest", F.col("pos") + 2, F.size("rest"))
+        made = each.select(F.concat("before", F.array("item")).alias("items"), left.alias("rest"), "n")
+        return made.where(F.size("rest") > 0)
+
+    rows = extended(held, F.slice("rest", 1, 0))
+    while True:
+        more = rows.select("items", F.explode("rest").alias("item"), "n").groupBy("items", "item")
+        more = materialize(more.agg(F.sum("n").alias("freq")).where(F.col("freq") >= least), reliable=False)
+        kept.append(more)
+        if more.isEmpty():
+            break
+        found.append(more.select(F.concat("items", F.array("item")).alias("items"), "freq"))
+        if len(found) > 2:  # those of one item come from ``held`` at once
+            rows = materialize(rows.groupBy("items", "rest").agg(F.sum("n").alias("n")), reliable=False)
+            kept.append(rows)
+        may = more.groupBy("items").agg(F.collect_list("item").alias("may"))
+        rows = rows.join(may, "items").select("items", F.array_intersect("rest", "may").alias("rest"), "n")
+        rows = extended(rows, F.col("items"))
+    # Items are in order as they joined.
+    itemsets = materialize(functools.reduce(DataFrame.unionByName, found), reliable=checkpoint)
+    for df in kept:
+        df.unpersist(blocking=False)
+    return itemsets
+
+
 def _projected(data: DataFrame, params: MiningParams, n: int, items_col: str) -> DataFrame:
     """(items, freq) as FP-growth finds them, with oversized items projected out first.
 

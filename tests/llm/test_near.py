@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from trolley.llm import line_dedup, near, near_dedup
+from trolley.llm import line_dedup, near, near_dedup, shared
 
 
 @pytest.mark.parametrize(("similarity", "size"), [(0.7, 60), (0.85, 250), (0.9, 60)])
@@ -219,3 +219,43 @@ def test_a_family_below_the_threshold_costs_no_pairs_of_sets(spark, monkeypatch)
     for r in found.collect():
         comps.setdefault(r["comp"], set()).add(ids[r["lid"]])
     assert sorted(map(sorted, comps.values())) == [[0, 2000], [1, 2001], [2, 2002], [7, 3000]]
+
+
+def test_a_wide_group_is_taken_apart_by_its_mixed_bands_only(spark, monkeypatch):
+    """One large part of near copies and a few rows apart: bands of the part alone are not looked up."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(6))
+    template = [word() for _ in range(120)]
+    rows = [(k, " ".join(template[:90] + [word() for _ in range(30)])) for k in range(150)]
+    rows += [(1000 + k, f"{rows[0][1]} {word()}") for k in range(150)]
+    written: dict[str, int] = {}
+    settle = near.settle
+
+    def counted(df, name, *more):
+        done = settle(df, name, *more)
+        written[name] = done.count()
+        if name == "met":
+            written["bands"] = done.where("kind = 0").select("a").distinct().count()
+        return done
+
+    monkeypatch.setattr(near, "GROUP", 100)
+    monkeypatch.setattr(near, "settle", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed, found = near_dedup.linked(docs, 1, 85, 100)
+    ids = {r["lid"]: r["row"]["doc_id"] for r in signed.collect()}
+    comps: dict = {}
+    for r in found.collect():
+        comps.setdefault(r["comp"], set()).add(ids[r["lid"]])
+    assert sorted(map(sorted, comps.values())) == [[0, *range(1000, 1150)]]
+    assert 0 < written["mixed"] < written["bands"] and written["wide"] >= 300
+
+
+def test_a_task_gives_memory_back_when_its_values_are_gone(monkeypatch):
+    said = []
+    monkeypatch.setattr(shared, "relax", lambda: said.append("relaxed"))
+
+    def run(batches):
+        yield from batches
+        said.append("over")
+
+    assert list(shared.relaxed(run)(iter([1, 2]))) == [1, 2] and said == ["over", "relaxed"]

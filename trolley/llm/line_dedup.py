@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trolley.llm import near
-from trolley.llm.shared import free_name, settle, slices, table
+from trolley.llm.shared import free_name, relaxed, settle, slices, table
 
 SHINGLE = 5
 NUM, DEN = 85, 100
@@ -159,9 +159,9 @@ def mark(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
     for c in ("rid", "n_lines"):
         schema = schema.add(c, T.LongType())
-    rows = settle(rows.mapInArrow(_numbered, schema), "docs")
+    rows = settle(rows.mapInArrow(relaxed(_numbered), schema), "docs")
     text = F.col("row.text").cast("string").alias("text")
-    met = near.met(rows.select("rid", text).mapInArrow(_meeting, near.MEET))
+    met = near.met(rows.select("rid", text).mapInArrow(relaxed(_meeting), near.MEET))
     numbers = F.posexplode(F.sequence("rid", F.col("rid") + F.col("n_lines") - 1)).alias("pos", "lid")
 
     def lines(*columns: Column) -> DataFrame:
@@ -171,12 +171,13 @@ def mark(docs: DataFrame) -> DataFrame:
         at = near.small_join(lines(), needed, ["lid"])
         wanted = settle(at.groupBy("rid").agg(F.collect_list("lid").alias("wanted")), "wanted")
         found = near.small_join(rows.select("rid", text), wanted, ["rid"])
-        return found.mapInArrow(_texts, "lid long, items string")
+        return found.mapInArrow(relaxed(_texts), "lid long, items string")
 
     found = settle(near.groups(met, fetch, NUM, DEN, to_set=line_set), "found")
     named = settle(near.small_join(lines(F.col("row.doc_id").cast("long").alias("doc_id")), found, ["lid"]), "named")
     best = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pos", "lid")).alias("best"))
-    going = named.join(best.select("comp", F.col("best.lid").alias("keep")), "comp").where("lid != keep")
+    best = settle(best.select("comp", F.col("best.lid").alias("keep")), "best")
+    going = near.small_join(named, best, ["comp"]).where("lid != keep")
     drops = settle(going.groupBy("rid").agg(F.collect_list(F.col("pos").cast("int")).alias("drops")), "drops")
     drops = F.broadcast(drops) if drops.count() <= near.BROADCAST_ROWS else drops
     return rows.join(drops, "rid", "left").select("row", "n_lines", "drops")

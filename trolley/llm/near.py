@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.shared import settle
+from trolley.llm.shared import relaxed, settle
 
 #: Vertices of one side of a block of pairs, on average: of full sets, and of signatures alone.
 BLOCK, SIGNATURE_BLOCK = 256, 2048
@@ -168,7 +168,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def met(rows: DataFrame) -> DataFrame:
     """(kind, a, b) of ``_met`` for rows of ``meeting`` (MEET)."""
     dealt = rows.repartition("band", "sub").sortWithinPartitions("band", "sub", "row")
-    return settle(dealt.mapInArrow(_met, "kind int, a long, b long"), "met")
+    return settle(dealt.mapInArrow(relaxed(_met), "kind int, a long, b long"), "met")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ def _linked(keyed: DataFrame, across) -> DataFrame:
     """Links (a, b) that ``across`` finds in each block."""
     # Most blocks are a few rows, so they go through the task as sorted runs, not as a call each.
     ordered = keyed.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    return ordered.mapInArrow(_blocks(across), "a long, b long")
+    return ordered.mapInArrow(relaxed(_blocks(across)), "a long, b long")
 
 
 def _in_parts(candidates: DataFrame, links: DataFrame) -> DataFrame:
@@ -469,7 +469,7 @@ def groups(
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("lid").alias("b"), F.col("items").alias("y")), "b")
         pairs = pairs.join(sets.select(F.col("lid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
-        return settle(pairs.mapInArrow(_confirmed(num, den, to_set), "a long, b long"), name)
+        return settle(pairs.mapInArrow(relaxed(_confirmed(num, den, to_set)), "a long, b long"), name)
 
     one = settle(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
     links = confirmed(one, "confirmed")
@@ -482,13 +482,19 @@ def groups(
 
     # Signatures cut candidate groups into those of pairs that may reach the similarity.
     open_ = settle(_open_groups(parts), "open")
-    signs = settle(open_.select("lid").join(sets, "lid").mapInArrow(_signed(to_set), "lid long, sig binary"), "signs")
+    signs = settle(open_.select("lid").join(sets, "lid").mapInArrow(relaxed(_signed(to_set)), "lid long, sig binary"), "signs")
     large = F.col("n") > GROUP
     member = met_rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("lid"))
-    wide = open_.where(large).select("lid", "part")
+    wide = open_.where(large).select("lid", "part", "main")
     keyed = _keyed(open_.where(~large), SIGNATURE_BLOCK)
     if not wide.isEmpty():
-        by_band = whole(member, "lid").join(wide, "lid").select("lid", F.col("band").alias("cand"), "part").distinct()
+        # Only bands with a row outside the main part hold several parts.
+        own = copies.join(wide, copies["first"] == wide["lid"]).select(copies["lid"].alias("row"), wide["lid"], "part", "main")
+        own = settle(wide.select(F.col("lid").alias("row"), "lid", "part", "main").union(own), "wide")
+        member = member.withColumnRenamed("lid", "row")
+        mixed = member.join(own.where("part != main").select("row"), "row").select("band").distinct()
+        by_band = member.join(settle(mixed, "mixed"), "band").join(own, "row")
+        by_band = by_band.select("lid", F.col("band").alias("cand"), "part").distinct()
         keyed = keyed.unionByName(_keyed(_open_groups(by_band), SIGNATURE_BLOCK))
     chance = num / den + (1 - num / den) / 256
     maybe = settle(_linked(keyed.join(signs, "lid"), _possible(chance, batch, miss)), "maybe")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trolley.llm import near
-from trolley.llm.shared import settle, slices, table
+from trolley.llm.shared import relaxed, settle, slices, table
 
 BANDS, ROWS = 40, 7
 #: Hashes of words that a task remembers, and keys of sets that it has seen.
@@ -145,7 +145,7 @@ def linked(docs: DataFrame, size: int, num: int, den: int, bands: int = BANDS, r
         return found.mapInArrow(_listed(size), "lid long, items array<long>")
 
     items = signed.where("n > 0").select("lid", "k1", "k2", "bands")
-    return signed, near.groups(near.met(items.mapInArrow(_meeting, near.MEET)), fetch, num, den)
+    return signed, near.groups(near.met(items.mapInArrow(relaxed(_meeting), near.MEET)), fetch, num, den)
 
 
 def dedupe(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm.shared import slices, table
+from trolley.llm.shared import relax, slices, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words that a worker remembers: the newest, and as many before them.
@@ -301,7 +301,9 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    bpe = Bpe(path)
+    relax()  # what the file's text and the building took
+    return bpe
 
 
 # Spark ------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """trolley — market-basket analytics on Spark DataFrames.
 
 Baskets are built from long (basket, item) tables or wide one-row-per-basket
-tables, mined for frequent itemsets and association rules with Spark's
-FP-growth, and summarised into the tables an analyst works from (item and
+tables, mined for frequent itemsets and association rules by
+pattern growth, and summarised into the tables an analyst works from (item and
 basket statistics, top-k itemsets and rules, rule filters and explanations,
 distributions, co-occurrence and rule-graph tables).
 

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from trolley.llm import bpe as B
+from trolley.llm import shared
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,13 @@ def test_query(spark, sf, texts, library):
         assert rows[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         decoded = library.decode(ids, skip_special_tokens=False).encode()
         assert rows[i]["decoded_sha256"] == hashlib.sha256(decoded).hexdigest()
+
+
+def test_other_work_gives_up_the_vocabulary():
+    B.load(B.VOCABULARY)
+    shared.relax()  # the end of a task that used it
+    assert B.load(B.VOCABULARY) is B.load(B.VOCABULARY)
+    shared.relax()
+    shared.relax()  # the end of a task that didn't
+    assert B._made.cache_info().currsize == 0
+    assert B.load(B.VOCABULARY).encode_batch(["again"])[0].tolist()

@@ -102,3 +102,13 @@ def test_query(spark, sf, texts):
         sha = hashlib.sha256(",".join(names).encode()).hexdigest()
         assert tuple(rows[i]) == (i, n, hit, len(names), sha, hit > 0)
     assert any(r["contaminated"] for r in rows.values())
+
+
+def test_removal_takes_one_python_step(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, "brown fox jumps"), (2, "lazy dog")], "item_id long, text string")
+    out = D.remove(docs, items)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert texts[1] == "The quick \n over the \n and runs far away from here today"
+    monkeypatch.setattr(D, "BLOCK_WORDS", 1)
+    assert {r["doc_id"]: r["text"] for r in D.remove(docs, items).collect()} == texts

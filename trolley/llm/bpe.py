@@ -34,11 +34,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm.shared import relax, slices, table
+from trolley.llm.shared import keep, relax, slices, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words that a worker remembers: the newest, and as many before them.
 MAX_WORDS = 300_000
+#: Texts that are parted into words at a time: most of a worker's memory.
+SLICE = 500
 #: Remembered outcomes for pairs of tokens.
 MAX_PAIRS = 1_000_000
 
@@ -300,19 +302,26 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> Bpe:
+def _made(path: str) -> Bpe:
     bpe = Bpe(path)
     relax()  # what the file's text and the building took
     return bpe
 
 
+def load(path: str) -> Bpe:
+    """The vocabulary of a file, which a worker keeps with the words it remembers until it goes on to other work."""
+    bpe = _made(path)
+    keep(_made.cache_clear)
+    return bpe
+
+
 # Spark ------------------------------------------------------------------
 
 
 def _encoded(path: str, keep_ids: bool, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             flat, at = bpe.encode_batch(batch.column("text"))
             own = [flat[a:b] for a, b in zip(at, at[1:])]
             out = [batch.column(0), pa.array(np.diff(at))]

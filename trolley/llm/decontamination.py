@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,7 +253,9 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, list[by
 SPAN = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
 
 
-def _searched(phrases):
+def _searched(phrases, cutting: bool = False):
+    """The step of a block of test items, which adds its spans; ``cutting``: the last step, which cuts them all out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = phrases.value
         for batch in slices(batches):
@@ -269,10 +272,15 @@ def _searched(phrases):
                 new_spans, new_items = find(docs, own)
                 for k, (a, b) in enumerate(zip(new_spans, new_items), first):
                     old = [(s["first"], s["stop"]) for s in held[0][k]]
-                    spans.append([{"first": x, "stop": y} for x, y in merged(old + a)])
+                    spans.append(merged(old + a))
                     items.append(sorted({*held[1][k], *b}))
                     counts.append(len(docs[k - first]))
                 first = last
+            if cutting:
+                texts = [cut(t, s) if s else t for t, s in zip(texts, spans)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
+                continue
+            spans = [[{"first": x, "stop": y} for x, y in s] for s in spans]
             arrays = [batch.column("key"), batch.column("text"), pa.array(counts, pa.int64())]
             arrays += [pa.array(spans, SPAN), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "text", "n_words", "spans", "items"])
@@ -280,12 +288,8 @@ def _searched(phrases):
     return run
 
 
-def search(docs: DataFrame, benchmark: DataFrame, key: Column, window: int = WINDOW) -> DataFrame:
-    """(key, text, n_words, spans, items) of every document.
-
-    spans: merged [first, stop) of words inside any occurrence of a window;
-    items: sorted ids of items with occurring windows.
-    """
+def _steps(docs: DataFrame, benchmark: DataFrame, key: Column, window: int) -> tuple[DataFrame, Broadcast]:
+    """The documents after the steps of all blocks of test items but one, and that one's phrases."""
     spark = docs.sparkSession
     rows = docs.select(
         key.alias("key"),
@@ -294,10 +298,22 @@ def search(docs: DataFrame, benchmark: DataFrame, key: Column, window: int = WIN
         F.array().cast("array<struct<first:bigint,stop:bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
+    phrases = None
     for block in _blocks(benchmark, BLOCK_WORDS):
+        if phrases:
+            rows = rows.mapInArrow(_searched(phrases), rows.schema)
         phrases = spark.sparkContext.broadcast(Phrases(block, window))  # BLOCK_WORDS words and one item at most
-        rows = rows.mapInArrow(_searched(phrases), rows.schema)
-    return rows
+    return rows, phrases
+
+
+def search(docs: DataFrame, benchmark: DataFrame, key: Column, window: int = WINDOW) -> DataFrame:
+    """(key, text, n_words, spans, items) of every document.
+
+    spans: merged [first, stop) of words inside any occurrence of a window;
+    items: sorted ids of items with occurring windows.
+    """
+    rows, phrases = _steps(docs, benchmark, key, window)
+    return rows.mapInArrow(_searched(phrases), rows.schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -311,20 +327,11 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        texts = batch.column("text").to_pylist()
-        for k, spans in enumerate(batch.column("spans").to_pylist()):
-            if spans:
-                texts[k] = cut(texts[k], [(s["first"], s["stop"]) for s in spans])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
-
-
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all their columns; occurrences of test windows are cut out of ``text``."""
-    rows = search(docs, benchmark, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), window)
-    rows = rows.select("key", "text", "spans")
-    done = rows.mapInArrow(_cut, rows.drop("spans").schema)
+    rows, phrases = _steps(docs, benchmark, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), window)
+    # Texts are cut where they are searched: a second step would take a second Python worker for each task.
+    done = rows.mapInArrow(_searched(phrases, cutting=True), rows.select("key", "text").schema)
     return done.select(*[F.col("text") if c == "text" else F.col(f"key.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,8 +40,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What this process keeps between tasks, by the function that gives it up: whether the present task has used it.
+_KEPT: dict[Callable[[], object], bool] = {}
+
+
+def keep(forget: Callable[[], object]) -> None:
+    """The present task uses what ``forget`` gives up; the first one that ends without doing so gives it up (``relax``)."""
+    _KEPT[forget] = True
+
+
 def relax() -> None:
     """Give back memory that Arrow and the C library keep unused: a Python worker goes on to other tasks and stages."""
+    idle = [forget for forget, used in _KEPT.items() if not used]
+    _KEPT.update(dict.fromkeys(_KEPT, False))
+    for forget in idle:
+        del _KEPT[forget]
+        forget()
+    if idle:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm.bpe import VOCABULARY, load
+from trolley.llm.bpe import SLICE, VOCABULARY, load
 from trolley.llm.shared import settle, slices, table
 from trolley.session import shared_path
 
@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, path: str = VOCABULARY
             raise ValueError("ids of more than 16 bits don't fit the codes")
         counts = np.zeros(1 << 16, np.int64)
         end = np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             flat, at = bpe.encode_batch(batch.column("text"))
             counts += np.bincount(flat, minlength=1 << 16)
             counts[end_id] += batch.num_rows

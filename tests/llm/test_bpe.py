@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -92,3 +93,21 @@ def test_other_work_gives_up_the_vocabulary():
     shared.relax()  # the end of a task that didn't
     assert B._made.cache_info().currsize == 0
     assert B.load(B.VOCABULARY).encode_batch(["again"])[0].tolist()
+
+
+def test_unknown_letters_are_named():
+    with pytest.raises(ValueError, match=r"no token has the letter ' '.*'a b '"):
+        B.load(B.VOCABULARY).ids_of(["a b "])
+
+
+def test_a_mark_at_the_end_of_a_full_buffer(library):
+    """Texts whose parted words fill their buffer to the last byte, with bytes after it that are no letter."""
+    bpe, pool = B.load(B.VOCABULARY), pa.default_memory_pool()
+    for n in [61, 125, 189] * 20:
+        own = ["x" * n, "."]
+        held = [pa.allocate_buffer(size, memory_pool=pool) for size in [64, 128, 192, 256] * 200]
+        for buffer in held:
+            np.frombuffer(buffer, np.uint8)[:] = 0xFF
+        del held[::2], buffer
+        flat, at = bpe.encode_batch(own)
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [w.ids for w in library.encode_batch(own, add_special_tokens=False)]

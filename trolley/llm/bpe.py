@@ -88,8 +88,10 @@ class _Node(dict):
 
     def __missing__(self, letter: str) -> _Node:
         back = self.fail
-        while letter not in back:
+        while back is not None and letter not in back:
             back = back.fail
+        if back is None:
+            raise ValueError(f"no token has the letter {letter!r}")
         after = self[letter] = back[letter]
         return after
 
@@ -236,7 +238,11 @@ class Bpe:
             plain.update(zip(odd, letters))
             for w in special:
                 del plain[w]
-            made = self.encode_words(set(plain.values()))
+            try:
+                made = self.encode_words(set(plain.values()))
+            except ValueError as e:
+                odd = [(w, x) for w, x in plain.items() if not self.root.keys() >= set(x)]
+                raise ValueError(f"{e}: words as parted and in letters {odd[:20]!r}") from e
             now.update(zip(plain, map(made.__getitem__, plain.values())))
         return [now[w] for w in words]
 
@@ -267,7 +273,8 @@ class Bpe:
         odd = pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False)
         simple = np.array([not x and is_latin(t) for x, t in zip(odd, distinct.to_pylist())], bool)
         parted = pc.replace_substring_regex(pc.utf8_lower(distinct.filter(pa.array(simple))), _LATIN_REST, r" \0 ")
-        lists = pc.utf8_split_whitespace(parted)
+        # Arrow looks past white space for the next letter, at the end of a text into memory that follows it.
+        lists = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(parted))
         others = pa.array([self.words_of(t) for t in distinct.filter(pa.array(~simple)).to_pylist()], lists.type)
         flat, sizes = [], []
         for part in (lists, others):

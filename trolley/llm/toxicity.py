@@ -62,7 +62,8 @@ _MARKS = " .,;:!?'\"()[]{}<>|*#$%&-_+=/\\"
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Words in lower case without marks at their ends: (text, term, count) of each that a text has, by text, and the terms."""
-    words = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    # Without white space at the end, past which Arrow looks for a next letter.
+    words = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(pc.utf8_lower(texts.fill_null(""))))
     flat = pc.utf8_trim(words.flatten(), characters=_MARKS).dictionary_encode()
     owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
     size = max(1, len(flat.dictionary))

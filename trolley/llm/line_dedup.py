@@ -23,6 +23,7 @@ rewritten.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,32 +74,49 @@ def line_set(line: str) -> np.ndarray:
     return np.unique(rolled(codes, min(SHINGLE, len(codes))).view(np.int64))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """MinHash signatures of plain lines, a chunk of whole lines at a time."""
-    out = [np.empty((0, BANDS * ROWS), np.uint32)]
+def _chunks(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of whole lines of ``CHUNK`` characters, or a longer line alone."""
     first = 0
     while first < len(lines):
         last, total = first, 0
         while last < len(lines) and (last == first or total + len(lines[last]) <= CHUNK):
             total += len(lines[last])
             last += 1
-        own = lines[first:last]
-        sizes = np.array([len(x) for x in own], np.int64)
-        if (sizes < SHINGLE).any():
-            values = [line_set(x).view(np.uint64) for x in own]
-            counts = np.array([len(v) for v in values], np.int64)
-            hashes = np.concatenate(values)
-        else:
-            codes = np.frombuffer("\n".join(own).encode("utf-32-le", "replace"), np.uint32)
-            counts = sizes - SHINGLE + 1
-            inside = np.zeros(len(codes) + 1, np.int64)
-            start = np.cumsum(sizes + 1) - sizes - 1
-            inside[start] += 1
-            inside[start + counts] -= 1
-            hashes = rolled(codes)
-            hashes = hashes[np.cumsum(inside)[: len(hashes)] > 0]
-        out.append(near.minhash((hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts, BANDS * ROWS))
+        yield lines[first:last]
         first = last
+
+
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of plain lines one after another, and how many a line has."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    if (sizes < SHINGLE).any():
+        values = [line_set(x).view(np.uint64) for x in lines]
+        return np.concatenate(values), np.array([len(v) for v in values], np.int64)
+    hashes = rolled(np.frombuffer("\n".join(lines).encode("utf-32-le", "replace"), np.uint32))
+    # Those over a line's end and the next line's start go.
+    over = (np.cumsum(sizes + 1) - SHINGLE)[:-1, None] + np.arange(SHINGLE)
+    inside = np.ones(len(hashes), bool)
+    inside[over.ravel()] = False
+    return hashes[inside], sizes - SHINGLE + 1
+
+
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """``line_set`` of many plain lines."""
+    out = []
+    for own in _chunks(lines):
+        hashes, counts = _hashes(own)
+        for values in np.split(hashes.view(np.int64), np.cumsum(counts)[:-1]):
+            values.sort()
+            out.append(values[np.concatenate([[True], values[1:] != values[:-1]])])
+    return out
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """MinHash signatures of plain lines, a chunk of whole lines at a time."""
+    out = [np.empty((0, BANDS * ROWS), np.uint32)]
+    for own in _chunks(lines):
+        hashes, counts = _hashes(own)
+        out.append(near.minhash((hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts, BANDS * ROWS))
     return np.concatenate(out)
 
 
@@ -112,7 +130,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ends - lines), batch.column("n_lines")], ["row", "rid", "n_lines"])
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meeting(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``near.meeting`` of the lines of (rid, text): a line's number is the document's and its position."""
     seen: dict[bytes, int] = {}
     for batch in slices(batches):
@@ -136,7 +154,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own.append(line)
         halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
         numbers = [np.array(x, np.int64) for x in (lid, first, banded)]
-        yield near.meeting(halves, *numbers, near.bands(signatures(own), ROWS))
+        yield near.meeting(halves, *numbers, near.bands(signatures(own), ROWS), buckets)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +179,8 @@ def mark(docs: DataFrame) -> DataFrame:
         schema = schema.add(c, T.LongType())
     rows = settle(rows.mapInArrow(relaxed(_numbered), schema), "docs")
     text = F.col("row.text").cast("string").alias("text")
-    met = near.met(rows.select("rid", text).mapInArrow(relaxed(_meeting), near.MEET))
+    buckets = near.buckets(BANDS * (rows.agg(F.sum("n_lines")).first()[0] or 0))
+    met = near.met(rows.select("rid", text).mapInArrow(relaxed(functools.partial(_meeting, buckets)), near.MEET))
     numbers = F.posexplode(F.sequence("rid", F.col("rid") + F.col("n_lines") - 1)).alias("pos", "lid")
 
     def lines(*columns: Column) -> DataFrame:
@@ -173,7 +192,7 @@ def mark(docs: DataFrame) -> DataFrame:
         found = near.small_join(rows.select("rid", text), wanted, ["rid"])
         return found.mapInArrow(relaxed(_texts), "lid long, items string")
 
-    found = settle(near.groups(met, fetch, NUM, DEN, to_set=line_set), "found")
+    found = settle(near.groups(met, fetch, NUM, DEN, to_sets=line_sets), "found")
     named = settle(near.small_join(lines(F.col("row.doc_id").cast("long").alias("doc_id")), found, ["lid"]), "named")
     best = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pos", "lid")).alias("best"))
     best = settle(best.select("comp", F.col("best.lid").alias("keep")), "best")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.shared import relaxed, settle
+from trolley.llm.shared import relaxed, settle, slices
 
 #: Vertices of one side of a block of pairs, on average: of full sets, and of signatures alone.
 BLOCK, SIGNATURE_BLOCK = 256, 2048
@@ -54,12 +54,12 @@ def minhash(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 7)
     The values are hashes themselves, so products with odd numbers order them anew each time.
     """
     odd = np.random.default_rng(seed).integers(0, 1 << 31, hashes, np.uint32) * np.uint32(2) + np.uint32(1)
-    out = np.empty((len(starts), hashes), np.uint32)
+    out = np.empty((hashes, len(starts)), np.uint32)
     product = np.empty_like(values)
     for k in range(hashes):
         np.multiply(values, odd[k], out=product)
-        out[:, k] = np.minimum.reduceat(product, starts)
-    return out
+        np.minimum.reduceat(product, starts, out=out[k])
+    return out.T
 
 
 def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
@@ -93,81 +93,163 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on)
 
 
-#: Rows that meet: by (band, sub). A band key is even, with sub 0 or a chunk; a content key is odd (k1), with sub k2;
-#: a copy of a row that the task has seen before has no band, and that row as sub.
-MEET = "band long, sub long, row long"
-MEMBER, EDGE, COPY = 0, 1, 2
+#: What meets, packed: a row of the shuffle holds what a batch of the map side has for one bucket of keys. Of kind BANDED,
+#: x has the steps between sorted band keys from ``base`` on, y their rows; of kind KEYED, x and y the halves of content
+#: keys, z their rows. MEMBER, EDGE and COPY are results already, as a in x and b in y, of any bucket.
+MEET = "bucket int, kind int, base long, x binary, y binary, z binary"
+MEMBER, EDGE, COPY, BANDED, KEYED = range(5)
+#: Buckets of keys at least, and rows of bands in a bucket beyond which there are more.
+BUCKETS, BUCKET_ROWS = 1024, 1 << 19
+#: Results that go together.
+READY = 256
 
 
-def meeting(keys: np.ndarray, rows: np.ndarray, first: np.ndarray, band_rows: np.ndarray, band_keys: np.ndarray) -> pa.RecordBatch:
+def buckets(rows: int) -> int:
+    """How many buckets, a power of two, so many rows of bands go to."""
+    return max(BUCKETS, 1 << max(0, (rows - 1) // BUCKET_ROWS).bit_length())
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers as rows of their first bytes, second bytes and so on: bytes that differ little compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
+
+
+def _numbers(packed: list[bytes], kind: type = np.int64) -> np.ndarray:
+    """The numbers of several ``_planes``."""
+    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T for x in packed]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.zeros(0, kind)
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal numbers."""
+    if not len(bucket):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+    return start, np.append(start[1:], len(bucket))
+
+
+def meeting(
+    keys: np.ndarray, rows: np.ndarray, first: np.ndarray, band_rows: np.ndarray, band_keys: np.ndarray, buckets: int = BUCKETS
+) -> pa.RecordBatch:
     """What a batch of the map side sends to ``met`` (MEET).
 
     keys: content keys (n, 2) of ``rows``, with ``first`` the row of the same key that the task has seen
     before (-1: none); band_rows, band_keys (m, bands): rows with bands and their keys. Every row of a key
-    goes by the key; rows of a band with ``HOT`` rows here go by (band, chunk), and the first of them by the band too.
+    goes by the key; of ``HOT`` rows of a band or more the first goes by the band, and they meet here.
     """
-    even, owner = band_keys.ravel() & ~1, np.repeat(band_rows, band_keys.shape[1])
+    bits = np.uint64(64 - (buckets.bit_length() - 1))
+    out: dict[str, list] = {c: [] for c in ("bucket", "kind", "base", "x", "y", "z")}
+
+    def send(bucket: int, kind: int, base: int, x: bytes, y: bytes, z: bytes = b"") -> None:
+        for c, v in zip(out.values(), (bucket, kind, base, x, y, z)):
+            c.append(v)
+
+    def ready(kind: int, a: np.ndarray, b: np.ndarray) -> None:
+        # Results go anywhere, a few at a time, so that tasks get as many.
+        x, y = _planes(a), _planes(b)
+        for k in range(0, len(a), READY):
+            send((int(b[k]) * 0x9E3779B97F4A7C15 >> 40) % buckets, kind, 0, x[:, k : k + READY].tobytes(), y[:, k : k + READY].tobytes())
+
+    even, owner = (band_keys.ravel() & ~1).view(np.uint64), np.repeat(band_rows, band_keys.shape[1])
     order = np.argsort(even, kind="stable")
     even, owner = even[order], owner[order]
-    start = np.flatnonzero(np.concatenate([[True], even[1:] != even[:-1]])) if len(even) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(even)))
-    hot = size >= HOT
-    # Rows are numbered from 0, so a chunk's number is that of its first row, and 1.
-    chunk = np.repeat(np.where(hot, owner[start] + 1, 0), size)
-    heads = start[hot]
+    start, end = _by_bucket(even)
+    hot = end - start >= HOT
+    if hot.any():
+        inside = np.repeat(hot, end - start)
+        own, heads = owner[inside], np.repeat(owner[start[hot]], (end - start)[hot])
+        ready(MEMBER, even[inside].view(np.int64), own)
+        ready(EDGE, heads[own != heads], own[own != heads])
+        inside[start] = False
+        even, owner = even[~inside], owner[~inside]
+    start, end = _by_bucket(even >> bits)
+    steps = np.diff(even, prepend=np.uint64(0))
+    steps[start] = 0
+    x, y = _planes(steps), _planes(owner)
+    for a, b in zip(start.tolist(), end.tolist()):
+        send(int(even[a] >> bits), BANDED, int(even[a : a + 1].view(np.int64)[0]), x[:, a:b].tobytes(), y[:, a:b].tobytes())
+
     copies, fresh = np.flatnonzero(first >= 0), np.flatnonzero(first < 0)
-    band = np.concatenate([even, even[heads], keys[fresh, 0] | 1, np.zeros(len(copies), np.int64)])
-    sub = np.concatenate([chunk, np.zeros(len(heads), np.int64), keys[fresh, 1], first[copies]])
-    row = np.concatenate([owner, owner[heads], rows[fresh], rows[copies]])
-    local = np.arange(len(band)) >= len(band) - len(copies)
-    return pa.RecordBatch.from_arrays([pa.array(band, pa.int64(), mask=local), pa.array(sub), pa.array(row)], ["band", "sub", "row"])
+    ready(COPY, rows[copies], first[copies])
+    bucket = np.ascontiguousarray(keys[fresh, 0]).view(np.uint64) >> bits
+    order = np.argsort(bucket, kind="stable")
+    bucket, fresh = bucket[order], fresh[order]
+    x, y, z = _planes(keys[fresh, 0]), _planes(keys[fresh, 1]), _planes(rows[fresh])
+    for a, b in zip(*(c.tolist() for c in _by_bucket(bucket))):
+        send(int(bucket[a]), KEYED, 0, x[:, a:b].tobytes(), y[:, a:b].tobytes(), z[:, a:b].tobytes())
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], list(out))
+
+
+def _of_several(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows, ``same`` as the one before: the places of those that aren't alone, and where a run starts among these."""
+    among = same.copy()
+    among[:-1] |= same[1:]
+    places = np.flatnonzero(among)
+    return places, np.flatnonzero(~same[places])
+
+
+def _first_of(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For every row the smallest row of its run."""
+    return np.repeat(np.minimum.reduceat(rows, start), np.diff(np.append(start, len(rows))))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, sub, row), as (kind, a, b).
+    """Of rows of MEET sorted by bucket, as (kind, a, b).
 
     member: (band, row) of a band with several rows; edge: a band's first row and another; copy: a key's first row and another, as (row, first).
     """
-    # The last row so far: (band, sub, row), whether the one before has its key, the key's first row.
-    held: np.ndarray | None = None
 
     def batch_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
+    def met_in(banded: list[tuple], keyed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if banded:
+            steps, row = _numbers([x for _, x, _ in banded], np.uint64), _numbers([y for _, _, y in banded])
+            start = np.cumsum([0, *(len(x) // 8 for _, x, _ in banded)])[:-1]
+            # A step is back to this part's base from the last part's end.
+            sums = np.cumsum(steps)
+            bases = np.array([base for base, _, _ in banded], np.int64).view(np.uint64)
+            sizes = np.diff(np.append(start, len(steps)))
+            band = sums + np.repeat(bases - sums[start], sizes)
+            order = np.argsort(band)
+            band = band[order]
+            places, runs = _of_several(np.concatenate([[False], band[1:] == band[:-1]]))
+            if len(places):
+                row = row[order[places]]
+                yield batch_of(MEMBER, band[places].view(np.int64), row)
+                first = _first_of(row, runs)
+                yield batch_of(EDGE, first[row != first], row[row != first])
+        if keyed:
+            k1, k2, row = (_numbers([x[k] for x in keyed]) for k in range(3))
+            order = np.lexsort((k2, k1))
+            k1, k2 = k1[order], k2[order]
+            places, runs = _of_several(np.concatenate([[False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])]))
+            if len(places):
+                row = row[order[places]]
+                first = _first_of(row, runs)
+                yield batch_of(COPY, row[row != first], first[row != first])
+
+    at: int | None = None
+    banded: list[tuple] = []
+    keyed: list[tuple] = []
     for batch in batches:
-        local = batch.column("band").null_count
-        if local:  # nulls come first
-            yield batch_of(COPY, *(batch.column(c).slice(0, local).to_numpy() for c in ("row", "sub")))
-            batch = batch.slice(local)
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(c).to_numpy() for c in ("band", "sub", "row")])
-        was = False
-        if held is not None:
-            rows = np.concatenate([held[:3, None], rows], 1)
-            was = bool(held[3])
-        band, row = rows[0], rows[2]
-        same = (rows[:2, 1:] == rows[:2, :-1]).all(0)
-        run = np.concatenate([[0], np.maximum.accumulate(np.where(same, 0, np.arange(1, len(row))))]) if len(row) > 1 else np.zeros(1, np.int64)
-        first = row[run]
-        if held is not None:
-            first[run == 0] = held[4]
-        is_key = (band[1:] & 1).astype(bool)
-        copy = np.flatnonzero(same & is_key) + 1
-        if len(copy):
-            yield batch_of(COPY, row[copy], first[copy])
-        pair = np.flatnonzero(same & ~is_key)
-        if len(pair):
-            yield batch_of(EDGE, first[pair + 1], row[pair + 1])
-            before = np.concatenate([[was], same])[pair]
-            member = np.concatenate([pair + 1, pair[~before]])
-            yield batch_of(MEMBER, band[member], row[member])
-        held = np.concatenate([rows[:, -1], [same[-1] if len(same) else was, first[-1]]])
+        for bucket, kind, base, x, y, z in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != at:
+                yield from met_in(banded, keyed)
+                at, banded, keyed = bucket, [], []
+            if kind == BANDED:
+                banded.append((base, x, y))
+            elif kind == KEYED:
+                keyed.append((x, y, z))
+            else:
+                yield batch_of(kind, _numbers([x]), _numbers([y]))
+    yield from met_in(banded, keyed)
 
 
 def met(rows: DataFrame) -> DataFrame:
     """(kind, a, b) of ``_met`` for rows of ``meeting`` (MEET)."""
-    dealt = rows.repartition("band", "sub").sortWithinPartitions("band", "sub", "row")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     return settle(dealt.mapInArrow(relaxed(_met), "kind int, a long, b long"), "met")
 
 
@@ -206,32 +288,40 @@ def _with_roots(found: DataFrame) -> DataFrame:
     return found.union(found.select("comp", "comp").distinct())
 
 
-ToSet = Callable[[object], np.ndarray]
+#: From items to their sets, each a sorted array of distinct numbers.
+ToSets = Callable[[list], list[np.ndarray]]
+
 
+def as_sets(values: list) -> list[np.ndarray]:
+    return [np.asarray(x, np.int64) for x in values]
 
-def as_set(value: object) -> np.ndarray:
-    return np.asarray(value, np.int64)
 
+def _items(column: pa.Array) -> list:
+    """Strings, or arrays of numbers without a copy."""
+    return [x.values for x in column] if pa.types.is_list(column.type) else column.to_pylist()
 
-def _confirmed(num: int, den: int, to_set: ToSet):
+
+def _confirmed(num: int, den: int, to_sets: ToSets):
     """Pairs (a, b, x, y) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
+            a = batch.column("a").to_numpy()
+            # Pairs of one a follow each other.
+            new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+            left = to_sets(_items(batch.column("x").filter(pa.array(new))))
             good = []
-            last, p = None, np.zeros(0, np.int64)
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y")):
-                q = to_set(y.values if isinstance(y, pa.ListScalar) else y.as_py())
-                if a != last:
-                    last, p = a, to_set(x.values if isinstance(x, pa.ListScalar) else x.as_py())
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(den * common >= num * (len(p) + len(q) - common))
+            for k, q in zip((np.cumsum(new) - 1).tolist(), to_sets(_items(batch.column("y")))):
+                both = np.concatenate([left[k], q])
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                good.append(den * common >= num * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
+def _across(num: int, den: int, batch: int, miss: float, to_sets: ToSets):
     """Function of one block of pairs: links (a, b) that join parts.
 
     Takes arrays by row: lid, part, side (-1 left, 1 right, 0 both), and
@@ -259,7 +349,8 @@ def _across(num: int, den: int, batch: int, miss: float, to_set: ToSet):
                 i, j, equal = i[alive], j[alive], equal[alive]
         if not len(i):
             return []
-        sets = {k: to_set(item(k)) for k in {*i.tolist(), *j.tolist()}}
+        needed = sorted({*i.tolist(), *j.tolist()})
+        sets = dict(zip(needed, to_sets([item(k) for k in needed])))
         n = np.zeros(len(lid), np.int64)
         n[list(sets)] = [len(s) for s in sets.values()]
         alike = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
@@ -360,15 +451,13 @@ def _blocks(across):
     return run
 
 
-def _signed(to_set: ToSet):
+def _signed(to_sets: ToSets):
     """Pruning signatures of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("items")
-            is_list = pa.types.is_list(column.type)
             for first in range(0, batch.num_rows, 64):
-                own = [to_set(x.values if is_list else x.as_py()) for x in column.slice(first, 64)]
+                own = to_sets(_items(batch.column("items").slice(first, 64)))
                 values = [(x.view(np.uint64) >> np.uint64(32)).astype(np.uint32) for x in own]
                 starts = np.cumsum([0, *map(len, values)])[:-1]
                 low = (minhash(np.concatenate(values), starts, PRUNING, seed=8) & 0xFF).astype(np.uint8)
@@ -437,11 +526,11 @@ def groups(
     den: int,
     batch: int = 32,
     miss: float = 1e-6,
-    to_set: ToSet = as_set,
+    to_sets: ToSets = as_sets,
 ) -> DataFrame:
     """(lid, comp): rows linked with others, directly or over others, with the smallest row so reached; roots too.
 
-    met_rows: of ``met``. fetch: from (lid) to (lid, items); to_set makes an item a sorted array of distinct numbers.
+    met_rows: of ``met``. fetch: from (lid) to (lid, items); to_sets makes items sorted arrays of distinct numbers.
     Links: equal keys, or den * |intersection| >= num * |union| of the sets.
     """
     pair = (F.col("a").alias("lid"), F.col("b").alias("first"))
@@ -469,7 +558,7 @@ def groups(
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("lid").alias("b"), F.col("items").alias("y")), "b")
         pairs = pairs.join(sets.select(F.col("lid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
-        return settle(pairs.mapInArrow(relaxed(_confirmed(num, den, to_set)), "a long, b long"), name)
+        return settle(pairs.mapInArrow(relaxed(_confirmed(num, den, to_sets)), "a long, b long"), name)
 
     one = settle(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
     links = confirmed(one, "confirmed")
@@ -482,7 +571,7 @@ def groups(
 
     # Signatures cut candidate groups into those of pairs that may reach the similarity.
     open_ = settle(_open_groups(parts), "open")
-    signs = settle(open_.select("lid").join(sets, "lid").mapInArrow(relaxed(_signed(to_set)), "lid long, sig binary"), "signs")
+    signs = settle(open_.select("lid").join(sets, "lid").mapInArrow(relaxed(_signed(to_sets)), "lid long, sig binary"), "signs")
     large = F.col("n") > GROUP
     member = met_rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("lid"))
     wide = open_.where(large).select("lid", "part", "main")
@@ -503,7 +592,7 @@ def groups(
     joined = _with_roots(components(ends)).select(F.col("v").alias("part"), F.col("comp").alias("cand"))
     finer = settle(parts.drop("cand").join(joined, "part").select("lid", "cand", "part"), "finer")
     found = _keyed(_open_groups(finer), BLOCK).join(signs, "lid").join(sets, "lid")
-    found = _linked(found, _across(num, den, batch, miss, to_set))
+    found = _linked(found, _across(num, den, batch, miss, to_sets))
     links = settle(links.union(found), "links")
 
     final = _with_roots(components(links)).select(F.col("v").alias("lid"), "comp")

@@ -21,6 +21,7 @@ is kept; an empty table gives an empty result; ``dedupe`` keeps all columns.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +101,7 @@ def _signed(size: int, hashes: int, rows: int):
     return run
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meeting(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``near.meeting`` of rows (lid, k1, k2, bands)."""
     seen: dict[tuple[int, int], int] = {}
     for batch in batches:
@@ -111,7 +112,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.array([f if (f := seen.setdefault(k, own)) != own else -1 for k, own in zip(map(tuple, keys.tolist()), lid.tolist())])
         banded = batch.column("bands").is_valid().to_numpy(zero_copy_only=False)
         own = batch.column("bands").flatten().to_numpy().reshape(int(banded.sum()), -1)
-        yield near.meeting(keys, lid, first.astype(np.int64), lid[banded], own)
+        yield near.meeting(keys, lid, first.astype(np.int64), lid[banded], own, buckets)
 
 
 def _listed(size: int):
@@ -145,7 +146,8 @@ def linked(docs: DataFrame, size: int, num: int, den: int, bands: int = BANDS, r
         return found.mapInArrow(_listed(size), "lid long, items array<long>")
 
     items = signed.where("n > 0").select("lid", "k1", "k2", "bands")
-    return signed, near.groups(near.met(items.mapInArrow(relaxed(_meeting), near.MEET)), fetch, num, den)
+    met = near.met(items.mapInArrow(relaxed(functools.partial(_meeting, near.buckets(bands * signed.count()))), near.MEET))
+    return signed, near.groups(met, fetch, num, den)
 
 
 def dedupe(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
